@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, near_dup, sharding
 
-QUERIES = {"op1_decontaminate": decontaminate.op1_decontaminate}
-ORACLE_SQL = {"op1_decontaminate": decontaminate.OP1_SQL}
+QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op8_near_dup": near_dup.op8_near_dup,
+    "op9_shard": sharding.op9_shard,
+}
+ORACLE_SQL = {"op1_decontaminate": decontaminate.OP1_SQL, "op8_near_dup": near_dup.OP8_SQL}
