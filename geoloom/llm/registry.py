@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_dup, sharding
+from . import chat, decontaminate, mpeg_audio, near_dup, sharding, url_rules
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op4_url_rules": url_rules.op4_url_rules,
+    "op5_media": mpeg_audio.op5_media,
     "op8_near_dup": near_dup.op8_near_dup,
     "op9_shard": sharding.op9_shard,
+    "op10_chat": chat.op10_chat,
 }
-ORACLE_SQL = {"op1_decontaminate": decontaminate.OP1_SQL, "op8_near_dup": near_dup.OP8_SQL}
+ORACLE_SQL = {"op1_decontaminate": decontaminate.OP1_SQL, "op4_url_rules": url_rules.OP4_SQL, "op8_near_dup": near_dup.OP8_SQL}
