@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mpeg_audio, near_dup, sharding, url_rules
+from . import chat, decontaminate, mpeg_audio, near_dup, packing, sharding, token_store, url_rules
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op3_pack": packing.op3_pack,
     "op4_url_rules": url_rules.op4_url_rules,
     "op5_media": mpeg_audio.op5_media,
+    "op6_token_store": token_store.op6_token_store,
     "op8_near_dup": near_dup.op8_near_dup,
     "op9_shard": sharding.op9_shard,
     "op10_chat": chat.op10_chat,
