@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mpeg_audio, near_dup, packing, sharding, token_store, url_rules
+from . import chat, decontaminate, line_quality, mpeg_audio, near_dup, packing, sharding, token_store, url_rules
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_url_rules": url_rules.op4_url_rules,
     "op5_media": mpeg_audio.op5_media,
     "op6_token_store": token_store.op6_token_store,
+    "op7_line_quality": line_quality.op7_line_quality,
     "op8_near_dup": near_dup.op8_near_dup,
     "op9_shard": sharding.op9_shard,
     "op10_chat": chat.op10_chat,
