@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, line_quality, mpeg_audio, near_dup, packing, sharding, token_store, url_rules
+from . import chat, context_mixing, decontaminate, line_quality, mpeg_audio, near_dup, packing, sharding, token_store, url_rules
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_context_mixing": context_mixing.op2_context_mixing,
     "op3_pack": packing.op3_pack,
     "op4_url_rules": url_rules.op4_url_rules,
     "op5_media": mpeg_audio.op5_media,
