@@ -2,8 +2,9 @@
 
 1. A document's set of word shingles, as 64-bit hashes, gives a digest and one minimum for
    each of ``perms`` hash functions. Equal sets become one class, named by its smallest id.
-2. ``rows`` minima in a row make a band; classes that agree in a band share a bucket. Each
-   class is paired with one pivot of each of its buckets.
+2. ``rows`` minima in a row make a band; classes that agree in a band share a bucket, whose
+   pivot is its smallest id. Each class is paired with the PIVOTS pivots that it shares the
+   most buckets with.
 3. The low ``bits`` of the minima are packed into longs. The share of agreeing places, less
    those that agree by chance, estimates the similarity; only pairs far below the threshold
    are let go, and the others are confirmed on whole sets.
@@ -32,6 +33,8 @@ PERMS = 256
 THRESHOLD = 75
 #: Standard errors by which an estimate may fall below the threshold before a pair is let go.
 SLACK = 6
+#: Pivots that a class is paired with at first; step 4 compares all that this leaves apart.
+PIVOTS = 4
 #: Pairs that one confirming task holds the texts of, at a time.
 GROUP = 64
 
@@ -141,23 +144,26 @@ def _confirm(pairs: DataFrame, docs: DataFrame, threshold: int, shingle: int) ->
     a and then in groups of about GROUP, each with the text of its a once."""
     pairs = written(pairs.distinct())
     n = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts"))
-    hub = n.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    hub = hub.join(docs.select(F.col("doc_id").alias("a"), "text"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
-    dealt = pairs.join(written(n), "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
-    spoke = dealt.join(docs.select(F.col("doc_id").alias("b"), "text"), "b").select("a", "part", "b", "text")
+    n = written(n)
+    hub = n.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"))
+    spoke = pairs.join(n, "a").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+    # a written table has a known size: Spark broadcasts it where it is small, and shuffles it and the texts where not
+    roles = written(hub.unionByName(spoke))
+    dealt = docs.select(F.col("doc_id").alias("id"), "text").join(roles, "id").select("a", "part", "b", "text")
 
     def check(pdf: pd.DataFrame) -> pd.DataFrame:
         sets = shingle_sets(Words(pa.array(pdf["text"], pa.large_string()), NONSPACE), shingle)
-        hub = sets[int(np.flatnonzero(pdf["b"].isna().to_numpy())[0])]
+        hubs = [sets[i] for i in np.flatnonzero(pdf["b"].isna().to_numpy())]
         good = []
         for b, s in zip(pdf["b"], sets):
             if pd.notna(b):
-                both = len(np.intersect1d(hub, s, assume_unique=True))
-                if 100 * both >= threshold * (len(hub) + len(s) - both):
-                    good.append(int(b))
+                for hub in hubs:
+                    both = len(np.intersect1d(hub, s, assume_unique=True))
+                    if 100 * both >= threshold * (len(hub) + len(s) - both) and both:
+                        good.append(int(b))
         return pd.DataFrame({"a": np.full(len(good), pdf["a"].iloc[0], np.int64), "b": np.array(good, np.int64)})
 
-    return hub.unionByName(spoke).groupBy("a", "part").applyInPandas(check, "a long, b long")
+    return dealt.groupBy("a", "part").applyInPandas(check, "a long, b long")
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -185,7 +191,7 @@ def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD, shingle: i
     """(doc_id, n_shingles, component_id, kept) for each row of ``documents``.
 
     Null, empty and blank texts have no shingles and link with nothing. Rows that repeat a
-    doc_id are one document, that of the smallest text, and give a row each. Ties in
+    doc_id give a row each and are one document, linked wherever one of its texts is. Ties in
     similarity don't matter: from ``threshold`` hundredths on two sets are linked. Only
     doc_id and text are looked at; an empty table gives no rows.
     """
@@ -194,18 +200,15 @@ def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD, shingle: i
     full = signed.where(F.col("digest").isNotNull())
     # equal sets: one class a digest, named by its smallest id, which keeps bands and signature
     named = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    named = written(named)
-    many = named.where(F.col("n") > 1).select("digest", "rep")
-    member = full.select("doc_id", "digest").join(many, "digest").select("doc_id", "rep")
-    other = member.where(F.col("doc_id") != F.col("rep"))
-    other = written(other)
-    classes = full.join(other.select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "bands", "sig")
-    classes = written(classes)
-
-    # buckets with two members at least, and their pivots; each band has an order of its own
+    many = written(named.where(F.col("n") > 1).select("digest", "rep"))
+    other = written(full.select("doc_id", "digest").join(many, "digest").where(F.col("doc_id") != F.col("rep")).distinct())
+    classes = full.join(other.select("doc_id", "digest"), ["doc_id", "digest"], "left_anti").select(F.col("doc_id").alias("id"), "bands", "sig")
+    ids = classes.select("id").distinct()
+
+    # buckets with two members at least, and their pivots
     rows = classes.select("id", F.explode("bands").alias("key"))
-    pivots = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("id", "key").alias("h"), F.col("id"))).alias("p")).where(F.col("n") > 1)
-    pivots = written(pivots.select("key", F.col("p.id").alias("a")))
+    pivots = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("key", "a")
+    pivots = written(pivots)
     bucket = written(rows.join(pivots, "key").select("key", "a", F.col("id").alias("b")))
 
     sig = classes.select("id", "sig")
@@ -216,9 +219,13 @@ def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD, shingle: i
         with_a = with_b.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
         return with_a.where(estimated(F.col("sa"), F.col("sb")) >= least).select("a", "b")
 
-    star = bucket.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = written(_confirm(likely(star), docs_of(docs), threshold, shingle))
-    ids = classes.select("id")
+    shared = bucket.where("a <> b").groupBy("b", "a").agg(F.count(F.lit(1)).alias("n"))
+    best = F.slice(F.sort_array(F.collect_list(F.struct(-F.col("n"), "a"))), 1, PIVOTS)
+    star = shared.groupBy("b").agg(best["a"].alias("a")).select("b", F.explode("a").alias("a"))
+    links = _confirm(likely(star), docs_of(docs), threshold, shingle)
+    # a document of several texts may be a class by one and a copy by another
+    twofold = other.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    links = written(links.unionAll(twofold))
     comp = written(components(ids, links))
 
     # buckets of more than one component: each stranger to the largest against all the others
@@ -237,7 +244,7 @@ def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD, shingle: i
             links = written(links.unionAll(more))
             comp = written(components(ids, links))
     moved = comp.where("id <> component").select(F.col("id").alias("rep"), "component")
-    other = other.join(moved, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
+    other = other.select("doc_id", "rep").join(moved, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     known = written(moved.select(F.col("rep").alias("doc_id"), "component").unionAll(other).distinct())
     out = signed.select("doc_id", "n_shingles").join(known, "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
