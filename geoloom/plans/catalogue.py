@@ -115,6 +115,18 @@ q AS (SELECT *, e/(1-e) AS ep, 6378137e0/sqrt(1-e*sin(f)*sin(f)) AS n, tan(f)*ta
 SELECT idx, zone, round(0.9996e0*n*(a+(1-t+c)*a*a*a/6+(5-18*t+t*t+72*c-58*ep)*a*a*a*a*a/120)+500000, 3) + 0.0 AS easting,
  round(0.9996e0*(m+n*tan(f)*(a*a/2+(5-t+9*c+4*c*c)*a*a*a*a/24+(61-58*t+t*t+600*c-330*ep)*a*a*a*a*a*a/720)) + CASE WHEN lat < 0 THEN 10000000 ELSE 0 END, 3) + 0.0 AS northing, lat >= 0 AS is_north FROM q""")
 
+
+
+def _utm_back(s, d):
+    """There and back: the point again."""
+    p = fixtures.spark(s, d, "geo")
+    p = p.select("idx", *(c.alias(k) for k, c in crs.wgs84_to_utm(F.col("lng"), F.col("lat")).items()))
+    lng, lat = crs.utm_to_wgs84(F.col("zone"), F.col("easting"), F.col("northing"), F.col("is_north"))
+    return _round(p.select("idx", lng.alias("lng"), lat.alias("lat")), 4)
+
+
+_add("crs_utm_inverse", _utm_back, f"SELECT idx, round(lng, 4) + 0.0 AS lng, round(lat, 4) + 0.0 AS lat FROM {_src('geo')}")
+
 # ---------------------------------------------------------------- geodesy: each point with the one before it
 _PREV = "(SELECT idx, lng AS x2, lat AS y2, lag(lng) OVER (ORDER BY idx) AS x1, lag(lat) OVER (ORDER BY idx) AS y1 FROM {s}) p WHERE x1 IS NOT NULL"
 
@@ -274,3 +286,5 @@ def _knn(s, d):
 
 _add("knn", _knn, f"WITH p AS (SELECT * FROM {_src('china')}) SELECT qid, idx, round(d2, 9) AS d2 FROM (SELECT q.idx AS qid, p.idx, power(p.lng-q.lng,2)+power(p.lat-q.lat,2) AS d2 FROM p, p q WHERE q.idx % 500 = 0) t QUALIFY row_number() OVER (PARTITION BY qid ORDER BY t.d2, idx) <= 5")
 _add("octree_nodes", lambda s, d: points.octree_counts(fixtures.spark(s, d, "cloud"), 500, 21).groupBy("level").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("points")))
+_add("screen_space_error", lambda s, d: _round(fixtures.spark(s, d, "cloud").select("idx", geodesy.screen_space_error(F.col("z"), F.col("x") + 1.0, math.radians(60), 1080.0).alias("sse")), 3),
+     f"SELECT idx, round(z / ((x + 1) * 2 * tan(radians(30e0)) / 1080), 3) + 0.0 AS sse FROM {_src('cloud')}")
