@@ -8,15 +8,18 @@ known), and a bias by gate. Weights and biases start equal for every text and ar
 online within it, block by block, so a text's score depends on the corpus counts and itself
 alone. Total bits, and bits a byte, follow.
 
-The counts behind the predictions come from all training texts: each task counts zeros and
-ones of its hashed contexts in fixed-size tables, shards of these are added up in a tree of
-bounded groups, and only log-odds (two bytes a slot) reach the driver and the workers.
+The counts behind the predictions come from all training texts. Each context's table has at
+least a slot for each (context, node) pair that these show, as told by a sample of the
+contexts, so it grows with the corpus. Each task counts the zeros and ones of its own slots,
+shards of these are added up in a tree of bounded groups, and the log-odds (two bytes a slot)
+go into one file in the shared folder, which the workers map. Only where that folder is in a
+store without such files do they pass through the driver.
 """
 
 from __future__ import annotations
 
 import heapq
-import zlib
+import os
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,16 +28,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, table, written
+from .common import pieces, shared_dir, table, written
 from .line_quality import fold
 
 END = 255  # no byte of UTF-8
 PAD = 16
-#: Slots of each context's table, as a power of two.
+#: The least slots of each context's table, as a power of two.
 SLOTS = (18, 20, 22, 22)
 N_CTX = len(SLOTS)
-BASES = np.concatenate([[0], np.cumsum([1 << s for s in SLOTS])]).astype(np.int64)
+
+
+def bases(sizes) -> np.ndarray:
+    """Where each table begins, and the slots of all."""
+    return np.concatenate([[0], np.cumsum([1 << s for s in sizes])]).astype(np.int64)
+
+
+BASES = bases(SLOTS)
+#: One of so many contexts is looked at to size the tables.
+SAMPLE = 256
 SHARD = 1 << 16
+#: (Context, byte) pairs that a task holds before it turns them into shards, and the bytes of
+#: shards before it hands them on.
+PAIRS = 2 << 20
+HELD = 64 << 20
 FAN = 32
 #: Tokens whose counts go to every worker; the others are looked up by a join.
 COMMON = 200_000
@@ -149,12 +165,12 @@ def bits_of(code: Code, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return n, code.node[at], code.bit[at]
 
 
-def slots(i: int, ctx: np.ndarray, n: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """The slot of each bit in the table of context i."""
+def slots(size: int, ctx: np.ndarray, n: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """The slot of each bit in a table of 2 ** size slots."""
     h = np.repeat(ctx, n)
     h += node
     h *= np.uint32(0xC2B2AE35)
-    h >>= np.uint32(32 - SLOTS[i])
+    h >>= np.uint32(32 - size)
     return h
 
 
@@ -191,50 +207,129 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(count, "token binary, c long").where("c > 0").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-def count_slots(code: Code, texts: list[bytes], table: np.ndarray) -> None:
-    """Adds the zeros (row 0) and ones (row 1) that the texts show to the table's slots.
-    Equal (context, byte) pairs are brought together first, and then taken apart into bits."""
+def sizes_of(docs: DataFrame, code) -> tuple:
+    """The power of two that holds each context's (context, node) pairs, SLOTS at least and
+    the 32 bits of a context's hash at most. ``code``: a broadcast Code."""
+
+    def sample(batches):
+        for whole in batches:
+            for b in pieces(whole, "text", 1 << 20):
+                data, places, _ = stream([normal(t) for t in b.column("text").to_pylist()])
+                symbol = data[places].astype(np.uint64)
+                for i, ctx in enumerate(contexts(data, places)):
+                    few = np.flatnonzero(ctx % np.uint32(SAMPLE) == 0)
+                    pair = np.unique(ctx[few].astype(np.uint64) << np.uint64(8) | symbol[few])
+                    n, node, _ = bits_of(code.value, (pair & np.uint64(255)).astype(np.int64))
+                    key = np.unique(np.repeat(pair >> np.uint64(8), n) << np.uint64(8) | node)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), i, np.int32)), pa.array(key.astype(np.int64))], ["context", "key"])
+
+    found = dict(docs.mapInArrow(sample, "context int, key long").distinct().groupBy("context").count().collect())
+    return tuple(max(least, min(32, (SAMPLE * found.get(i, 0) - 1).bit_length())) for i, least in enumerate(SLOTS))
+
+
+def summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys in order, each once, and their times added up."""
+    order = np.argsort(keys, kind="stable")
+    keys, times = keys[order], times[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(times, first) if len(keys) else times
+
+
+def pairs_of(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each context its (context, byte) pairs in the texts, each once, and their times."""
     data, places, _ = stream(texts)
-    symbol = data[places].astype(np.uint64)
-    for i, ctx in enumerate(contexts(data, places)):
+    symbol, out = data[places].astype(np.uint64), []
+    for ctx in contexts(data, places):
         pair = ctx.astype(np.uint64) << np.uint64(8) | symbol
         pair.sort()
         first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
-        times = np.diff(np.append(first, len(pair)))
-        pair = pair[first]
-        n, node, bit = bits_of(code, (pair & np.uint64(255)).astype(np.int64))
-        s = slots(i, (pair >> np.uint64(8)).astype(np.uint32), n, node).astype(np.int64)
-        s += BASES[i]
-        s += bit * np.int64(table.shape[1])
-        np.add.at(table.reshape(-1), s, np.repeat(times, n).astype(np.int32))
+        out.append((pair[first], np.diff(np.append(first, len(pair)))))
+    return out
 
 
-def _counted(code, batches):
-    """Zeros and ones of every slot in this task's texts, in compressed shards."""
-    from pyspark import TaskContext
+def in_slots(code: Code, size: int, pair: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs taken apart into bits: twice the slot, and one more for a one; times."""
+    n, node, bit = bits_of(code, (pair & np.uint64(255)).astype(np.int64))
+    s = slots(size, (pair >> np.uint64(8)).astype(np.uint32), n, node).astype(np.int64)
+    return 2 * s + bit, np.repeat(times, n)
 
-    table_ = np.zeros((2, BASES[-1]), np.int32)
-    for whole in batches:
-        for b in pieces(whole, "text", 4 << 20):
-            count_slots(code, [normal(t) for t in b.column("text").to_pylist()], table_)
-    task = TaskContext.get().partitionId()
-    for k in range(table_.shape[1] // SHARD):
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([task], pa.int32()), pa.array([_zip(table_[:, k * SHARD:(k + 1) * SHARD])], pa.binary())], ["shard", "part", "counts"])
 
+def count_slots(code: Code, texts: list[bytes], table: np.ndarray, sizes=SLOTS) -> None:
+    """Adds the zeros (row 0) and ones (row 1) that the texts show to the table's slots."""
+    for size, base, (pair, times) in zip(sizes, bases(sizes), pairs_of(texts)):
+        key, times = in_slots(code, size, pair, times)
+        np.add.at(table, (key & 1, base + (key >> 1)), times.astype(table.dtype))
 
-def _zip(counts: np.ndarray) -> bytes:
-    planes = counts.astype("<i4").reshape(-1).view(np.uint8).reshape(-1, 4).T
-    return pa.Codec("zstd", 1).compress(np.ascontiguousarray(planes).tobytes(), asbytes=True)
 
+def _counted(code, sizes, batches):
+    """Zeros and ones of the slots that this task's texts show, in compressed shards."""
+    from pyspark import TaskContext
 
-def _unzip(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(pa.Codec("zstd").decompress(blob, 8 * SHARD, asbytes=True), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<i4").reshape(2, SHARD).astype(np.int64)
+    task, start = TaskContext.get().partitionId(), bases(sizes)
+
+    def put(held, shards):
+        """Pairs go to the shards; the bytes these get."""
+        size_ = 0
+        for size, base, parts in zip(sizes, start, held):
+            key, times = summed(*in_slots(code, size, *summed(*map(np.concatenate, zip(*parts)))))
+            key += 2 * base
+            shard = key // (2 * SHARD)
+            edge = np.flatnonzero(np.diff(shard, prepend=-1, append=-1)).tolist() if len(key) else []
+            for a, b in zip(edge[:-1], edge[1:]):
+                blob = _zip(key[a:b] % (2 * SHARD), times[a:b])
+                shards.setdefault(int(shard[a]), []).append(blob)
+                size_ += len(blob)
+        return size_
+
+    def rows(shards):
+        for k, blobs in shards.items():
+            if len(blobs) > 1:
+                blobs = [_zip(*summed(*map(np.concatenate, zip(*map(_unzip, blobs)))))]
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([task], pa.int32()), pa.array(blobs, pa.binary())], ["shard", "part", "counts"])
+
+    held, shards, n_bytes = [[] for _ in sizes], {}, 0
+    for whole in batches:
+        for b in pieces(whole, "text", 1 << 20):
+            for parts, new in zip(held, pairs_of([normal(t) for t in b.column("text").to_pylist()])):
+                parts.append(new)
+            if sum(len(p) for parts in held for p, _ in parts) > PAIRS:
+                n_bytes += put(held, shards)
+                held = [[] for _ in sizes]
+                if n_bytes > HELD:
+                    yield from rows(shards)
+                    shards, n_bytes = {}, 0
+    if held[0]:
+        put(held, shards)
+    yield from rows(shards)
+
+
+def _zip(key: np.ndarray, times: np.ndarray) -> bytes:
+    """Ascending keys, as steps, and their times."""
+    both = np.concatenate([np.diff(key, prepend=0), times]).astype("<i4")
+    planes = np.ascontiguousarray(both.view(np.uint8).reshape(-1, 4).T)
+    return len(key).to_bytes(4, "little") + pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
+
+
+def _unzip(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(blob[:4], "little")
+    planes = np.frombuffer(pa.Codec("zstd").decompress(blob[4:], 8 * n, asbytes=True), np.uint8).reshape(4, -1)
+    both = np.ascontiguousarray(planes.T).view("<i4").reshape(2, n).astype(np.int64)
+    return np.cumsum(both[0]), both[1]
+
+
+def _total(blobs) -> np.ndarray:
+    """Zeros and ones, in turn, of a shard's slots."""
+    total = np.zeros(2 * SHARD, np.int64)
+    for b in blobs:
+        key, times = _unzip(b)
+        total[key] += times
+    return np.minimum(total, 2**31 - 1)
 
 
 def _added(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.minimum(sum(_unzip(b) for b in pdf["counts"]), 2**31 - 1)
-    return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "part": [int(pdf["part"].iloc[0]) // FAN], "counts": [_zip(total)]})
+    total = _total(pdf["counts"])
+    key = np.flatnonzero(total)
+    return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "part": [int(pdf["part"].iloc[0]) // FAN], "counts": [_zip(key, total[key])]})
 
 
 def odds_of(counts: np.ndarray) -> np.ndarray:
@@ -242,22 +337,33 @@ def odds_of(counts: np.ndarray) -> np.ndarray:
 
 
 def _odds(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "odds": [zlib.compress(odds_of(_unzip(pdf["counts"].iloc[0])).tobytes(), 1)]})
+    return pd.DataFrame({"shard": pdf["shard"], "odds": [odds_of(_total([b]).reshape(SHARD, 2).T).tobytes() for b in pdf["counts"]]})
+
+
+def _put(path: str, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Shards' log-odds go to their places in the file; a task that runs again writes the same."""
+    with open(path, "r+b") as f:
+        for shard, odds in zip(pdf["shard"], pdf["odds"]):
+            f.seek(2 * SHARD * int(shard))
+            f.write(odds)
+    return pdf[["shard"]]
 
 
 @dataclass
 class Model:
     code: Code
-    odds: np.ndarray  # float16, all tables in a row
+    odds: np.ndarray | str  # float16, all tables in a row, or the file of these
+    sizes: tuple = SLOTS
 
 
 def train(docs: DataFrame, byte_counts: np.ndarray) -> Model:
     """The model of all texts in ``docs``. Shards are added up FAN at a time, so no group
-    holds more than FAN blobs however many tasks have counted."""
+    holds more than FAN tasks' blobs however many tasks have counted."""
     spark = docs.sparkSession
     code = huffman(byte_counts)
     held = spark.sparkContext.broadcast(code)
-    shards = written(docs.mapInArrow(lambda it: _counted(held.value, it), "shard int, part int, counts binary"))
+    sizes = sizes_of(docs, held)
+    shards = written(docs.mapInArrow(lambda it: _counted(held.value, sizes, it), "shard int, part int, counts binary"))
     parts = (shards.agg(F.max("part")).first()[0] or 0) + 1
     while True:
         grouped = shards.withColumn("g", F.floor(F.col("part") / FAN).cast("int")).groupBy("shard", "g").applyInPandas(_added, "shard int, part int, counts binary")
@@ -266,10 +372,18 @@ def train(docs: DataFrame, byte_counts: np.ndarray) -> Model:
             break
         shards = written(grouped)
     done = grouped.mapInPandas(lambda it: (_odds(pdf.iloc[i:i + 1]) for pdf in it for i in range(len(pdf))), "shard int, odds binary")
-    odds = np.zeros(BASES[-1], np.float16)
-    for r in done.toLocalIterator():  # two bytes a slot in all
-        odds[r["shard"] * SHARD:(r["shard"] + 1) * SHARD] = np.frombuffer(zlib.decompress(r["odds"]), "<f2")
-    return Model(code, odds)
+    n, path = int(bases(sizes)[-1]), shared_dir(spark).removeprefix("file:")
+    if "://" in path:  # no folder that can be mapped: the driver hands the tables out
+        odds = np.zeros(n, "<f2")
+        for r in done.toLocalIterator():
+            odds[r["shard"] * SHARD:(r["shard"] + 1) * SHARD] = np.frombuffer(r["odds"], "<f2")
+        return Model(code, odds, sizes)
+    os.makedirs(path)
+    path += "/odds"
+    with open(path, "wb") as f:
+        f.truncate(2 * n)  # slots that nothing has shown stay zero
+    done.mapInPandas(lambda it: (_put(path, pdf) for pdf in it), "shard int").agg(F.count("shard")).collect()
+    return Model(code, path, sizes)
 
 
 # ---------------------------------------------------------------- scoring
@@ -278,8 +392,9 @@ class Scorer:
     """Bits of texts under a model."""
 
     def __init__(self, model: Model):
-        self.code = model.code
-        self.odds = [model.odds[BASES[i]:BASES[i + 1]].astype(np.float32) for i in range(N_CTX)]
+        self.code, self.sizes = model.code, model.sizes
+        odds, at = np.memmap(model.odds, "<f2", "r") if isinstance(model.odds, str) else model.odds, bases(model.sizes)
+        self.odds = [np.asarray(odds[at[i]:at[i + 1]]) for i in range(N_CTX)]
 
     def bits(self, texts: list[bytes], most: int = 1 << 16) -> np.ndarray:
         """Total bits of each text; texts go together up to ``most`` bytes of stream, a longer
@@ -311,7 +426,7 @@ class Scorer:
         which the closed gates' rows are zero; -1 for a one and 1 for a zero bit."""
         n, node, bit = bits_of(self.code, data[places])
         f = np.zeros((N_GATE * (N_CTX + 1), len(node)), np.float32)
-        x = [self.odds[i][slots(i, ctx[i], n, node)] for i in range(N_CTX)]
+        x = [self.odds[i][slots(self.sizes[i], ctx[i], n, node)].astype(np.float32) for i in range(N_CTX)]
         word, order = np.abs(x[3]), np.abs(x[2])
         gates = [word > 3, (word <= 3) & (word > 1), word <= 1]
         for g, open_ in enumerate(gates):

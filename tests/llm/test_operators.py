@@ -276,3 +276,25 @@ def test_probabilities_add_up():
         f, sign, _ = scorer._inputs(stream, at, context_mixing.contexts(stream, at))
         total += 2 ** -scorer._mix(f, sign, None)[0]
     assert np.isclose(total, 1, atol=1e-4)
+
+
+def test_slots_grow_with_the_contexts(spark, monkeypatch):
+    """Few slots to begin with: more are taken, and the counts in them are those of all texts."""
+    monkeypatch.setattr(context_mixing, "SLOTS", (16, 16, 16, 16))
+    monkeypatch.setattr(context_mixing, "SAMPLE", 4)
+    monkeypatch.setattr(context_mixing, "PAIRS", 500)
+    rows = [(" ".join(hashlib.md5(f"{i} {j}".encode()).hexdigest()[:9] for j in range(60)),) for i in range(60)] + [(None,), ("",)]
+    raw = [context_mixing.normal(t) for t, in rows]
+    counts = np.bincount(np.frombuffer(b"".join(raw), np.uint8), minlength=256)
+    counts[context_mixing.END] = len(raw)
+    model = context_mixing.train(spark.createDataFrame(rows, "text string").repartition(40), counts)
+    data, places, _ = context_mixing.stream(raw)
+    for ctx, size in zip(context_mixing.contexts(data, places), model.sizes):
+        pair = np.unique(ctx.astype(np.int64) << 8 | data[places])
+        n, node, _ = context_mixing.bits_of(model.code, pair & 255)
+        keys = len(np.unique(np.repeat(pair >> 8, n) << 8 | node))
+        assert 2 ** size >= 0.8 * keys
+    assert max(model.sizes) > 16
+    table = np.zeros((2, context_mixing.bases(model.sizes)[-1]), np.int32)
+    context_mixing.count_slots(model.code, raw, table, model.sizes)
+    assert np.array_equal(np.memmap(model.odds, "<f2", "r"), context_mixing.odds_of(table))
