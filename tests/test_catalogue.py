@@ -1,5 +1,7 @@
 """Every query with SQL against DuckDB on the smallest tables."""
 
+import math
+
 import duckdb
 import pytest
 
@@ -51,3 +53,42 @@ def test_empty_inputs(spark):
     none = spark.createDataFrame([], "idx long, lng double, lat double")
     assert points.bounds(none, "lng").first().min_lng == 0.0
     assert points.cluster_by_grid(none, 1000.0, 1).count() == 0
+
+
+def _contours(z, interval):
+    """Marching squares of a dict by (row, col), cell by cell."""
+    found, level = [], (math.floor(min(z.values()) / interval) + 1) * interval
+    while level <= max(z.values()):
+        for (r, c), a in z.items():
+            if not {(r, c + 1), (r + 1, c), (r + 1, c + 1)} <= z.keys():
+                continue
+            b, d, e = z[r, c + 1], z[r + 1, c], z[r + 1, c + 1]
+            cut = lambda u, v, p: p + (0.5 if abs(v - u) < 1e-10 else (level - u) / (v - u))
+            bottom, top, left, right = (lambda: (cut(a, b, c), r)), (lambda: (cut(d, e, c), r + 1)), (lambda: (c, cut(a, d, r))), (lambda: (c + 1, cut(b, e, r)))
+            sides = {1: "bl", 14: "bl", 2: "br", 13: "br", 3: "lr", 12: "lr", 4: "rt", 11: "rt", 5: "blrt", 6: "bt", 9: "bt", 7: "lt", 8: "lt", 10: "brlt"}
+            s = sides.get((a >= level) + 2 * (b >= level) + 4 * (e >= level) + 8 * (d >= level), "")
+            at = {"b": bottom, "t": top, "l": left, "r": right}
+            found += [(level, *at[s[k]](), *at[s[k + 1]]()) for k in range(0, len(s), 2)]
+        level += interval
+    return sorted(tuple(round(float(v), 6) + 0.0 for v in x) for x in found)
+
+
+def test_contours_with_saddles(spark):
+    from geoloom.operators import shapes
+
+    z = {(r, c): float((r * 7 + c * 11) % 13 - 6) + 0.25 * ((r + c) % 3) for r in range(7) for c in range(6)}
+    z |= {(0, 0): 5.0, (0, 1): -5.0, (1, 0): -5.0, (1, 1): 5.0, (0, 2): 5.0, (1, 2): -5.0}
+    grid = spark.createDataFrame([(*k, v) for k, v in z.items()], "row long, col long, z double")
+    got = sorted(tuple(round(float(v), 6) + 0.0 for v in x) for x in shapes.contour_lines(grid, 2.0).collect())
+    assert got == _contours(z, 2.0)
+
+
+def test_contours_of_the_whole_grid(spark):
+    from geoloom.plans import fixtures
+
+    z = {(r.row, r.col): r.z for r in fixtures.spark(spark, SF, "grid").collect()}
+    assert max(r for r, _ in z) >= 64
+    got = sorted(tuple(float(v) + 0.0 for v in x) for x in catalogue.QUERIES["contour_lines"](spark, SF).collect())
+    want = _contours(z, 10.0)
+    assert len(got) == len(want) and max(x[2] for x in got) > 64
+    assert all(abs(a - b) < 2e-6 for x, y in zip(got, want) for a, b in zip(x, y))
