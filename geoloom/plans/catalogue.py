@@ -270,21 +270,24 @@ _add("contour_lines", lambda s, d: _round(shapes.contour_lines(fixtures.spark(s,
 # ---------------------------------------------------------------- searches: every 500th point against all
 
 
-def _boxes(s, d):
-    p = fixtures.spark(s, d, "china").where("idx % 500 = 0")
+def _boxes(s, d, every=500):
+    p = fixtures.spark(s, d, "china").where(F.col("idx") % every == 0)
     return points.bbox_join(fixtures.spark(s, d, "china"), p.select(F.col("idx").alias("box"), (F.col("lng") - 1).alias("x0"), (F.col("lat") - 1).alias("y0"), (F.col("lng") + 1).alias("x1"), (F.col("lat") + 1).alias("y1")), 2.0)
 
 
 _add("bbox_join", _boxes, f"WITH p AS (SELECT * FROM {_src('china')}) SELECT q.idx AS box, p.idx FROM p JOIN p q ON q.idx % 500 = 0 AND p.lng BETWEEN q.lng-1 AND q.lng+1 AND p.lat BETWEEN q.lat-1 AND q.lat+1")
 
 
-def _knn(s, d):
+def _knn(s, d, every=500):
     p = fixtures.spark(s, d, "china")
-    q = p.where("idx % 500 = 0").select(F.col("idx").alias("qid"), F.col("lng").alias("qx"), F.col("lat").alias("qy"))
+    q = p.where(F.col("idx") % every == 0).select(F.col("idx").alias("qid"), F.col("lng").alias("qx"), F.col("lat").alias("qy"))
     return points.knn(p, q, 5, 0.5).select("qid", "idx", F.round("d2", 9).alias("d2"))
 
 
 _add("knn", _knn, f"WITH p AS (SELECT * FROM {_src('china')}) SELECT qid, idx, round(d2, 9) AS d2 FROM (SELECT q.idx AS qid, p.idx, power(p.lng-q.lng,2)+power(p.lat-q.lat,2) AS d2 FROM p, p q WHERE q.idx % 500 = 0) t QUALIFY row_number() OVER (PARTITION BY qid ORDER BY t.d2, idx) <= 5")
+# the same with every 100th point; the two above stay as their SQL has them
+_add("bbox_join_100", lambda s, d: _boxes(s, d, 100), ORACLE_SQL["bbox_join"].replace("% 500", "% 100"))
+_add("knn_100", lambda s, d: _knn(s, d, 100), ORACLE_SQL["knn"].replace("% 500", "% 100"))
 _add("octree_nodes", lambda s, d: points.octree_counts(fixtures.spark(s, d, "cloud"), 500, 21).groupBy("level").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("points")))
 _add("screen_space_error", lambda s, d: _round(fixtures.spark(s, d, "cloud").select("idx", geodesy.screen_space_error(F.col("z"), F.col("x") + 1.0, math.radians(60), 1080.0).alias("sse")), 3),
      f"SELECT idx, round(z / ((x + 1) * 2 * tan(radians(30e0)) / 1080), 3) + 0.0 AS sse FROM {_src('cloud')}")

@@ -92,3 +92,11 @@ def test_contours_of_the_whole_grid(spark):
     want = _contours(z, 10.0)
     assert len(got) == len(want) and max(x[2] for x in got) > 64
     assert all(abs(a - b) < 2e-6 for x, y in zip(got, want) for a, b in zip(x, y))
+
+
+@pytest.mark.parametrize("name, key", [("bbox_join_100", "box"), ("knn_100", "qid")])
+def test_every_hundredth_point_is_searched(spark, name, key):
+    from geoloom.plans import fixtures
+
+    ids = {r.idx for r in fixtures.spark(spark, SF, "china").where("idx % 100 = 0").collect()}
+    assert {r[key] for r in catalogue.QUERIES[name](spark, SF).select(key).distinct().collect()} == ids
