@@ -3,8 +3,7 @@
 A text is its lower-cased tokens joined by single spaces and closed by an end byte; bytes
 are predicted bit by bit along a Huffman code of the training bytes. Hashed contexts (orders
 2, 3 and 5, and the begun word) each look up a log-odds prediction; a mixer adds these up with
-weights of the set that a gate opens (how well the begun word and the longest order are
-known), and a bias by gate. Weights and biases start equal for every text and are refined
+weights of the set that a gate opens (how well the begun word is known), and a bias by gate. Weights and biases start equal for every text and are refined
 online within it, block by block, so a text's score depends on the corpus counts and itself
 alone. Total bits, and bits a byte, follow.
 
@@ -427,7 +426,7 @@ class Scorer:
         n, node, bit = bits_of(self.code, data[places])
         f = np.zeros((N_GATE * (N_CTX + 1), len(node)), np.float32)
         x = [self.odds[i][slots(self.sizes[i], ctx[i], n, node)].astype(np.float32) for i in range(N_CTX)]
-        word, order = np.abs(x[3]), np.abs(x[2])
+        word = np.abs(x[3])
         gates = [word > 3, (word <= 3) & (word > 1), word <= 1]
         for g, open_ in enumerate(gates):
             k = g * (N_CTX + 1)
