@@ -35,10 +35,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: it cuts lineage, survives lost
-    executors, and fixes what a sampling or range shuffle has dealt out."""
+    executors, and fixes what a sampling or range shuffle has dealt out. ``discard`` deletes it."""
     path = shared_dir(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables whose last reader is done."""
+    for df in tables:
+        if path := getattr(df, "_folder", None):
+            jvm, jsc = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Rows of a few bytes that ``lookup`` sends to every executor at most: some 100 MB there.
+LOOKUP = 2_000_000
+
+
+def lookup(large: DataFrame, small: DataFrame, on: list[str], how: str) -> DataFrame:
+    """``large`` joined with ``small``, a table of ids. Its rows are counted: up to LOOKUP of
+    them are broadcast, so that the large side stays where it lies; more are joined by a shuffle."""
+    return large.join(small.hint("broadcast" if small.count() <= LOOKUP else "merge"), on, how)
 
 
 def stem(spark: SparkSession, documents: DataFrame, *extra: str) -> DataFrame:
