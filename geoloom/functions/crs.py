@@ -134,3 +134,26 @@ def best_region(min_lng: Column, min_lat: Column, max_lng: Column, max_lat: Colu
     """GCJ-02 where the centre is in China, Web Mercator for a span over 10 degrees, else WGS84."""
     wide = (max_lng - min_lng > 10) | (max_lat - min_lat > 10)
     return F.when(in_china((min_lng + max_lng) / 2, (min_lat + max_lat) / 2), "GCJ-02").when(wide, "EPSG:3857").otherwise("EPSG:4326")
+
+
+#: The coordinate systems that are known, with their other names and bounds.
+SYSTEMS = [
+    ("EPSG:4326", "WGS 84", ("WGS84", "WGS-84"), (-180.0, -90.0, 180.0, 90.0), "degree"),
+    ("EPSG:3857", "Web Mercator", ("WebMercator", "Web Mercator"), (-180.0, -85.05, 180.0, 85.05), "meter"),
+    ("EPSG:4490", "CGCS2000", ("CGCS2000",), (73.66, 3.86, 135.05, 53.55), "degree"),
+    ("GCJ-02", "GCJ-02 (Mars)", ("GCJ02",), (73.66, 3.86, 135.05, 53.55), "degree"),
+    ("BD-09", "BD-09", ("BD09",), (73.66, 3.86, 135.05, 53.55), "degree"),
+]
+
+
+def supported(spark):
+    """(code, name, unit, min_lng, min_lat, max_lng, max_lat) of every known system."""
+    return spark.createDataFrame([(c, n, u, *b) for c, n, _, b, u in SYSTEMS], "code string, name string, unit string, min_lng double, min_lat double, max_lng double, max_lat double")
+
+
+def info(code: str) -> dict | None:
+    """One system by its code or another name of it; None if it isn't known."""
+    for c, n, other, b, u in SYSTEMS:
+        if code == c or code in other:
+            return {"code": c, "name": n, "unit": u, "bounds": dict(zip(("minLng", "minLat", "maxLng", "maxLat"), b))}
+    return None

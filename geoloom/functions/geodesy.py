@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,13 +61,10 @@ def rhumb_bearing(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Col
     return F.pmod(F.degrees(F.atan2(_turn(F.radians(lng2 - lng1)), _isometric(lat2, flat) - _isometric(lat1, flat))) + 360.0, F.lit(360.0))
 
 
-def geohash(lng: Column, lat: Column, precision: int) -> Column:
-    """Cells by integer halving of both axes; precision is brought into 1..12."""
-    precision = max(1, min(12, precision))
+def _letters(x: Column, y: Column, precision: int) -> Column:
+    """The hash of a cell by its column and row."""
     bits = 5 * precision
     nx, ny = (bits + 1) // 2, bits // 2
-    x = F.least(F.greatest(F.floor((lng + 180.0) / 360.0 * 2 ** nx), F.lit(0)), F.lit(2 ** nx - 1)).cast("long")
-    y = F.least(F.greatest(F.floor((lat + 90.0) / 180.0 * 2 ** ny), F.lit(0)), F.lit(2 ** ny - 1)).cast("long")
     out = []
     for k in range(precision):
         code = F.lit(0).cast("long")
@@ -76,10 +75,17 @@ def geohash(lng: Column, lat: Column, precision: int) -> Column:
     return F.concat(*out)
 
 
-def geohash_decode(code: Column, precision: int) -> dict[str, Column]:
-    """Centre and half sizes of the cell of a hash of ``precision`` letters."""
-    bits = 5 * precision
-    nx, ny = (bits + 1) // 2, bits // 2
+def geohash(lng: Column, lat: Column, precision: int) -> Column:
+    """Cells by integer halving of both axes; precision is brought into 1..12."""
+    precision = max(1, min(12, precision))
+    nx, ny = (5 * precision + 1) // 2, 5 * precision // 2
+    x = F.least(F.greatest(F.floor((lng + 180.0) / 360.0 * 2 ** nx), F.lit(0)), F.lit(2 ** nx - 1)).cast("long")
+    y = F.least(F.greatest(F.floor((lat + 90.0) / 180.0 * 2 ** ny), F.lit(0)), F.lit(2 ** ny - 1)).cast("long")
+    return _letters(x, y, precision)
+
+
+def _cell(code: Column, precision: int) -> tuple[Column, Column]:
+    """Column and row of the cell of a hash."""
     x = y = F.lit(0).cast("long")
     for k in range(precision):
         v = (F.instr(F.lit(BASE32), F.substring(code, k + 1, 1)) - 1).cast("long")
@@ -89,10 +95,92 @@ def geohash_decode(code: Column, precision: int) -> dict[str, Column]:
                 x = x * 2 + bit
             else:
                 y = y * 2 + bit
-    w, h = 360.0 / 2 ** nx, 180.0 / 2 ** ny
+    return x, y
+
+
+def geohash_decode(code: Column, precision: int) -> dict[str, Column]:
+    """Centre and half sizes of the cell of a hash of ``precision`` letters."""
+    x, y = _cell(code, precision)
+    w, h = 360.0 / 2 ** ((5 * precision + 1) // 2), 180.0 / 2 ** (5 * precision // 2)
     return {"lng": (x + 0.5) * w - 180.0, "lat": (y + 0.5) * h - 90.0, "err_lng": F.lit(w / 2), "err_lat": F.lit(h / 2)}
 
 
+#: The sides of a cell, as steps of columns and rows.
+AROUND = {"n": (0, 1), "ne": (1, 1), "e": (1, 0), "se": (1, -1), "s": (0, -1), "sw": (-1, -1), "w": (-1, 0), "nw": (-1, 1)}
+
+
+def geohash_neighbors(df, code: str, precision: int):
+    """``df`` with the eight hashes around the hash in column ``code``; the outermost cells
+    are their own neighbours beyond the rim."""
+    x, y = _cell(F.col(code), precision)
+    nx, ny = (5 * precision + 1) // 2, 5 * precision // 2
+    step = lambda c, d, n: F.least(F.greatest(F.col(c) + d, F.lit(0)), F.lit(2 ** n - 1)).cast("long")
+    cells = df.withColumns({"_x": x, "_y": y})
+    return cells.withColumns({k: _letters(step("_x", dx, nx), step("_y", dy, ny), precision) for k, (dx, dy) in AROUND.items()}).drop("_x", "_y")
+
+
+def vincenty(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Column:
+    """Metres on the WGS84 ellipsoid. Equal points are 0 apart; nearly antipodal ones, where the
+    iteration has not settled after 200 steps, give NaN. The iteration runs on whole Arrow
+    batches, and only for the rows that have not settled."""
+    @F.pandas_udf("double")
+    def run(x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series) -> pd.Series:
+        a, f = 6378137.0, 1 / 298.257223563
+        b = a * (1 - f)
+        x1, y1, x2, y2 = (v.to_numpy(float) for v in (x1, y1, x2, y2))
+        u1, u2, d = np.arctan((1 - f) * np.tan(np.radians(y1))), np.arctan((1 - f) * np.tan(np.radians(y2))), np.radians(x2 - x1)
+        out = np.full(len(d), np.nan)
+        same = (np.abs(x1 - x2) < 1e-12) & (np.abs(y1 - y2) < 1e-12)
+        out[same] = 0.0
+        todo, lam = np.flatnonzero(~same), d.copy()
+        for _ in range(200):
+            if not len(todo):
+                break
+            s1, c1, s2, c2 = np.sin(u1[todo]), np.cos(u1[todo]), np.sin(u2[todo]), np.cos(u2[todo])
+            sl, cl = np.sin(lam[todo]), np.cos(lam[todo])
+            sin_s = np.hypot(c2 * sl, c1 * s2 - s1 * c2 * cl)
+            zero = sin_s < 1e-15
+            out[todo[zero]] = 0.0
+            cos_s = s1 * s2 + c1 * c2 * cl
+            sigma = np.arctan2(sin_s, cos_s)
+            sin_a = c1 * c2 * sl / np.where(zero, 1, sin_s)
+            cos2_a = 1 - sin_a ** 2
+            mid = np.where(np.abs(cos2_a) < 1e-15, 0.0, cos_s - 2 * s1 * s2 / np.where(cos2_a == 0, 1, cos2_a))
+            c = f / 16 * cos2_a * (4 + f * (4 - 3 * cos2_a))
+            new = d[todo] + (1 - c) * f * sin_a * (sigma + c * sin_s * (mid + c * cos_s * (2 * mid ** 2 - 1)))
+            done = ~zero & (np.abs(new - lam[todo]) < 1e-12)
+            uu = cos2_a * (a * a - b * b) / (b * b)
+            k_a = 1 + uu / 16384 * (4096 + uu * (-768 + uu * (320 - 175 * uu)))
+            k_b = uu / 1024 * (256 + uu * (-128 + uu * (74 - 47 * uu)))
+            turn = k_b * sin_s * (mid + k_b / 4 * (cos_s * (2 * mid ** 2 - 1) - k_b / 6 * mid * (4 * sin_s ** 2 - 3) * (4 * mid ** 2 - 3)))
+            out[todo[done]] = (b * k_a * (sigma - turn))[done]
+            lam[todo] = new
+            todo = todo[~zero & ~done]
+        return pd.Series(out)
+
+    return run(lng1, lat1, lng2, lat2)
+
+
+def segment_distance_sq(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Planar squared distance of a point and a segment."""
+    dx, dy = x2 - x1, y2 - y1
+    n = dx * dx + dy * dy
+    t = F.when(n < 1e-20, 0.0).otherwise(F.least(F.greatest(((px - x1) * dx + (py - y1) * dy) / F.nullif(n, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)))
+    return (px - (x1 + t * dx)) ** 2 + (py - (y1 + t * dy)) ** 2
+
+
+def oct16_decode(code: Column) -> tuple[Column, Column, Column]:
+    """The unit vector of two octahedral bytes."""
+    x, y = F.shiftright(code, 8) / F.lit(255.0) * 2 - 1, code.bitwiseAND(F.lit(255)) / F.lit(255.0) * 2 - 1
+    low = 1 - F.abs(x) - F.abs(y) < 0
+    sgn = lambda v: F.when((F.abs(v) > 1e-10) & (v < 0), -1.0).otherwise(1.0)
+    ox, oy = F.when(low, (1 - F.abs(y)) * sgn(x)).otherwise(x), F.when(low, (1 - F.abs(x)) * sgn(y)).otherwise(y)
+    # the height is that of the unfolded point on the upper side, and its mirror below
+    oz = 1 - F.abs(x) - F.abs(y)
+    n = F.greatest(F.sqrt(ox * ox + oy * oy + oz * oz), F.lit(1e-10))
+    return ox / n, oy / n, oz / n
+
+
 def oct16(nx: Column, ny: Column, nz: Column) -> Column:
     """A unit vector in two bytes, octahedral."""
     sgn = lambda v: F.when(v >= 0, 1.0).otherwise(-1.0)
@@ -128,3 +216,43 @@ TERRAIN = [(0.0, (0, 0, 128)), (0.25, (0, 128, 0)), (0.5, (255, 255, 0)), (0.75,
 HEAT = [(0.0, (0, 0, 255)), (0.25, (0, 255, 255)), (0.5, (0, 255, 0)), (0.75, (255, 255, 0)), (1.0, (255, 0, 0))]
 OCEAN = [(0.0, (0, 0, 80)), (0.5, (0, 64, 192)), (1.0, (100, 200, 255))]
 GREY = [(0.0, (0, 0, 0)), (1.0, (255, 255, 255))]
+
+# Colours of the classes 0 to 22; others are grey.
+CLASSES = [(255, 255, 255), (139, 90, 43), (34, 139, 34), (0, 180, 0), (0, 100, 0), (100, 100, 255), (139, 0, 0), (192, 192, 192), (255, 255, 0), (0, 0, 255), (255, 165, 0), (100, 100, 100),
+           (128, 0, 128), (0, 255, 255), (255, 0, 255), (255, 0, 0), (255, 69, 0), (210, 180, 140), (200, 0, 0), (148, 0, 211), (101, 67, 33), (173, 216, 230), (255, 192, 203)]
+OTHER_CLASS = (128, 128, 128)
+
+
+def class_colour(cls: Column) -> list[Column]:
+    """RGB of a class by the fixed table."""
+    known = cls.between(0, len(CLASSES) - 1)
+    return [F.when(known, F.get(F.array(*[F.lit(c[k]) for c in CLASSES]), cls.cast("int"))).otherwise(OTHER_CLASS[k]).cast("int") for k in range(3)]
+
+
+def height_colour(z: Column, low: float, high: float, a: tuple, b: tuple) -> list[Column]:
+    """RGBA in 0..1 between the colours a and b (0..255) by height; the middle for a flat range."""
+    flat = abs(high - low) < 1e-10
+    t = F.lit(0.5) if flat else F.least(F.greatest((z - low) / (high - low), F.lit(0.0)), F.lit(1.0))
+    return [*((F.lit(float(p)) + t * float(q - p)) / 255.0 for p, q in zip(a, b)), F.lit(1.0)]
+
+
+def intensity_colour(intensity: Column) -> list[Column]:
+    """Grey RGBA in 0..1 of an intensity in 0..255; 128 where there is none."""
+    v = F.least(F.greatest(F.coalesce(intensity, F.lit(128.0)) / 255.0, F.lit(0.0)), F.lit(1.0))
+    return [v, v, v, F.lit(1.0)]
+
+
+def padded_colour(r: Column, g: Column, b: Column, a: Column) -> list[Column]:
+    """A point's own RGBA, half grey where it has none."""
+    return [F.coalesce(c, F.lit(d)) for c, d in ((r, 0.5), (g, 0.5), (b, 0.5), (a, 1.0))]
+
+
+def colour_ramp(spark, stops: list[tuple[int, int, int]], steps: int):
+    """(step, r, g, b): ``steps`` colours between evenly spaced stops, truncated."""
+    if len(stops) < 2 or steps < 1:
+        raise ValueError("a ramp needs two colours and one step at least")
+    at = F.col("id") / F.lit(float(max(steps - 1, 1))) * (len(stops) - 1)
+    k = F.least(F.floor(at), F.lit(len(stops) - 2)).cast("int")
+    chan = lambda c, i: F.get(F.array(*[F.lit(float(s[c])) for s in stops]), i)
+    mixed = lambda c: F.floor((1 - (at - k)) * chan(c, k) + (at - k) * chan(c, k + 1)).cast("int")
+    return spark.range(steps).select(F.col("id").alias("step"), mixed(0).alias("r"), mixed(1).alias("g"), mixed(2).alias("b"))

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.crs import CHINA
 from ..functions.geodesy import R, haversine
 from .durable import durable
 
@@ -37,7 +38,7 @@ def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
 
 
-LIMITS = {"wgs84": (-180.0, 180.0, -90.0, 90.0), "mercator": (-20037508.342789244, 20037508.342789244, -20037508.342789244, 20037508.342789244), "china": (73.66, 135.05, 3.86, 53.55)}
+LIMITS = {"wgs84": (-180.0, 180.0, -90.0, 90.0), "mercator": (-20037508.342789244, 20037508.342789244, -20037508.342789244, 20037508.342789244), "china": CHINA}
 
 
 def valid(lng: Column, lat: Column, crs: str = "wgs84", tol: float = 1e-10) -> Column:
@@ -116,9 +117,82 @@ def rotate(df: DataFrame, axis: tuple[float, float, float], angle: float) -> Dat
 
 def merge(a: DataFrame, b: DataFrame) -> DataFrame:
     """All points of both; a side without colours is grey if the other has some."""
-    colours = [c for c in ("r", "g", "b") if c in a.columns or c in b.columns]
-    out = a.unionByName(b, allowMissingColumns=True)
-    return out.withColumns({c: F.coalesce(c, F.lit(128)) for c in colours})
+    grey = lambda df, other: df.withColumns({c: F.lit(128) for c in ("r", "g", "b") if c in other.columns and c not in df.columns})
+    return grey(a, b).unionByName(grey(b, a), allowMissingColumns=True)
+
+
+def translate(df: DataFrame, dx: float, dy: float, dz: float) -> DataFrame:
+    return df.withColumns({a: F.col(a) + d for a, d in zip("xyz", (dx, dy, dz))})
+
+
+def scale(df: DataFrame, sx: float, sy: float, sz: float) -> DataFrame:
+    return df.withColumns({a: F.col(a) * k for a, k in zip("xyz", (sx, sy, sz))})
+
+
+def _extent(df: DataFrame, *axes: str) -> DataFrame:
+    """One row of lo_/hi_ per axis, to be broadcast."""
+    return df.agg(*(f(a).alias(f"{n}_{a}") for a in axes for n, f in (("lo", F.min), ("hi", F.max))))
+
+
+def normalize(df: DataFrame, *axes: str) -> DataFrame:
+    """Axes brought to 0..1 by the bounds of all rows; a flat axis is 0.5."""
+    span = lambda a: F.col(f"hi_{a}") - F.col(f"lo_{a}")
+    out = df.crossJoin(F.broadcast(_extent(df, *axes)))
+    return out.withColumns({a: F.when(F.abs(span(a)) < 1e-12, 0.5).otherwise((F.col(a) - F.col(f"lo_{a}")) / F.nullif(span(a), F.lit(0.0))) for a in axes}).select(*df.columns)
+
+
+def denormalize(df: DataFrame, **limits: tuple[float, float]) -> DataFrame:
+    """Axes in 0..1 brought to their limits; the lower one for a flat axis."""
+    return df.withColumns({a: F.lit(float(lo)) if abs(hi - lo) < 1e-12 else F.col(a) * (hi - lo) + lo for a, (lo, hi) in limits.items()})
+
+
+def bounds_multi(df: DataFrame, *axes: str) -> DataFrame:
+    """One row of bounds over all buffers; nulls are passed over, without any value they are
+    +inf and -inf."""
+    inf = float("inf")
+    return df.agg(*(F.coalesce(f(a), F.lit(none)).alias(f"{n}_{a}") for a in axes for n, f, none in (("min", F.min, inf), ("max", F.max, -inf))))
+
+
+def ranked(df: DataFrame, *keys: str) -> DataFrame:
+    """``rank``: the place of each row in the order of ``keys``, from 0. Rows are dealt out by
+    range, sorted and numbered where they lie; the parts' sizes give where each begins."""
+    dealt = durable(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = dealt.groupBy(part.alias("_part")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", (before - F.col("_first")).alias("_shift"))  # a row a partition
+    return dealt.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("rank", F.col("_at") + F.col("_shift")).select(*df.columns, "rank")
+
+
+def random_indices(n: int, k: int, seed: int = 12345):
+    """The first k places of a shuffle of 0..n-1 by the fixed linear congruential generator:
+    a step a place, holding only the places that have moved."""
+    moved: dict[int, int] = {}
+    for i in range(min(n, k)):
+        seed = (seed * 1103515245 + 12345) & 0x7FFFFFFF
+        j = min(i + int(seed / 0x7FFFFFFF * (n - i)), n - 1)
+        yield moved.get(j, j)
+        moved[j] = moved.get(i, i)
+
+
+def decimate_random(df: DataFrame, target: int, seed: int = 12345) -> DataFrame:
+    """The rows whose idx (dense, from 0) the generator draws first, with their ``place``. The
+    draw is a chain of ``target`` steps, so one task makes it, a few bytes a place; the rows
+    themselves stay distributed."""
+    spark, n = df.sparkSession, df.count()
+
+    def draw(_):
+        import pandas as pd
+
+        places = []
+        for place, idx in enumerate(random_indices(n, target, seed)):
+            places.append((idx, place))
+            if len(places) == 100_000:
+                yield pd.DataFrame(places, columns=["idx", "place"])
+                places = []
+        yield pd.DataFrame(places, columns=["idx", "place"])
+
+    return df.join(spark.range(1, numPartitions=1).mapInPandas(draw, "idx long, place long"), "idx")
 
 
 def quantize(df: DataFrame, bits: int = 16) -> DataFrame:
@@ -135,40 +209,87 @@ def quantize(df: DataFrame, bits: int = 16) -> DataFrame:
     return df.crossJoin(F.broadcast(b)).select("idx", *(q(a).alias(f"q{a}") for a in "xyz"))
 
 
+def dequantize(df: DataFrame, low: tuple, high: tuple, bits: int = 16) -> DataFrame:
+    """Integers of ``bits`` (qx, qy, qz) back to positions between the bounds, in single precision."""
+    most = F.lit(float(2 ** bits - 1)).cast("float")
+    f32 = lambda c: c.cast("float")
+    back = lambda a, lo, hi: f32(F.lit(float(lo)).cast("float") + f32(f32(f32(F.col(f"q{a}")) / most) * F.lit(float(hi) - float(lo)).cast("float")))
+    return df.select("idx", *(back(a, lo, hi).alias(a) for a, lo, hi in zip("xyz", low, high)))
+
+
+def flip_normals(df: DataFrame) -> DataFrame:
+    """Normals (nx, ny, nz) that point towards the centroid of all points are turned round."""
+    c = df.agg(*(F.avg(a).alias(f"c{a}") for a in "xyz"))
+    out = df.crossJoin(F.broadcast(c))
+    inward = sum(F.col(f"n{a}") * (F.col(a) - F.col(f"c{a}")) for a in "xyz") < 0
+    return out.withColumns({f"n{a}": F.when(inward, -F.col(f"n{a}")).otherwise(F.col(f"n{a}")) for a in "xyz"}).select(*df.columns)
+
+
 # ---------------------------------------------------------------- searches
 
+def _covered(boxes: DataFrame, cell: float, most: int = 4) -> DataFrame:
+    """Boxes with the cells they meet, of the level (cell size doubled ``level`` times) at which
+    a side is ``most`` cells at most, so a box of any size meets at most (most + 1)^2."""
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(cell))
+    level = F.greatest(F.ceil(F.log2(side / (cell * most))), F.lit(0)).cast("int")
+    out = boxes.withColumn("level", level).withColumn("w", F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("level")))
+    for axis, lo, hi in (("cx", "x0", "x1"), ("cy", "y0", "y1")):
+        out = out.where(F.col(lo) <= F.col(hi)).withColumn(axis, F.explode(F.sequence(F.floor(F.col(lo) / F.col("w")), F.floor(F.col(hi) / F.col("w")))))
+    return out
+
+
+def _cells(points: DataFrame, levels: list[int], cell: float) -> DataFrame:
+    """A row of each point for each level, with its cell there."""
+    out = points.withColumn("level", F.explode(F.array(*[F.lit(i) for i in levels])))
+    w = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("level"))
+    return out.withColumns({"cx": F.floor(F.col("lng") / w), "cy": F.floor(F.col("lat") / w)})
+
+
 def bbox_join(points: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:
     """(box, idx) for every point in a closed box (box, x0, y0, x1, y1), by cells: a box goes
-    to the cells that it meets, a point to its own, so this is an equi-join, then a check."""
-    spread = boxes.select("*", F.explode(F.sequence(F.floor(F.col("x0") / cell), F.floor(F.col("x1") / cell))).alias("cx")).select("*", F.explode(F.sequence(F.floor(F.col("y0") / cell), F.floor(F.col("y1") / cell))).alias("cy"))
-    own = points.select("idx", "lng", "lat", F.floor(F.col("lng") / cell).alias("cx"), F.floor(F.col("lat") / cell).alias("cy"))
-    return own.join(spread, ["cx", "cy"]).where(F.col("lng").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1"))).select("box", "idx")
+    to the cells that it meets, on the level that its size asks for, a point to its own on
+    the levels that boxes have, so this is an equi-join, then a check. Few boxes are broadcast;
+    with many, Spark's skew join splits a hot cell."""
+    spread = durable(_covered(boxes, cell))
+    levels = [r["level"] for r in spread.select("level").distinct().collect()]  # one for each doubling of the box size
+    own = _cells(points.select("idx", "lng", "lat"), levels or [0], cell)
+    return own.join(spread.drop("w"), ["level", "cx", "cy"]).where(F.col("lng").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1"))).select("box", "idx")
 
 
-def knn(points: DataFrame, queries: DataFrame, k: int, cell: float, rounds: int = 24) -> DataFrame:
+def knn(points: DataFrame, queries: DataFrame, k: int, cell: float) -> DataFrame:
     """The k nearest points (planar, ties by idx) of each query (qid, qx, qy): (qid, idx, d2, rank).
 
-    Rings of cells are widened, doubling, for those queries only whose k-th hit may still be
-    beaten from outside the rings; each round is an equi-join on cells.
+    Cells double in size from level to level, and a query looks at the nine around its own: a
+    level is an equi-join of nine rows a query, whatever the distance. A query is done when k
+    hits are nearer than the rim of its nine cells; the others go on to the next level. At a
+    level whose nine cells cover all points every query is done, so none is left out.
     """
-    own = points.select("idx", "lng", "lat", F.floor(F.col("lng") / cell).alias("cx"), F.floor(F.col("lat") / cell).alias("cy"))
+    own = points.select("idx", "lng", "lat")
     total = points.limit(k).count()
-    todo, found, reach = queries, None, 1
-    for _ in range(rounds):
-        near = lambda c: F.explode(F.sequence(F.floor(F.col(c) / cell) - reach, F.floor(F.col(c) / cell) + reach))  # noqa: E731, B023
+    if not total:
+        return queries.limit(0).select("qid", F.lit(0).cast("long").alias("idx"), F.lit(0.0).alias("d2"), F.lit(0).alias("rank"))
+    todo, found, level = queries.select("qid", "qx", "qy"), None, 0
+    span = points.agg(F.min("lng").alias("x0"), F.max("lng").alias("x1"), F.min("lat").alias("y0"), F.max("lat").alias("y1")).crossJoin(queries.agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("qx", "qy") for f in (F.min, F.max)))).first()
+    if span["min_qx"] is None:
+        return todo.select("qid", F.lit(0).cast("long").alias("idx"), F.lit(0.0).alias("d2"), F.lit(0).alias("rank"))
+    reach = max(span["x1"], span["max_qx"]) - min(span["x0"], span["min_qx"]), max(span["y1"], span["max_qy"]) - min(span["y0"], span["min_qy"])
+    last = max(0, math.ceil(math.log2(max(*reach, cell) / cell)) + 1)
+    while True:
+        w = cell * 2.0 ** level
+        near = lambda c: F.explode(F.sequence(F.floor(F.col(c) / w) - 1, F.floor(F.col(c) / w) + 1))  # noqa: E731, B023
         cells = todo.select("qid", "qx", "qy", near("qx").alias("cx")).select("*", near("qy").alias("cy"))
         d2 = (F.col("lng") - F.col("qx")) ** 2 + (F.col("lat") - F.col("qy")) ** 2
-        hits = cells.join(own, ["cx", "cy"]).select("qid", "qx", "qy", "idx", d2.alias("d2"))
-        ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("d2", "idx"))).where(F.col("rank") <= k)
-        safe = ranked.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.max("d2").alias("worst")).where((F.col("n") >= total) & (F.sqrt("worst") <= reach * cell)).select("qid")
-        safe = durable(safe)
-        done = ranked.join(safe, "qid", "left_semi").select("qid", "idx", "d2", "rank")
+        hits = cells.join(own.withColumns({"cx": F.floor(F.col("lng") / w), "cy": F.floor(F.col("lat") / w)}), ["cx", "cy"]).select("qid", "qx", "qy", "idx", d2.alias("d2"))
+        ranked_ = durable(hits.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("d2", "idx"))).where(F.col("rank") <= k))
+        inside = [F.col(c) - F.floor(F.col(c) / w) * w for c in ("qx", "qy")]
+        rim = F.least(*(F.least(i, F.lit(w) - i) for i in inside)) + w
+        safe = ranked_.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.max("d2").alias("worst"), F.first(rim).alias("rim")).where((F.col("n") >= total) & ((F.sqrt("worst") < F.col("rim")) | F.lit(level >= last))).select("qid")
+        done = ranked_.join(safe, "qid", "left_semi").select("qid", "idx", "d2", "rank")
         found = done if found is None else found.unionAll(done)
         todo = durable(todo.join(safe, "qid", "left_anti"))
         if todo.isEmpty():
-            break
-        reach *= 2
-    return found
+            return found
+        level += 1
 
 
 def nearest_spacing(points: DataFrame, cell: float) -> DataFrame:
@@ -178,35 +299,145 @@ def nearest_spacing(points: DataFrame, cell: float) -> DataFrame:
     return two.agg(F.avg(F.sqrt("d2")).alias("spacing"))
 
 
-def dbscan_core(points: DataFrame, metres: float, min_points: int) -> DataFrame:
-    """(idx, n, core): neighbours within ``metres`` besides oneself, by cells of that height."""
+# ---------------------------------------------------------------- density clusters
+
+def _neighbours(points: DataFrame, metres: float) -> DataFrame:
+    """(idx, j) of all pairs within ``metres`` of each other, each both ways, by cells of that
+    height whose width in degrees is that of their band's far edge."""
     d_lat = math.degrees(metres / R) * 1.000001
-    rows = points.withColumn("cy", F.floor(F.col("lat") / d_lat))
-    other = points.select(F.col("idx").alias("j"), F.col("lng").alias("x"), F.col("lat").alias("y")).withColumn("cy", F.explode(F.array(*(F.floor(F.col("y") / d_lat) + i for i in (-1, 0, 1)))))
-    pairs = rows.join(other, "cy").where((F.col("idx") != F.col("j")) & (haversine(F.col("lng"), F.col("lat"), F.col("x"), F.col("y")) <= metres))
-    count = pairs.groupBy("idx").agg(F.count(F.lit(1)).alias("n"))
-    return points.join(count, "idx", "left").select("idx", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) >= min_points).alias("core"))
+    band = lambda y: F.floor(F.col(y) / d_lat)
+    # the band's largest |latitude|, and its neighbours' too: wide enough on all three
+    far = lambda b: F.least((F.greatest(F.abs(b - 1), F.abs(b + 2))) * d_lat, F.lit(89.9))
+    width = lambda b: F.lit(d_lat) / F.cos(F.radians(far(b)))
+    rows = points.select("idx", "lng", "lat", band("lat").alias("cy")).withColumn("cx", F.floor(F.col("lng") / width(F.col("cy"))))
+    other = points.select(F.col("idx").alias("j"), F.col("lng").alias("x"), F.col("lat").alias("y")).withColumn("by", band("y"))
+    other = other.withColumn("cy", F.explode(F.array(*(F.col("by") + i for i in (-1, 0, 1)))))
+    other = other.withColumn("cx", F.explode(F.array(*(F.floor(F.col("x") / width(F.col("cy"))) + i for i in (-1, 0, 1)))))
+    # the cells on both sides of the date line are neighbours as well
+    turned = lambda df: df.unionAll(df.withColumn("x2", F.when(F.col("x") < 0, F.col("x") + 360).otherwise(F.col("x") - 360)).withColumn("cx", F.explode(F.array(*(F.floor(F.col("x2") / width(F.col("cy"))) + i for i in (-1, 0, 1))))).drop("x2").where((F.abs("x") > 180 - 2 * width(F.col("cy")))))
+    pairs = rows.join(turned(other), ["cx", "cy"]).where((F.col("idx") != F.col("j")) & (haversine(F.col("lng"), F.col("lat"), F.col("x"), F.col("y")) <= metres))
+    return pairs.select("idx", "j").distinct()
+
+
+def dbscan(points: DataFrame, metres: float, min_points: int) -> DataFrame:
+    """(idx, cluster): density clusters by great-circle distance, -1 for noise.
+
+    A point with ``min_points`` others within ``metres`` is a core; cores in reach of each
+    other are one cluster, numbered by the smallest idx of its cores, from 0. A border point
+    goes to the first of the clusters in its reach. Clusters grow by neighbourhood minima and
+    jumps, a durable round at a time; nothing is collected.
+    """
+    if metres <= 0:
+        return points.select("idx", F.lit(-1).cast("long").alias("cluster"))
+    near = durable(_neighbours(points, metres))
+    core = durable(near.groupBy("idx").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_points).select("idx"))
+    if min_points <= 0:
+        core = durable(points.select("idx"))
+    edges = durable(near.join(core, "idx", "left_semi").join(core.select(F.col("idx").alias("j")), "j", "left_semi").select("idx", "j"))
+    label = durable(core.withColumn("c", F.col("idx")))
+    while True:
+        least = edges.join(label.select(F.col("idx").alias("j"), "c"), "j").groupBy("idx").agg(F.min("c").alias("m"))
+        step = durable(label.join(least, "idx", "left").select("idx", F.col("c").alias("old"), F.least("c", F.coalesce("m", "c")).alias("c")))
+        jump = step.select(F.col("idx").alias("c"), F.col("c").alias("up"))
+        new = durable(step.join(jump, "c").select("idx", "old", F.col("up").alias("c")))
+        label = new.select("idx", "c")
+        if new.where("old <> c").isEmpty():
+            break
+    border = near.join(label.select(F.col("idx").alias("j"), "c"), "j").join(core, "idx", "left_anti").groupBy("idx").agg(F.min("c").alias("c"))
+    named = durable(label.unionAll(border.select("idx", "c")))
+    numbers = ranked(named.select("c").distinct(), "c").select("c", F.col("rank").alias("cluster"))
+    return points.select("idx").join(named.join(numbers, "c").select("idx", "cluster"), "idx", "left").select("idx", F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster"))
 
 
-def octree_counts(cloud: DataFrame, max_points: int, max_depth: int) -> DataFrame:
-    """(path, level, n) of every node: a node of more than ``max_points`` splits in eight while
-    its depth allows. Paths grow a digit a level; only points of splitting nodes go on."""
-    b = cloud.agg(*(f(a) for a in "xyz" for f in (F.min, F.max))).first()
-    if b[0] is None:
-        return cloud.sparkSession.createDataFrame([], "path string, level int, n long")
-    cur = cloud.select("idx", "x", "y", "z", F.lit("").alias("path"), *(F.lit(float(v)).alias(n) for n, v in zip(("x0", "x1", "y0", "y1", "z0", "z1"), b)))
-    out = None
-    for level in range(max_depth + 1):
-        nodes = durable(cur.groupBy("path").agg(F.count(F.lit(1)).alias("n")).select("path", F.lit(level).alias("level"), "n"))
-        out = nodes if out is None else out.unionAll(nodes)
-        split = nodes.where(F.col("n") > max_points).select("path")
-        if level == max_depth or split.isEmpty():
+# ---------------------------------------------------------------- octree
+
+MORTON = 21
+
+
+def _digits(cloud: DataFrame, b, depth: int) -> DataFrame:
+    """Cloud rows with ``code``: the octants from the root down, three bits a level."""
+    out = cloud
+    for a in "xyz":
+        lo, hi = float(b[f"lo_{a}"]), float(b[f"hi_{a}"])
+        # halving the bounds ``depth`` times is one division, but for points on the very edge of a cell
+        cells = F.floor((F.col(a) - lo) / ((hi - lo) or 1.0) * float(2 ** depth)) if hi > lo else F.lit(2 ** depth - 1)
+        out = out.withColumn(f"_c{a}", F.least(F.greatest(cells, F.lit(0)), F.lit(2 ** depth - 1)).cast("long"))
+    bit = lambda c, k: F.shiftright(c, k).bitwiseAND(F.lit(1).cast("long"))
+    code = F.lit(0).cast("long")
+    for k in range(depth - 1, -1, -1):
+        code = F.shiftleft(code, 3).bitwiseOR(F.shiftleft(bit(F.col("_cx"), k), 2)).bitwiseOR(F.shiftleft(bit(F.col("_cy"), k), 1)).bitwiseOR(bit(F.col("_cz"), k))
+    return out.withColumn("code", code).drop("_cx", "_cy", "_cz")
+
+
+def octree(cloud: DataFrame, max_points: int, max_depth: int) -> DataFrame:
+    """(path, level, n, leaf, min_x .. max_z) of every node, empty ones too.
+
+    Rows that aren't finite are left out. A node of more than ``max_points`` is split in eight
+    while its level is below ``max_depth`` and its points lie in two octants at least. The
+    octants of a point come from its place within the root's bounds, once; a level then is a
+    count of code prefixes, of one row for each distinct code and not for each point. No points
+    make one empty root of zero bounds.
+    """
+    rows = cloud.where(finite(F.col("x")) & finite(F.col("y")) & finite(F.col("z"))).select("x", "y", "z")
+    b = _extent(rows, *"xyz").first()
+    spark, names = cloud.sparkSession, ["min_x", "min_y", "min_z", "max_x", "max_y", "max_z"]
+    schema = "path string, level int, n long, leaf boolean, " + ", ".join(f"{n} double" for n in names)
+    if b["lo_x"] is None:
+        return spark.createDataFrame([("", 0, 0, True, *([0.0] * 6))], schema)
+    depth = min(max_depth, MORTON)
+    codes = durable(_digits(rows, b, depth).groupBy("code").agg(F.count(F.lit(1)).alias("n")))
+    prefix = lambda level: F.shiftright("code", 3 * (depth - level))
+    alive, out = codes, None
+    for level in range(depth + 1):
+        nodes = alive.groupBy(prefix(level).alias("node")).agg(F.sum("n").alias("n"))
+        if level:  # of each split node all eight
+            eight = parents.select(F.shiftleft("node", 3).alias("base"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("d")).select((F.col("base") + F.col("d")).cast("long").alias("node"))  # noqa: F821
+            nodes = eight.join(nodes, "node", "left").select("node", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+        nodes = durable(nodes)
+        if level < depth:
+            octants = alive.groupBy(prefix(level).alias("node")).agg(F.count_distinct(prefix(level + 1)).alias("k"))
+            parents = durable(nodes.where(F.col("n") > max_points).join(octants.where("k > 1"), "node", "left_semi").select("node"))
+            told = nodes.join(parents.withColumn("split", F.lit(True)), "node", "left").select("node", "n", F.col("split").isNull().alias("leaf"))
+        else:
+            parents, told = nodes.limit(0).select("node"), nodes.select("node", "n", F.lit(True).alias("leaf"))
+        rows_ = told.withColumn("level", F.lit(level))
+        out = rows_ if out is None else out.unionByName(rows_)
+        if level == depth or parents.isEmpty():
             break
-        mid = {a: (F.col(f"{a}0") + F.col(f"{a}1")) / 2 for a in "xyz"}
-        high = {a: F.col(a) >= mid[a] for a in "xyz"}
-        digit = sum((F.when(high[a], w).otherwise(0) for a, w in zip("xyz", (4, 2, 1))), F.lit(0))
-        step = {"path": F.concat("path", digit.cast("string"))}
-        for a in "xyz":
-            step[f"{a}0"], step[f"{a}1"] = F.when(high[a], mid[a]).otherwise(F.col(f"{a}0")), F.when(high[a], F.col(f"{a}1")).otherwise(mid[a])
-        cur = durable(cur.join(split, "path", "left_semi").withColumns(step))
-    return out
+        alive = durable(alive.join(parents.withColumnRenamed("node", "_node"), prefix(level) == F.col("_node"), "left_semi"))
+    path = F.concat(*[F.when(F.col("level") > k, F.expr(f"cast(shiftright(node, 3 * (level - 1 - {k})) & 7 as string)")).otherwise("") for k in range(depth)]) if depth else F.lit("")
+    sides = {}
+    for shift, a in ((2, "x"), (1, "y"), (0, "z")):
+        at = sum((F.when(F.col("level") > k, F.expr(f"(shiftright(node, 3 * (level - 1 - {k}) + {shift}) & 1) / pow(2.0, {k + 1})")).otherwise(0.0) for k in range(depth)), F.lit(0.0))
+        lo, hi = float(b[f"lo_{a}"]), float(b[f"hi_{a}"])
+        sides[f"min_{a}"] = F.lit(lo) + at * (hi - lo)
+        sides[f"max_{a}"] = F.lit(lo) + (at + F.pow(F.lit(0.5), F.col("level"))) * (hi - lo)
+    return out.withColumns(sides).select(path.alias("path"), F.col("level").cast("int"), "n", "leaf", *names)
+
+
+def octree_counts(cloud: DataFrame, max_points: int, max_depth: int) -> DataFrame:
+    """(path, level, n) of every node of ``octree``."""
+    return octree(cloud, max_points, max_depth).select("path", "level", "n")
+
+
+def geometric_error(level: Column) -> Column:
+    """Of a node with min_/max_ columns: half its diagonal over 2^level, 20 levels at most."""
+    diagonal = F.sqrt(sum((F.col(f"max_{a}") - F.col(f"min_{a}")) ** 2 for a in "xyz"))
+    return diagonal * 0.5 / F.pow(F.lit(2.0), F.least(level, F.lit(20)))
+
+
+def visible_tiles(nodes: DataFrame, camera: tuple, fov: float, height: float, threshold: float = 1.0) -> DataFrame:
+    """The nodes of an ``octree`` to load for a camera: a node is reached if every node above
+    it has a screen error of ``threshold`` pixels at least, and shown if its own is below or
+    it is a leaf, and it has points. Reaching is a count of ancestors that qualify, by a join
+    on path prefixes, so no walk from the root is needed."""
+    from ..functions.geodesy import screen_space_error
+
+    distance = F.sqrt(sum(((F.col(f"min_{a}") + F.col(f"max_{a}")) / 2 - c) ** 2 for a, c in zip("xyz", camera)))
+    told = nodes.withColumn("sse", screen_space_error(geometric_error(F.col("level")), distance, fov, height))
+    above = told.where((F.col("sse") >= threshold) & ~F.col("leaf")).select(F.col("path").alias("up"))
+    stop = (F.col("sse") < threshold) | F.col("leaf")
+    shown = told.where(stop & (F.col("n") > 0))
+    ups = shown.select("path", F.explode(F.transform(F.sequence(F.lit(0), F.length("path")), lambda i: F.struct(i.alias("i"), F.substring(F.col("path"), F.lit(1), i).alias("up")))).alias("u")).where(F.col("u.i") < F.length("path")).select("path", "u.up")
+    reached = ups.join(above, "up").groupBy("path").agg(F.count(F.lit(1)).alias("k"))
+    return shown.join(reached, "path", "left").where(F.coalesce("k", F.lit(0)) == F.length("path")).select("path", "level", "n", "sse")

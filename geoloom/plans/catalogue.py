@@ -205,7 +205,7 @@ _add("cluster_grid", lambda s, d: _round(points.cluster_by_grid(fixtures.spark(s
      f"""WITH p AS (SELECT * FROM {_src('geo')}), m AS (SELECT round(avg(lat),6) AS mean_lat FROM p)
 SELECT round(avg(lng),6)+0.0 AS lng, round(avg(lat),6)+0.0 AS lat, count(*) AS n FROM p, m GROUP BY floor(lng/degrees(500000/(6371000*greatest(cos(radians(mean_lat)),1e-10)))), floor(lat/degrees(500000/6371000e0)) HAVING count(*) >= 5""")
 _add("grid_index", lambda s, d: points.grid_index(fixtures.spark(s, d, "geo"), 0.7), f"WITH p AS (SELECT * FROM {_src('geo')}), b AS (SELECT min(lng) AS x0, min(lat) AS y0, ceil((max(lng)-min(lng))/0.7e0)+1 AS c FROM p) SELECT idx, CAST(floor((lat-y0)/0.7e0)*c+floor((lng-x0)/0.7e0) AS BIGINT) AS cell FROM p, b")
-_add("voxel_decimate", lambda s, d: points.voxel(fixtures.spark(s, d, "cloud"), 2.5).select("idx", "r", "g", "b"), f"SELECT min(idx) AS idx, arg_min(r, idx) AS r, arg_min(g, idx) AS g, arg_min(b, idx) AS b FROM {_src('cloud')} GROUP BY floor(CAST(x AS REAL)/CAST(2.5 AS REAL)), floor(CAST(y AS REAL)/CAST(2.5 AS REAL)), floor(CAST(z AS REAL)/CAST(2.5 AS REAL))")
+_add("voxel_decimate", lambda s, d: _round(points.voxel(fixtures.spark(s, d, "cloud"), 2.5).select("idx", "x", "y", "z", "r", "g", "b"), 6, ("idx", "r", "g", "b")), f"SELECT min(idx) AS idx, round(arg_min(x, idx), 6) + 0.0 AS x, round(arg_min(y, idx), 6) + 0.0 AS y, round(arg_min(z, idx), 6) + 0.0 AS z, arg_min(r, idx) AS r, arg_min(g, idx) AS g, arg_min(b, idx) AS b FROM {_src('cloud')} GROUP BY floor(CAST(x AS REAL)/CAST(2.5 AS REAL)), floor(CAST(y AS REAL)/CAST(2.5 AS REAL)), floor(CAST(z AS REAL)/CAST(2.5 AS REAL))")
 _M = [0.5, 1.0, 0.0, 0.0, -1.0, 0.5, 0.25, 0.0, 0.0, 0.0, 2.0, 0.0, 10.0, 20.0, 30.0, 1.0]
 _add("transform_affine", lambda s, d: _round(points.affine(fixtures.spark(s, d, "cloud"), _M).select("idx", *"xyz"), 6), f"SELECT idx, round(0.5e0*x-y+10,6)+0.0 AS x, round(x+0.5e0*y+20,6)+0.0 AS y, round(0.25e0*y+2*z+30,6)+0.0 AS z FROM {_src('cloud')}")
 _add("rotate", lambda s, d: _round(points.rotate(fixtures.spark(s, d, "cloud"), (0.0, 0.0, 1.0), 0.7).select("idx", *"xyz"), 6), f"SELECT idx, round(x*cos(0.7e0)-y*sin(0.7e0),6)+0.0 AS x, round(x*sin(0.7e0)+y*cos(0.7e0),6)+0.0 AS y, round(z,6)+0.0 AS z FROM {_src('cloud')}")
@@ -213,10 +213,12 @@ _add("rotate", lambda s, d: _round(points.rotate(fixtures.spark(s, d, "cloud"),
 
 def _merge(s, d):
     c = fixtures.spark(s, d, "cloud")
-    return points.merge(c.where("cls < 6").select("idx", "r", "g", "b"), c.where("cls > 20").select("idx"))
+    xyz = [F.round(a, 6).alias(a) for a in "xyz"]
+    return points.merge(c.where("cls < 6").select("idx", *xyz, "r", "g", "b"), c.where("cls > 20").select("idx", *xyz))
 
 
-_add("merge_clouds", _merge, f"SELECT idx, r, g, b FROM {_src('cloud')} WHERE cls < 6 UNION ALL SELECT idx, 128, 128, 128 FROM {_src('cloud')} WHERE cls > 20")
+_XYZ = "round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z"
+_add("merge_clouds", _merge, f"SELECT idx, {_XYZ}, r, g, b FROM {_src('cloud')} WHERE cls < 6 UNION ALL SELECT idx, {_XYZ}, 128, 128, 128 FROM {_src('cloud')} WHERE cls > 20")
 _Q = lambda a: f"CAST(least(floor(CAST(CAST(CAST(CAST({a} AS REAL)-l{a} AS REAL)/CAST(h{a}-l{a} AS REAL) AS REAL)*CAST(65535 AS REAL) AS REAL)),65535) AS INT) AS q{a}"
 _add("quantize", lambda s, d: points.quantize(fixtures.spark(s, d, "cloud")), f"WITH p AS (SELECT * FROM {_src('cloud')}), b AS (SELECT {', '.join(f'min(CAST({a} AS REAL)) AS l{a}, max(CAST({a} AS REAL)) AS h{a}' for a in 'xyz')} FROM p) SELECT idx, {', '.join(map(_Q, 'xyz'))} FROM p, b")
 
@@ -267,27 +269,23 @@ _add("terrain_normals", lambda s, d: _round(shapes.terrain_normals(fixtures.spar
      f"SELECT \"row\", col, round((l-r)/2/sqrt(power((l-r)/2,2)+power((u-b)/2,2)+1),6)+0.0 AS nx, round((u-b)/2/sqrt(power((l-r)/2,2)+power((u-b)/2,2)+1),6)+0.0 AS ny, round(1/sqrt(power((l-r)/2,2)+power((u-b)/2,2)+1),6)+0.0 AS nz FROM {_NB}")
 _add("contour_lines", lambda s, d: _round(shapes.contour_lines(fixtures.spark(s, d, "grid"), 10.0), 6, ()))
 
-# ---------------------------------------------------------------- searches: every 500th point against all
+# ---------------------------------------------------------------- searches: every 100th point against all
 
 
-def _boxes(s, d, every=500):
+def _boxes(s, d, every=100):
     p = fixtures.spark(s, d, "china").where(F.col("idx") % every == 0)
     return points.bbox_join(fixtures.spark(s, d, "china"), p.select(F.col("idx").alias("box"), (F.col("lng") - 1).alias("x0"), (F.col("lat") - 1).alias("y0"), (F.col("lng") + 1).alias("x1"), (F.col("lat") + 1).alias("y1")), 2.0)
 
 
-_add("bbox_join", _boxes, f"WITH p AS (SELECT * FROM {_src('china')}) SELECT q.idx AS box, p.idx FROM p JOIN p q ON q.idx % 500 = 0 AND p.lng BETWEEN q.lng-1 AND q.lng+1 AND p.lat BETWEEN q.lat-1 AND q.lat+1")
+_add("bbox_join", _boxes, f"WITH p AS (SELECT * FROM {_src('china')}) SELECT q.idx AS box, p.idx FROM p JOIN p q ON q.idx % 100 = 0 AND p.lng BETWEEN q.lng-1 AND q.lng+1 AND p.lat BETWEEN q.lat-1 AND q.lat+1")
 
 
-def _knn(s, d, every=500):
+def _knn(s, d, every=100):
     p = fixtures.spark(s, d, "china")
     q = p.where(F.col("idx") % every == 0).select(F.col("idx").alias("qid"), F.col("lng").alias("qx"), F.col("lat").alias("qy"))
     return points.knn(p, q, 5, 0.5).select("qid", "idx", F.round("d2", 9).alias("d2"))
 
 
-_add("knn", _knn, f"WITH p AS (SELECT * FROM {_src('china')}) SELECT qid, idx, round(d2, 9) AS d2 FROM (SELECT q.idx AS qid, p.idx, power(p.lng-q.lng,2)+power(p.lat-q.lat,2) AS d2 FROM p, p q WHERE q.idx % 500 = 0) t QUALIFY row_number() OVER (PARTITION BY qid ORDER BY t.d2, idx) <= 5")
-# the same with every 100th point; the two above stay as their SQL has them
-_add("bbox_join_100", lambda s, d: _boxes(s, d, 100), ORACLE_SQL["bbox_join"].replace("% 500", "% 100"))
-_add("knn_100", lambda s, d: _knn(s, d, 100), ORACLE_SQL["knn"].replace("% 500", "% 100"))
-_add("octree_nodes", lambda s, d: points.octree_counts(fixtures.spark(s, d, "cloud"), 500, 21).groupBy("level").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("points")))
+_add("knn", _knn, f"WITH p AS (SELECT * FROM {_src('china')}) SELECT qid, idx, round(d2, 9) AS d2 FROM (SELECT q.idx AS qid, p.idx, power(p.lng-q.lng,2)+power(p.lat-q.lat,2) AS d2 FROM p, p q WHERE q.idx % 100 = 0) t QUALIFY row_number() OVER (PARTITION BY qid ORDER BY t.d2, idx) <= 5")
 _add("screen_space_error", lambda s, d: _round(fixtures.spark(s, d, "cloud").select("idx", geodesy.screen_space_error(F.col("z"), F.col("x") + 1.0, math.radians(60), 1080.0).alias("sse")), 3),
      f"SELECT idx, round(z / ((x + 1) * 2 * tan(radians(30e0)) / 1080), 3) + 0.0 AS sse FROM {_src('cloud')}")

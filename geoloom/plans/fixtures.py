@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-_IDX = "ROW_NUMBER() OVER (ORDER BY l_orderkey,l_linenumber,l_partkey,l_suppkey,l_extendedprice)-1"
+from ..operators.durable import durable
+
+_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+_IDX = f"ROW_NUMBER() OVER (ORDER BY {','.join(_KEY)})-1"
 GEO = f"""SELECT {_IDX} AS idx,
  CAST((l_orderkey*7919+l_linenumber*104729)%34910 AS DOUBLE)/CAST(97 AS DOUBLE)-CAST(179.95 AS DOUBLE) AS lng,
  CAST((l_partkey*15485863+l_linenumber*31)%16480 AS DOUBLE)/CAST(97 AS DOUBLE)-CAST(84.95 AS DOUBLE) AS lat FROM lineitem"""
@@ -23,10 +27,32 @@ GRID = {"spark": "SELECT vec_id AS row, pos AS col, CAST(v AS DOUBLE)*100 AS z F
 _SOURCE = {"geo": (GEO, "lineitem"), "china": (CHINA, "orders"), "cloud": (CLOUD, "lineitem"), "tracks": (TRACKS, "events"), "rings": (RINGS, "nation"), "grid": (GRID, "embeddings")}
 
 
+_LINES: dict = {}
+
+
+def _lines(session: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem with its row number by _KEY: rows are dealt out by range, sorted and numbered
+    where they lie, and each part starts where the parts before it end, so no task sees all
+    rows. Kept for the session in the checkpoint folder."""
+    key = (session.sparkContext.applicationId, sf_dir)
+    if key not in _LINES:
+        rows = session.read.parquet(f"{sf_dir}/lineitem.parquet").select(*_KEY, "l_quantity", "l_discount")
+        rows = durable(rows.repartitionByRange(*_KEY).sortWithinPartitions(*_KEY).withColumn("at", F.monotonically_increasing_id()))
+        part = F.shiftright("at", 33).cast("int")
+        starts, n = {}, 0
+        for r in rows.groupBy(part.alias("part")).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).orderBy("part").collect():  # a row a partition
+            starts[r["part"]] = n - r["first"]
+            n += r["n"]
+        shift = F.get(F.array(*[F.lit(starts.get(i, 0)).cast("long") for i in range(max(starts, default=0) + 1)]), part)
+        _LINES[key] = rows.withColumn("idx", F.col("at") + shift).drop("at")
+    return _LINES[key]
+
+
 def spark(session: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text, source = _SOURCE[name]
     text = text if isinstance(text, str) else text["spark"]
-    df = session.sql(text.replace(f"FROM {source}", "FROM {t}"), t=session.read.parquet(f"{sf_dir}/{source}.parquet"))
+    rows = _lines(session, sf_dir) if source == "lineitem" else session.read.parquet(f"{sf_dir}/{source}.parquet")
+    df = session.sql(text.replace(_IDX, "idx").replace(f"FROM {source}", "FROM {t}"), t=rows)
     return df.withColumns({c: df[c].cast("long") for c in ("idx", "row", "col", "seq") if c in df.columns})
 
 
