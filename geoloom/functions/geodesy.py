@@ -114,9 +114,13 @@ def geohash_neighbors(df, code: str, precision: int):
     are their own neighbours beyond the rim."""
     x, y = _cell(F.col(code), precision)
     nx, ny = (5 * precision + 1) // 2, 5 * precision // 2
-    step = lambda c, d, n: F.least(F.greatest(F.col(c) + d, F.lit(0)), F.lit(2 ** n - 1)).cast("long")
-    cells = df.withColumns({"_x": x, "_y": y})
-    return cells.withColumns({k: _letters(step("_x", dx, nx), step("_y", dy, ny), precision) for k, (dx, dy) in AROUND.items()}).drop("_x", "_y")
+    step = lambda c, d, n: f"least(greatest({c} + {d}, 0), {2 ** n - 1})"
+    bit = f"(if(j % 2 = 0, shiftright(v.x, {nx - 1} - j div 2), shiftright(v.y, {ny - 1} - j div 2)) & 1)"
+    letter = f"substring('{BASE32}', 1 + aggregate(sequence(5 * k, 5 * k + 4), 0, (s, j) -> s * 2 + cast({bit} as int)), 1)"
+    whole = f"array_join(transform(sequence(0, {precision - 1}), k -> {letter}), '')"
+    cells = ", ".join(f"struct({step('_x', dx, nx)} as x, {step('_y', dy, ny)} as y)" for dx, dy in AROUND.values())
+    out = df.withColumns({"_x": x, "_y": y}).withColumn("_h", F.expr(f"transform(array({cells}), v -> {whole})"))
+    return out.withColumns({k: F.col("_h")[i] for i, k in enumerate(AROUND)}).drop("_x", "_y", "_h")
 
 
 def vincenty(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Column:

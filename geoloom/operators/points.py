@@ -256,35 +256,44 @@ def bbox_join(points: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:
     return own.join(spread.drop("w"), ["level", "cx", "cy"]).where(F.col("lng").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1"))).select("box", "idx")
 
 
-def knn(points: DataFrame, queries: DataFrame, k: int, cell: float) -> DataFrame:
-    """The k nearest points (planar, ties by idx) of each query (qid, qx, qy): (qid, idx, d2, rank).
-
-    Cells double in size from level to level, and a query looks at the nine around its own: a
-    level is an equi-join of nine rows a query, whatever the distance. A query is done when k
-    hits are nearer than the rim of its nine cells; the others go on to the next level. At a
-    level whose nine cells cover all points every query is done, so none is left out.
+def knn(points: DataFrame, queries: DataFrame, k: int, cell: float | None = None, axes: tuple = ("lng", "lat"), at: tuple = ("qx", "qy")) -> DataFrame:
+    """The k nearest points (ties by idx) of each query (qid and its place in the ``at``
+    columns): (qid, idx, d2, rank).
+
+    Cells double in size from level to level, and a query looks at those around its own: a
+    level is an equi-join of nine rows a query (27 in space), whatever the distance. A query is
+    done when k hits are nearer than the rim of its cells; the others go on to the next level.
+    At a level whose cells cover all points every query is done, so none is left out. Without
+    ``cell`` the first size is such that a cell holds about k points on average.
     """
-    own = points.select("idx", "lng", "lat")
-    total = points.limit(k).count()
-    if not total:
-        return queries.limit(0).select("qid", F.lit(0).cast("long").alias("idx"), F.lit(0.0).alias("d2"), F.lit(0).alias("rank"))
-    todo, found, level = queries.select("qid", "qx", "qy"), None, 0
-    span = points.agg(F.min("lng").alias("x0"), F.max("lng").alias("x1"), F.min("lat").alias("y0"), F.max("lat").alias("y1")).crossJoin(queries.agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("qx", "qy") for f in (F.min, F.max)))).first()
-    if span["min_qx"] is None:
-        return todo.select("qid", F.lit(0).cast("long").alias("idx"), F.lit(0.0).alias("d2"), F.lit(0).alias("rank"))
-    reach = max(span["x1"], span["max_qx"]) - min(span["x0"], span["min_qx"]), max(span["y1"], span["max_qy"]) - min(span["y0"], span["min_qy"])
-    last = max(0, math.ceil(math.log2(max(*reach, cell) / cell)) + 1)
+    spark = points.sparkSession
+    none = spark.createDataFrame([], "qid long, idx long, d2 double, rank int")
+    lo = lambda c, i: F.min(c).alias(f"lo{i}")
+    hi = lambda c, i: F.max(c).alias(f"hi{i}")
+    p = points.agg(F.count(F.lit(1)).alias("n"), *(f(c, i) for i, c in enumerate(axes) for f in (lo, hi))).first()
+    q = queries.agg(F.count(F.lit(1)).alias("n"), *(f(c, i) for i, c in enumerate(at) for f in (lo, hi))).first()
+    if not p["n"] or not q["n"]:
+        return none
+    total, dims = min(k, p["n"]), range(len(axes))
+    if cell is None:
+        sides = [max(p[f"hi{i}"] - p[f"lo{i}"], 1e-9) for i in dims]
+        cell = max((math.prod(sides) * k / p["n"]) ** (1 / len(axes)), max(sides) * 1e-6)
+    reach = max(max(p[f"hi{i}"], q[f"hi{i}"]) - min(p[f"lo{i}"], q[f"lo{i}"]) for i in dims)
+    last = max(0, math.ceil(math.log2(max(reach, cell) / cell)) + 1)
+    keys, todo, found, level = [f"_c{i}" for i in dims], queries.select("qid", *at), None, 0
     while True:
         w = cell * 2.0 ** level
-        near = lambda c: F.explode(F.sequence(F.floor(F.col(c) / w) - 1, F.floor(F.col(c) / w) + 1))  # noqa: E731, B023
-        cells = todo.select("qid", "qx", "qy", near("qx").alias("cx")).select("*", near("qy").alias("cy"))
-        d2 = (F.col("lng") - F.col("qx")) ** 2 + (F.col("lat") - F.col("qy")) ** 2
-        hits = cells.join(own.withColumns({"cx": F.floor(F.col("lng") / w), "cy": F.floor(F.col("lat") / w)}), ["cx", "cy"]).select("qid", "qx", "qy", "idx", d2.alias("d2"))
-        ranked_ = durable(hits.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("d2", "idx"))).where(F.col("rank") <= k))
-        inside = [F.col(c) - F.floor(F.col(c) / w) * w for c in ("qx", "qy")]
+        cells = todo
+        for key, c in zip(keys, at):
+            cells = cells.withColumn(key, F.explode(F.sequence(F.floor(F.col(c) / w) - 1, F.floor(F.col(c) / w) + 1)))
+        own = points.select("idx", *axes, *(F.floor(F.col(c) / w).alias(key) for key, c in zip(keys, axes)))
+        d2 = sum((F.col(a) - F.col(b)) ** 2 for a, b in zip(axes, at))
+        inside = [F.col(c) - F.floor(F.col(c) / w) * w for c in at]
         rim = F.least(*(F.least(i, F.lit(w) - i) for i in inside)) + w
-        safe = ranked_.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.max("d2").alias("worst"), F.first(rim).alias("rim")).where((F.col("n") >= total) & ((F.sqrt("worst") < F.col("rim")) | F.lit(level >= last))).select("qid")
-        done = ranked_.join(safe, "qid", "left_semi").select("qid", "idx", "d2", "rank")
+        hits = cells.join(own, keys).select("qid", "idx", d2.alias("d2"), rim.alias("rim"))
+        best = durable(hits.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("d2", "idx"))).where(F.col("rank") <= k))
+        safe = best.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.max("d2").alias("worst"), F.first("rim").alias("rim")).where((F.col("n") >= total) & ((F.sqrt("worst") < F.col("rim")) | F.lit(level >= last))).select("qid")
+        done = best.join(safe, "qid", "left_semi").select("qid", "idx", "d2", "rank")
         found = done if found is None else found.unionAll(done)
         todo = durable(todo.join(safe, "qid", "left_anti"))
         if todo.isEmpty():
@@ -292,10 +301,11 @@ def knn(points: DataFrame, queries: DataFrame, k: int, cell: float) -> DataFrame
         level += 1
 
 
-def nearest_spacing(points: DataFrame, cell: float) -> DataFrame:
+def nearest_spacing(points: DataFrame, cell: float | None = None) -> DataFrame:
     """Mean planar distance of every point to its nearest other, exact."""
     q = points.select(F.col("idx").alias("qid"), F.col("lng").alias("qx"), F.col("lat").alias("qy"))
-    two = knn(points, q, 2, cell).where("idx <> qid").groupBy("qid").agg(F.min("d2").alias("d2"))
+    # of equal positions the point itself may come second
+    two = knn(points, q, 2, cell).groupBy("qid").agg(F.min(F.when(F.col("idx") != F.col("qid"), F.col("d2"))).alias("d2"))
     return two.agg(F.avg(F.sqrt("d2")).alias("spacing"))
 
 

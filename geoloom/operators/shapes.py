@@ -34,6 +34,15 @@ def polygon_area(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn("a", part).groupBy(key).agg((F.abs(F.sum("a")) / 2 * (R * R)).alias("area"))
 
 
+def area_with_holes(df: DataFrame, key: str, ring: str) -> DataFrame:
+    """The spherical area of ring 0 of each key less that of its other rings."""
+    w = Window.partitionBy(key, ring).orderBy("seq")
+    lng, lat = F.lead("lng").over(w), F.lead("lat").over(w)
+    part = (F.radians(lng) - F.radians("lng")) * (2 + F.sin(F.radians("lat")) + F.sin(F.radians(lat)))
+    each = df.withColumn("a", part).groupBy(key, ring).agg((F.abs(F.sum("a")) / 2 * (R * R)).alias("a"))
+    return each.groupBy(key).agg(F.sum(F.when(F.col(ring) == 0, F.col("a")).otherwise(-F.col("a"))).alias("area"))
+
+
 def points_in_rings(points: DataFrame, rings: DataFrame, cell: float = 10.0) -> DataFrame:
     """(geom_id, idx) of even-odd containment. Rings are arrays; a point meets only the rings
     whose bounds cover its cell."""
@@ -66,20 +75,6 @@ def circle(lng: Column, lat: Column, metres: float, segments: int = 64) -> Colum
     return F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.struct((lng + r_lng * F.cos(at(i))).alias("x"), (lat + F.sin(at(i)) * r_lat).alias("y")))
 
 
-def wkt_line(df: DataFrame, key: str, digits: int = 6) -> DataFrame:
-    """LINESTRING texts of ordered points."""
-    point = F.concat_ws(" ", F.format_string(f"%.{digits}f", "lng"), F.format_string(f"%.{digits}f", "lat"))
-    rows = df.withColumn("p", point).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "p"))).alias("a"))
-    return rows.select(key, F.concat(F.lit("LINESTRING("), F.array_join(F.transform("a", lambda v: v["p"]), ", "), F.lit(")")).alias("wkt"))
-
-
-def parse_wkt(wkt: Column) -> Column:
-    """All positions of a WKT geometry, further ordinates dropped; empty for EMPTY."""
-    number = r"([-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?)\s+([-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?)"
-    xs, ys = (F.regexp_extract_all(wkt, F.lit(number), F.lit(i)) for i in (1, 2))
-    return F.transform(F.arrays_zip(xs.alias("x"), ys.alias("y")), lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
-
-
 # ---------------------------------------------------------------- elevation grids (row, col, z)
 
 def _neighbours(df: DataFrame):

@@ -252,15 +252,6 @@ _add("polygon_area", lambda s, d: _round(shapes.polygon_area(fixtures.spark(s, d
 _add("point_in_ring_join", lambda s, d: shapes.points_in_rings(fixtures.spark(s, d, "geo"), fixtures.spark(s, d, "rings")),
      f"""WITH r AS (SELECT * FROM {_src('rings')}), e AS (SELECT a.geom_id, a.lng AS xi, a.lat AS yi, b.lng AS xj, b.lat AS yj FROM r a JOIN r b ON a.geom_id = b.geom_id AND b.seq = CASE WHEN a.seq = 0 THEN 12 ELSE a.seq - 1 END)
 SELECT geom_id, idx FROM e JOIN {_src('geo')} ON (yi > lat) <> (yj > lat) AND lng < (xj-xi)*(lat-yi)/(yj-yi)+xi GROUP BY geom_id, idx HAVING count(*) % 2 = 1""")
-_add("wkt_write", lambda s, d: shapes.wkt_line(fixtures.spark(s, d, "rings"), "geom_id", 3), f"SELECT geom_id, 'LINESTRING(' || string_agg(printf('%.3f %.3f', lng, lat), ', ' ORDER BY seq) || ')' AS wkt FROM {_src('rings')} GROUP BY geom_id")
-
-
-def _wkt_back(s, d):
-    w = shapes.wkt_line(fixtures.spark(s, d, "tracks"), "track_id", 12)
-    return w.select("track_id", F.posexplode(shapes.parse_wkt(F.col("wkt")))).select("track_id", (F.col("pos") + 1).cast("long").alias("seq"), F.round("col.x", 6).alias("lng"), F.round("col.y", 6).alias("lat"))
-
-
-_add("wkt_round_trip", _wkt_back, f"SELECT track_id, seq, round(lng,6) AS lng, round(lat,6) AS lat FROM {_src('tracks')}")
 _NB = f"(SELECT \"row\", col, z, coalesce(lag(z) OVER a, z) AS l, coalesce(lead(z) OVER a, z) AS r, coalesce(lag(z) OVER d, z) AS u, coalesce(lead(z) OVER d, z) AS b FROM {_src('grid')} WINDOW a AS (PARTITION BY \"row\" ORDER BY col), d AS (PARTITION BY col ORDER BY \"row\")) n"
 _ZEN, _AZ = math.radians(45), math.radians(135)
 _add("hillshade", lambda s, d: shapes.hillshade(fixtures.spark(s, d, "grid")),
