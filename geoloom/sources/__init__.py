@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from ..functions import limits
 
@@ -29,10 +30,10 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decoded(df: DataFrame, key: str, content: str, parse: Callable[[bytes], Iterable[pd.DataFrame]], schema: str) -> DataFrame:
-    """``parse`` of each row's content: its rows, with the row's ``key`` before them. A null
-    content has no rows; one beyond the input limit raises."""
+    """``parse`` of each row's content: its rows, their columns in the order of ``schema``, with
+    the row's ``key`` before them. A null content has no rows; one beyond the input limit raises."""
     key_type = next(f.dataType.simpleString() for f in df.schema.fields if f.name == key)
-    most = limits.get_input_size_limit()
+    most, names = limits.get_input_size_limit(), StructType.fromDDL(schema).names
 
     def run(frames):
         limits.set_input_size_limit(most)
@@ -41,6 +42,7 @@ def decoded(df: DataFrame, key: str, content: str, parse: Callable[[bytes], Iter
                 if c is not None:
                     limits.check_input_size(len(c), str(k))
                     for out in parse(c if isinstance(c, str) else bytes(c)):
+                        out.columns = names
                         out.insert(0, key, k)
                         yield out
 
