@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geodesy import R, haversine
+from .durable import durable
+from .points import _cells, _covered
 
 
 def polyline_length(df: DataFrame, key: str) -> DataFrame:
@@ -45,12 +47,13 @@ def area_with_holes(df: DataFrame, key: str, ring: str) -> DataFrame:
 
 def points_in_rings(points: DataFrame, rings: DataFrame, cell: float = 10.0) -> DataFrame:
     """(geom_id, idx) of even-odd containment. Rings are arrays; a point meets only the rings
-    whose bounds cover its cell."""
+    whose bounds cover its cell, on the level that a ring's size asks for."""
     arr = rings.groupBy("geom_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "lng", "lat"))), lambda v: F.struct(v["lng"].alias("x"), v["lat"].alias("y"))).alias("ring"),
                                        F.min("lng").alias("x0"), F.max("lng").alias("x1"), F.min("lat").alias("y0"), F.max("lat").alias("y1"))
-    spread = arr.withColumn("cx", F.explode(F.sequence(F.floor(F.col("x0") / cell), F.floor(F.col("x1") / cell)))).withColumn("cy", F.explode(F.sequence(F.floor(F.col("y0") / cell), F.floor(F.col("y1") / cell))))
-    own = points.withColumns({"cx": F.floor(F.col("lng") / cell), "cy": F.floor(F.col("lat") / cell)})
-    near = own.join(spread, ["cx", "cy"]).where(F.col("lng").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1")))
+    spread = durable(_covered(arr, cell).drop("w"))
+    levels = [r["level"] for r in spread.select("level").distinct().collect()]  # one for each doubling of the ring size
+    own = _cells(points, levels or [0], cell)
+    near = own.join(spread, ["level", "cx", "cy"]).where(F.col("lng").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1")))
     return near.where(in_ring(F.col("lng"), F.col("lat"), F.col("ring"))).select("geom_id", "idx")
 
 
@@ -77,15 +80,35 @@ def circle(lng: Column, lat: Column, metres: float, segments: int = 64) -> Colum
 
 # ---------------------------------------------------------------- elevation grids (row, col, z)
 
-def _neighbours(df: DataFrame):
-    across, down = Window.partitionBy("row").orderBy("col"), Window.partitionBy("col").orderBy("row")
-    side = lambda f, w: F.coalesce(f("z").over(w), F.col("z"))
-    return side(F.lag, across), side(F.lead, across), side(F.lag, down), side(F.lead, down)
+#: Cells of a raster row or column that one window holds; a window's rim is copied to the next.
+BLOCK = 256
+
+
+def _beside(df: DataFrame, along: str, across: str, before: dict, after: dict) -> DataFrame:
+    """``df`` with columns from the cells one before and one after in ``along``: names to
+    their source columns. A window holds a block of a line and its rim, whatever the length of
+    the line; a cell that isn't there gives null."""
+    at = F.col(along)
+    b = F.floor(at / BLOCK)
+    own = F.array(b)
+    rim = F.when(F.pmod(at, F.lit(BLOCK)) == 0, F.array(b, b - 1)).when(F.pmod(at, F.lit(BLOCK)) == BLOCK - 1, F.array(b, b + 1)).otherwise(own)
+    rows = df.withColumn("_b", F.explode(rim))
+    w = Window.partitionBy(across, "_b").orderBy(along)
+    sides = {n: F.when(F.lag(along).over(w) == at - 1, F.lag(c).over(w)) for n, c in before.items()} | {n: F.when(F.lead(along).over(w) == at + 1, F.lead(c).over(w)) for n, c in after.items()}
+    return rows.withColumns(sides).where(F.col("_b") == b).drop("_b")
+
+
+def _neighbours(df: DataFrame) -> DataFrame:
+    """Cells with those on their left, right, above and below; the cell itself beyond the rim."""
+    out = _beside(df.select("row", "col", "z"), "col", "row", {"l": "z"}, {"r": "z"})
+    out = _beside(out, "row", "col", {"u": "z"}, {"d": "z"})
+    return out.withColumns({c: F.coalesce(c, "z") for c in "lrud"})
 
 
 def hillshade(df: DataFrame, azimuth: float = 315.0, altitude: float = 45.0) -> DataFrame:
     """(row, col, shade 0..255): central differences, the edge repeated."""
-    left, right, above, below = _neighbours(df)
+    df = _neighbours(df)
+    left, right, above, below = map(F.col, "lrud")
     zen, az = math.radians(90 - altitude), math.radians(450 - azimuth)
     dx, dy = (right - left) / 2, (below - above) / 2
     slope, aspect = F.atan(F.sqrt(dx * dx + dy * dy)), F.atan2(-dy, dx)
@@ -94,7 +117,8 @@ def hillshade(df: DataFrame, azimuth: float = 315.0, altitude: float = 45.0) ->
 
 
 def terrain_normals(df: DataFrame) -> DataFrame:
-    left, right, above, below = _neighbours(df)
+    df = _neighbours(df)
+    left, right, above, below = map(F.col, "lrud")
     nx, ny = (left - right) / 2, (above - below) / 2
     n = F.sqrt(nx * nx + ny * ny + 1)
     return df.select("row", "col", (nx / n).alias("nx"), (ny / n).alias("ny"), (1 / n).alias("nz"))
@@ -102,8 +126,8 @@ def terrain_normals(df: DataFrame) -> DataFrame:
 
 def contour_lines(df: DataFrame, interval: float) -> DataFrame:
     """(level, x1, y1, x2, y2) of marching squares at multiples of ``interval`` above the least."""
-    across, down = Window.partitionBy("row").orderBy("col"), Window.partitionBy("col").orderBy("row")
-    rows = df.select("row", "col", "z", F.lead("z").over(across).alias("z10"), F.lead("z").over(down).alias("z01")).withColumn("z11", F.lead("z10").over(down))
+    rows = _beside(df.select("row", "col", "z"), "col", "row", {}, {"z10": "z"})
+    rows = _beside(rows, "row", "col", {}, {"z01": "z", "z11": "z10"})
     rows = rows.where("z10 is not null and z01 is not null and z11 is not null").withColumnRenamed("z", "z00")
     least = df.agg(F.min("z").alias("lo"))
     first = F.floor(F.col("lo") / interval) + 1

@@ -258,7 +258,6 @@ _add("hillshade", lambda s, d: shapes.hillshade(fixtures.spark(s, d, "grid")),
      f"SELECT \"row\", col, CAST(round(255*greatest(cos({_ZEN!r}e0)*cos(sl)+sin({_ZEN!r}e0)*sin(sl)*(cos({_AZ!r}e0)*cos(asp)+sin({_AZ!r}e0)*sin(asp)),0)) AS INT) AS shade FROM (SELECT \"row\", col, atan(sqrt(power((r-l)/2,2)+power((b-u)/2,2))) AS sl, atan2(-(b-u)/2,(r-l)/2) AS asp FROM {_NB}) q")
 _add("terrain_normals", lambda s, d: _round(shapes.terrain_normals(fixtures.spark(s, d, "grid")), 6, ("row", "col")),
      f"SELECT \"row\", col, round((l-r)/2/sqrt(power((l-r)/2,2)+power((u-b)/2,2)+1),6)+0.0 AS nx, round((u-b)/2/sqrt(power((l-r)/2,2)+power((u-b)/2,2)+1),6)+0.0 AS ny, round(1/sqrt(power((l-r)/2,2)+power((u-b)/2,2)+1),6)+0.0 AS nz FROM {_NB}")
-_add("contour_lines", lambda s, d: _round(shapes.contour_lines(fixtures.spark(s, d, "grid"), 10.0), 6, ()))
 
 # ---------------------------------------------------------------- searches: every 100th point against all
 

@@ -230,6 +230,14 @@ SELECT path, n FROM e WHERE (sse < 90 OR leaf) AND n > 0 AND NOT EXISTS (SELECT
 
 # ---------------------------------------------------------------- density clusters
 _NEAR = "2*6371000*atan2(sqrt(h),sqrt(1-h)) <= 40000"
+_SIDE = {"b": ("c+(level-z0)/(z1-z0)", "r"), "t": ("c+(level-z2)/(z3-z2)", "r+1"), "l": ("c", "r+(level-z0)/(z2-z0)"), "r": ("c+1", "r+(level-z1)/(z3-z1)")}
+_END = lambda k, n: f"round(CASE substr(p, {k}, 1) " + " ".join(f"WHEN '{c}' THEN {v[n]}" for c, v in _SIDE.items()) + " END, 6)+0.0"
+_add("contour_lines", lambda s, d: _round(shapes.contour_lines(fixtures.spark(s, d, "grid"), 10.0), 6, ()),
+     f"""WITH g AS (SELECT * FROM {_src('grid')}), m AS (SELECT min(z) AS lo FROM g), c AS (SELECT a."row" AS r, a.col AS c, a.z AS z0, b.z AS z1, e.z AS z2, f.z AS z3 FROM g a JOIN g b ON b."row" = a."row" AND b.col = a.col + 1 JOIN g e ON e."row" = a."row" + 1 AND e.col = a.col JOIN g f ON f."row" = a."row" + 1 AND f.col = a.col + 1),
+l AS (SELECT *, k * 10e0 AS level, (z0 >= k*10)::INT + 2*(z1 >= k*10)::INT + 4*(z3 >= k*10)::INT + 8*(z2 >= k*10)::INT AS v FROM (SELECT c.*, unnest(generate_series(CAST(greatest(ceil(least(z0,z1,z2,z3)/10), floor(lo/10)+1) AS BIGINT), CAST(floor(greatest(z0,z1,z2,z3)/10) AS BIGINT))) AS k FROM c, m) t),
+s AS (SELECT *, CASE WHEN v IN (1,14) THEN ['bl'] WHEN v IN (2,13) THEN ['br'] WHEN v IN (3,12) THEN ['lr'] WHEN v IN (4,11) THEN ['rt'] WHEN v = 5 THEN ['bl','rt'] WHEN v IN (6,9) THEN ['bt'] WHEN v IN (7,8) THEN ['lt'] WHEN v = 10 THEN ['br','lt'] END AS p FROM l WHERE v NOT IN (0, 15)),
+u AS (SELECT level, unnest(p) AS p, r, c, z0, z1, z2, z3 FROM s)
+SELECT level+0.0 AS level, {_END(1, 0)} AS x1, {_END(1, 1)} AS y1, {_END(2, 0)} AS x2, {_END(2, 1)} AS y2 FROM u""")
 _add("dbscan", lambda s, d: points.dbscan(fixtures.spark(s, d, "china"), 40000.0, 8), f"""WITH RECURSIVE p AS (SELECT * FROM {_src('china')}),
 nb AS (SELECT a.idx, b.idx AS j FROM p a JOIN p b ON a.idx <> b.idx AND b.lat BETWEEN a.lat-0.37e0 AND a.lat+0.37e0 AND floor(b.lat/0.4e0) BETWEEN floor(a.lat/0.4e0)-1 AND floor(a.lat/0.4e0)+1
  WHERE 2*6371000*atan2(sqrt(power(sin(radians(b.lat-a.lat)/2),2)+cos(radians(a.lat))*cos(radians(b.lat))*power(sin(radians(b.lng-a.lng)/2),2)),sqrt(1-(power(sin(radians(b.lat-a.lat)/2),2)+cos(radians(a.lat))*cos(radians(b.lat))*power(sin(radians(b.lng-a.lng)/2),2)))) <= 40000),
