@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, grams, pieces, stem, table, written
+from .common import ALNUM, Words, discard, grams, pieces, stem, table, written
 
 WINDOW = 10
 #: Benchmark windows that one pass over the documents holds at most; more go in blocks.
@@ -47,6 +47,11 @@ def winnow(h: np.ndarray, ok: np.ndarray, span: int) -> np.ndarray:
     return np.unique((at + np.arange(n))[ok])
 
 
+def _last(item) -> tuple:
+    """The order of item ids, the missing one last."""
+    return item is None, item or 0
+
+
 class Index:
     """The windows of a block of benchmark items: for each window length the fingerprints
     that lead to them, the hashes of whole windows, and the items that hold each."""
@@ -70,7 +75,7 @@ class Index:
         self.layers = []
         for n, own in sorted(found.items()):
             keys = np.array(sorted(own), np.uint64)
-            self.layers.append((n, np.array(sorted(prints[n]), np.uint64), keys, [own[x][0] for x in keys.tolist()], [sorted(own[x][1]) for x in keys.tolist()]))
+            self.layers.append((n, np.array(sorted(prints[n]), np.uint64), keys, [own[x][0] for x in keys.tolist()], [sorted(own[x][1], key=_last) for x in keys.tolist()]))
 
     def match(self, w: Words) -> tuple[np.ndarray, list[set]]:
         """Which words of ``w`` lie in a benchmark window, and the items of each text."""
@@ -135,17 +140,60 @@ def _scan(index, batches):
                 batch.column("doc_id"),
                 pa.array(np.diff(w.first), pa.int64()),
                 pa.ListArray.from_arrays(pa.array(per, pa.int32()), spans),
-                pa.array([sorted(s) for s in items], pa.list_(pa.int64())),
+                pa.array([sorted(s, key=_last) for s in items], pa.list_(pa.int64())),
             ], ["doc_id", "n_words", "spans", "item_ids"])
 
 
+def _blocks(benchmark: DataFrame, window: int, block_windows: int) -> list[list]:
+    """For each block the hash buckets whose items it holds, and the written items; one block
+    with no buckets if all windows fit it. A long item comes in runs of words that overlap by
+    ``window`` - 1, so that no block depends on the longest item."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
+    run = max(block_windows // 16, 1)
+
+    def cut(batches):
+        for whole in batches:
+            for b in pieces(whole, "text"):
+                w, ids, texts, sizes = Words(b.column("text"), ALNUM), [], [], []
+                for item, p, q in zip(b.column("item_id").to_pylist(), w.first[:-1].tolist(), w.first[1:].tolist()):
+                    for at in range(p, max(q - window + 1, p + 1) if q > p else p, run):
+                        to = min(q, at + run + window - 1)
+                        ids.append(item)
+                        texts.append(w.words(at, to).decode("utf-8", "replace"))
+                        sizes.append(max(to - at - window + 1, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(sizes, pa.int64())], ["item_id", "text", "w"])
+
+    runs = written(items.mapInArrow(cut, "item_id long, text string, w long"))
+    total = runs.agg(F.sum("w")).first()[0] or 0
+    if total <= block_windows:
+        return [[runs]]
+    many = 64 * -(-total // block_windows)
+    runs = written(runs.withColumn("bucket", F.pmod(F.xxhash64("item_id", "text"), F.lit(many))))
+    out, room = [], 0
+    for r in runs.groupBy("bucket").agg(F.sum("w").alias("w")).orderBy("bucket").toLocalIterator():
+        if not out or r["w"] > room:
+            out.append([])
+            room = block_windows
+        out[-1].append(r["bucket"])
+        room -= r["w"]
+    return [[runs.where(F.col("bucket").isin(own))] for own in out]
+
+
+def _indexes(benchmark: DataFrame, window: int, block_windows: int):
+    """A broadcast Index of each block in turn."""
+    for (runs,) in _blocks(benchmark, window, block_windows):
+        yield benchmark.sparkSession.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in runs.select("item_id", "text").toLocalIterator()], window))
+
+
 def find_leaks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """For each row of ``documents`` (doc_id, text): its words, the spans of words (start,
     end) that occur within a benchmark window, and the ids of the items they come from.
 
-    Null or empty texts have no words, no spans. An empty benchmark hits nothing; items
-    without words hit nothing. Repeated rows give repeated results; item_ids are distinct.
-    Columns other than doc_id, text and item_id, text are not looked at.
+    Null or empty texts have no words, no spans; texts of any length are taken whole. An empty
+    benchmark hits nothing; items without words hit nothing, items without an id hit as one
+    item whose id is null. Rows without a doc_id get a result, repeated rows repeated results;
+    item_ids are distinct. Columns other than doc_id, text and item_id, text are not looked at.
+    An empty table gives no rows.
 
     Benchmark windows are broadcast in blocks of ``block_windows`` at most (about 200 bytes
     each). Up to one block it is a single pass; a larger benchmark takes a pass per block,
@@ -153,19 +201,13 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """
     spark = documents.sparkSession
     docs = stem(spark, documents)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
-    # a bound on each item's windows, by its length alone: a word and its separator take two bytes
-    sized = items.withColumn("w", (F.octet_length("text") / 2 + 1).cast("long"))
-    total = sized.agg(F.sum("w")).first()[0] or 0
-    if total <= block_windows:
-        return _pass(spark, docs, items.collect(), window)
-    n_blocks = -(-total // block_windows) * 2
-    blocks = written(sized.withColumn("b", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))))
+    indexes = list(_indexes(benchmark, window, block_windows))
+    if len(indexes) == 1:
+        return _pass(docs, indexes[0])
     docs = written(docs.withColumn("row", F.monotonically_increasing_id()))
     out = None
-    for b in range(n_blocks):
-        rows = [(r.item_id, r.text) for r in blocks.where(F.col("b") == b).select("item_id", "text").toLocalIterator()]
-        part = _pass(spark, docs.select(F.col("row").alias("doc_id"), "text"), rows, window)
+    for index in indexes:
+        part = _pass(docs.select(F.col("row").alias("doc_id"), "text"), index)
         out = part if out is None else out.unionAll(part)
     out = out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
     out = out.withColumn("spans", F.aggregate(F.array_sort("s"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"), _merge))
@@ -178,8 +220,7 @@ def _merge(acc, x):
     return F.when(F.size(acc) == 0, F.array(x)).when(x["start"] > last["end"], F.concat(acc, F.array(x))).otherwise(grown)
 
 
-def _pass(spark: SparkSession, docs: DataFrame, items: list, window: int) -> DataFrame:
-    index = spark.sparkContext.broadcast(Index([(i, t) for i, t in items], window))
+def _pass(docs: DataFrame, index) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(lambda batches: _scan(index, batches), SCHEMA)
 
 
@@ -190,10 +231,34 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``documents`` without a benchmark window, all columns kept."""
-    bad = find_leaks(documents, benchmark).where(F.size("spans") > 0).select(F.col("doc_id").alias("_bad")).distinct()
-    return documents.join(bad, documents["doc_id"] == bad["_bad"], "left_anti")
+def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """The rows of ``documents`` without a benchmark window, all columns kept, in one pass
+    without a shuffle. A benchmark of several blocks takes a pass a block, each over the written
+    rows that the one before has left.
+
+    Every row is judged by its own text, whatever its doc_id: rows without one and repeated
+    rows too. Rows without words stay. An empty benchmark leaves all; an empty table gives no
+    rows.
+    """
+    def without(index):
+        def run(batches):
+            for whole in batches:
+                for b in pieces(whole, "text"):
+                    w = Words(b.column("text"), ALNUM)
+                    hit, _ = index.value.match(w)
+                    n = np.concatenate([[0], np.cumsum(hit)])
+                    yield b.filter(pa.array(n[w.first[1:]] == n[w.first[:-1]]))
+        return run
+
+    out, before = documents, None
+    for k, index in enumerate(_indexes(benchmark, window, block_windows)):
+        if k:
+            out = written(out)
+            if before is not None:
+                discard(before)
+            before = out
+        out = out.mapInArrow(without(index), documents.schema)
+    return out
 
 
 OP1_SQL = r"""
