@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, written
+from .common import pieces, shared_dir, table, written
 from .tokens import encoder, public_path
 
 LENGTH = 2048
@@ -114,7 +114,8 @@ def write_sequences(documents: DataFrame, tokenizer: str, folder: str, end_id: i
     """Writes the files below ``folder`` and returns the manifest, a row a file in order.
 
     Null texts are empty ones: their ids are the end id alone. Rows that repeat a doc_id each
-    keep their ids, in the order of their texts; null doc_ids come first. An empty table
+    keep their ids, in the order of their texts; null doc_ids come first. A text of any length
+    is encoded whole. Columns other than doc_id and text are not looked at. An empty table
     writes no file. Ids are stored in the narrowest unsigned type that holds the vocabulary.
     """
     spark = documents.sparkSession
@@ -126,7 +127,7 @@ def write_sequences(documents: DataFrame, tokenizer: str, folder: str, end_id: i
 
         name, sink, out, index, n = f"{_uri(folder)}/{uuid.uuid4().hex}", None, None, [], 0
         enc = None
-        for b in batches:
+        for b in (b for whole in batches for b in pieces(whole, "text", 1 << 20)):
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 if out is None:
                     enc = encoder(tokenizer, _width(tokenizer))
@@ -185,8 +186,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
     if not files:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     base = np.concatenate([[0], np.cumsum([r["n_tokens"] for r in files])]).tolist()
-    todo = [(r["file"], base[i]) for i, r in enumerate(files)]
-    rdd = spark.sparkContext.parallelize(todo, len(todo))
+    todo = spark.createDataFrame([(i, r["file"], base[i]) for i, r in enumerate(files)], "i int, file string, before long").repartitionByRange(len(files), "i").select("file", "before")
 
     def read(batches):
         for b in batches:
@@ -204,7 +204,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                     start = pa.array(own.column("start").to_numpy() + before, pa.int64())
                     yield pa.RecordBatch.from_arrays([own.column("doc_id"), start, own.column("n_tokens"), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return spark.createDataFrame(rdd, "file string, before long").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return todo.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,33 +30,38 @@ def _byte_letters() -> list[str]:
 
 
 class _Pieces(dict):
-    """Ids, as little-endian bytes, of what has been seen; forgotten beyond ``most``."""
+    """Ids, as little-endian bytes, of what has been seen. At ``most`` of them they become the
+    older ones, of which those that are met again come back, and the older ones before go."""
 
     def __init__(self, owner: "Encoder", before: str, most: int):
         super().__init__()
-        self.owner, self.before, self.most = owner, before, most
+        self.owner, self.before, self.most, self.older = owner, before, most, {}
 
     def __missing__(self, piece: bytes) -> bytes:
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        owner = self.owner
-        if m := _TAIL.fullmatch(piece):
-            out = self[m[1]] + owner.first[m[2]]
-        else:
-            text = piece.decode("utf-8", "replace")
-            word = text.lower() if owner.lower else text
-            if _WORD.fullmatch(word) and len(word) == len(text) and (text.isascii() or _WORD.fullmatch(text)):
-                out = owner.word(self.before + word)
-            else:
-                out = owner.plain(self.before + text)
+        out = self.older.get(piece)
+        if out is None:
+            out = self._encoded(piece)
         self[piece] = out
         return out
 
+    def _encoded(self, piece: bytes) -> bytes:
+        owner = self.owner
+        if m := _TAIL.fullmatch(piece):
+            return self[m[1]] + owner.first[m[2]]
+        text = piece.decode("utf-8", "replace")
+        word = text.lower() if owner.lower else text
+        if _WORD.fullmatch(word) and len(word) == len(text) and (text.isascii() or _WORD.fullmatch(text)):
+            return owner.word(self.before + word)
+        return owner.plain(self.before + text)
+
 
 class Encoder:
     """``encode(text)``: the ids of the whole text as bytes of ``dtype``."""
 
-    def __init__(self, path: str, dtype=np.uint32, most: int = 600_000):
+    def __init__(self, path: str, dtype=np.uint32, most: int = 450_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -65,7 +70,7 @@ class Encoder:
         self.code = {1: "B", 2: "H", 4: "I"}[np.dtype(dtype).itemsize]
         self.letters = _byte_letters()
         self.lower = self._drops_space()
-        self.first = _Pieces(self, "", most)
+        self.first = _Pieces(self, "", most if self.lower else most // 4)
         self.mid = self.first if self.lower else _Pieces(self, " ", most)
 
     def _drops_space(self) -> bool:
