@@ -1,16 +1,17 @@
 """Language-model scores by online logistic context mixing.
 
 A text is its lower-cased tokens joined by single spaces and closed by an end byte; bytes
-are predicted bit by bit along a Huffman code of the training bytes. Hashed contexts (orders
-2, 3 and 5, and the begun word) each look up a log-odds prediction; a mixer adds these up with
-weights of the set that a gate opens (how well the begun word is known), and a bias by gate. Weights and biases start equal for every text and are refined
-online within it, block by block, so a text's score depends on the corpus counts and itself
-alone. Total bits, and bits a byte, follow.
+are predicted bit by bit along the Huffman code that training bytes have behind the byte
+before. Hashed contexts (orders 2, 3 and 5, and the begun word) each look up a log-odds
+prediction; a mixer adds these up with the weights and bias of the set that a gate opens, by
+how well the begun word and the longest order are known. Weights and biases start equal for
+every text and are refined online within it, block by block, so a text's score depends on
+the corpus counts and itself alone. Total bits, and bits a byte, follow.
 
 The counts behind the predictions come from all training texts. Each context's table has at
 least a slot for each (context, node) pair that these show, as told by a sample of the
 contexts, so it grows with the corpus. Each task counts the zeros and ones of its own slots,
-shards of these are added up in a tree of bounded groups, and the log-odds (two bytes a slot)
+shards of these are added up in a tree of bounded groups, and the log-odds (a byte a slot)
 go into one file in the shared folder, which the workers map. Only where that folder is in a
 store without such files do they pass through the driver.
 """
@@ -18,13 +19,14 @@ store without such files do they pass through the driver.
 from __future__ import annotations
 
 import heapq
+import math
 import os
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import pieces, shared_dir, table, written
@@ -48,19 +50,27 @@ SAMPLE = 256
 SHARD = 1 << 16
 #: (Context, byte) pairs that a task holds before it turns them into shards, and the bytes of
 #: shards before it hands them on.
-PAIRS = 2 << 20
-HELD = 64 << 20
+PAIRS = 1 << 20
+HELD = 32 << 20
 FAN = 32
 #: Tokens whose counts go to every worker; the others are looked up by a join.
 COMMON = 200_000
-#: Bits of a text after which weights are first learned; blocks double up to the second.
+#: Tables up to this power of two are counted in place by each task; larger ones by sorting.
+DENSE = 21
+#: Bits of a text after which weights are first learned; blocks grow fourfold up to the second.
 BLOCKS = (128, 8192)
-N_GATE = 3
-#: Weights of the contexts at the start, a row a gate, and how fast they are refined. The
-#: weights were found on training texts that were left out of the counts for it.
-START = ((0.17, 0.3, 0.48, 0.35), (0.13, 0.26, 0.55, 0.2), (0.07, 0.28, 0.65, 0.1))
-RATE = 2.0
+#: Limits of how well the begun word and the longest order are known, as log-odds; each side
+#: has three levels (between two steps of the odds), so a gate opens one of nine sets of weights.
+LEVELS = (1.04, 3.04)
+N_GATE = 9
+#: Weights of the contexts, and a bias, at the start: a row a gate, the word's level first. They
+#: were found on training texts that were left out of the counts for it.
+START = ((0.08, 0.23, 0.59, 0.12, 0.0), (0.05, 0.35, 0.62, 0.0, -0.05), (0.01, 0.37, 0.63, 0.05, 0.06), (0.02, 0.26, 0.52, 0.31, -0.09), (0.05, 0.19, 0.6, 0.2, 0.0),
+         (0.07, 0.38, 0.74, -0.08, -0.08), (0.07, 0.33, 0.57, 0.4, -0.25), (-0.05, 0.25, 0.57, 0.42, -0.21), (0.08, 0.26, 0.57, 0.28, -0.07))
+RATE = 4.0
 DELTA = 0.3
+#: Log-odds are kept in steps of 1 / STEPS, in a byte.
+STEPS = 12
 
 
 def normal(text: str | None) -> bytes:
@@ -71,7 +81,8 @@ def normal(text: str | None) -> bytes:
 
 @dataclass
 class Code:
-    """A prefix code: ``at[s]`` and ``len[s]`` give byte s's run in ``node`` and ``bit``."""
+    """A prefix code for each byte that may stand before: ``at[p, s]`` and ``len[p, s]`` (flat)
+    give the run of byte s behind byte p in ``node`` and ``bit``."""
 
     at: np.ndarray
     len: np.ndarray
@@ -80,14 +91,29 @@ class Code:
 
 
 def huffman(counts: np.ndarray) -> Code:
-    heap = [(int(c) + 1, s, s) for s, c in enumerate(counts)]
+    """``counts``: of bytes (columns) behind bytes (rows). A byte's share in all rows together
+    is added to each row, so that every byte has a path everywhere."""
+    counts = np.asarray(counts, np.float64).reshape(256, 256)
+    every = counts.sum(axis=0) + 1
+    lens, flat = [], []
+    for row in counts + every / every.sum():
+        paths = _paths(row)
+        lens += [len(p) for p in paths]
+        flat += [step for p in paths for step in p]
+    lens = np.array(lens, np.int64)
+    return Code(np.cumsum(lens) - lens, lens, np.array([a for a, _ in flat], np.uint32), np.array([b for _, b in flat], np.uint8))
+
+
+def _paths(weights: np.ndarray) -> list[list[tuple[int, int]]]:
+    """(node, bit) from the root to each symbol of a Huffman tree."""
+    heap = [(float(c), s, s) for s, c in enumerate(weights)]
     heapq.heapify(heap)
-    tree, n = [], len(counts)
+    tree, n = [], len(weights)
     while len(heap) > 1:
         (ca, _, a), (cb, _, b) = heapq.heappop(heap), heapq.heappop(heap)
         tree.append((a, b))
         heapq.heappush(heap, (ca + cb, n + len(tree), n + len(tree) - 1))
-    paths, todo = [None] * n, [(n + len(tree) - 1, [])]
+    paths, todo = [[]] * n, [(n + len(tree) - 1, [])]
     while todo:
         x, path = todo.pop()
         if x < n:
@@ -95,9 +121,7 @@ def huffman(counts: np.ndarray) -> Code:
         else:
             for bit, y in enumerate(tree[x - n]):
                 todo.append((y, path + [(x - n, bit)]))
-    lens = np.array([len(p) for p in paths], np.int64)
-    flat = [step for p in paths for step in p]
-    return Code(np.cumsum(lens) - lens, lens, np.array([a for a, _ in flat], np.uint32), np.array([b for _, b in flat], np.uint8))
+    return paths
 
 
 # ---------------------------------------------------------------- contexts
@@ -156,6 +180,11 @@ def _powers32(n: int):
     return _P32
 
 
+def behind(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The byte at each place, with the one before it above: what ``bits_of`` takes."""
+    return data[places - 1].astype(np.int64) << 8 | data[places]
+
+
 def bits_of(code: Code, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bits a symbol, and the node and value of each bit."""
     n = code.len[symbols]
@@ -176,13 +205,13 @@ def slots(size: int, ctx: np.ndarray, n: np.ndarray, node: np.ndarray) -> np.nda
 # ---------------------------------------------------------------- training
 
 def token_counts(docs: DataFrame) -> DataFrame:
-    """(token, c) of all texts: words, the end (an empty token), and the bytes of the stream
-    (token FF and the byte)."""
+    """(token, c) of all texts: words, the end (an empty token), and the bytes of the stream by
+    the byte before them (token FF, that byte, and the byte; no word has a byte FF)."""
 
     def count(batches):
         from collections import Counter
 
-        words, bytes_, ends = Counter(), np.zeros(256, np.int64), 0
+        words, bytes_, ends = Counter(), np.zeros(1 << 16, np.int64), 0
 
         def flush():
             keys = list(words)
@@ -194,14 +223,15 @@ def token_counts(docs: DataFrame) -> DataFrame:
                 ends += len(raw)
                 for r in raw:
                     words.update(r.split(b" ") if r else ())
-                bytes_ += np.bincount(np.frombuffer(b"".join(raw), np.uint8), minlength=256)
-                if len(words) > 300_000:
+                data, places, _ = stream(raw)
+                bytes_ += np.bincount(behind(data, places), minlength=1 << 16)
+                if len(words) > 100_000:
                     yield flush()
                     words.clear()
         if words:
             yield flush()
-        bytes_[END] += ends
-        yield pa.RecordBatch.from_arrays([pa.array([b"", *(bytes([END, k]) for k in range(256))], pa.binary()), pa.array([ends, *bytes_.tolist()], pa.int64())], ["token", "c"])
+        there = np.flatnonzero(bytes_).tolist()
+        yield pa.RecordBatch.from_arrays([pa.array([b"", *(bytes([END, k >> 8, k & 255]) for k in there)], pa.binary()), pa.array([ends, *bytes_[there].tolist()], pa.int64())], ["token", "c"])
 
     return docs.mapInArrow(count, "token binary, c long").where("c > 0").groupBy("token").agg(F.sum("c").alias("c"))
 
@@ -214,12 +244,12 @@ def sizes_of(docs: DataFrame, code) -> tuple:
         for whole in batches:
             for b in pieces(whole, "text", 1 << 20):
                 data, places, _ = stream([normal(t) for t in b.column("text").to_pylist()])
-                symbol = data[places].astype(np.uint64)
+                symbol = behind(data, places).astype(np.uint64)
                 for i, ctx in enumerate(contexts(data, places)):
                     few = np.flatnonzero(ctx % np.uint32(SAMPLE) == 0)
-                    pair = np.unique(ctx[few].astype(np.uint64) << np.uint64(8) | symbol[few])
-                    n, node, _ = bits_of(code.value, (pair & np.uint64(255)).astype(np.int64))
-                    key = np.unique(np.repeat(pair >> np.uint64(8), n) << np.uint64(8) | node)
+                    pair = np.unique(ctx[few].astype(np.uint64) << np.uint64(16) | symbol[few])
+                    n, node, _ = bits_of(code.value, (pair & np.uint64(0xFFFF)).astype(np.int64))
+                    key = np.unique(np.repeat(pair >> np.uint64(16), n) << np.uint64(8) | node)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), i, np.int32)), pa.array(key.astype(np.int64))], ["context", "key"])
 
     found = dict(docs.mapInArrow(sample, "context int, key long").distinct().groupBy("context").count().collect())
@@ -234,12 +264,15 @@ def summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[first], np.add.reduceat(times, first) if len(keys) else times
 
 
-def pairs_of(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each context its (context, byte) pairs in the texts, each once, and their times."""
+def pairs_of(texts: list[bytes], only=None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each context its (context, byte before, byte) triples in the texts, each once, and
+    their times."""
     data, places, _ = stream(texts)
-    symbol, out = data[places].astype(np.uint64), []
-    for ctx in contexts(data, places):
-        pair = ctx.astype(np.uint64) << np.uint64(8) | symbol
+    symbol, out = behind(data, places).astype(np.uint64), []
+    for i, ctx in enumerate(contexts(data, places)):
+        if only is not None and i not in only:
+            continue
+        pair = ctx.astype(np.uint64) << np.uint64(16) | symbol
         pair.sort()
         first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
         out.append((pair[first], np.diff(np.append(first, len(pair)))))
@@ -248,8 +281,8 @@ def pairs_of(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def in_slots(code: Code, size: int, pair: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs taken apart into bits: twice the slot, and one more for a one; times."""
-    n, node, bit = bits_of(code, (pair & np.uint64(255)).astype(np.int64))
-    s = slots(size, (pair >> np.uint64(8)).astype(np.uint32), n, node).astype(np.int64)
+    n, node, bit = bits_of(code, (pair & np.uint64(0xFFFF)).astype(np.int64))
+    s = slots(size, (pair >> np.uint64(16)).astype(np.uint32), n, node).astype(np.int64)
     return 2 * s + bit, np.repeat(times, n)
 
 
@@ -270,6 +303,8 @@ def _counted(code, sizes, batches):
         """Pairs go to the shards; the bytes these get."""
         size_ = 0
         for size, base, parts in zip(sizes, start, held):
+            if not parts:
+                continue
             key, times = summed(*in_slots(code, size, *summed(*map(np.concatenate, zip(*parts)))))
             key += 2 * base
             shard = key // (2 * SHARD)
@@ -286,33 +321,52 @@ def _counted(code, sizes, batches):
                 blobs = [_zip(*summed(*map(np.concatenate, zip(*map(_unzip, blobs)))))]
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([task], pa.int32()), pa.array(blobs, pa.binary())], ["shard", "part", "counts"])
 
-    held, shards, n_bytes = [[] for _ in sizes], {}, 0
+    small = [i for i, size in enumerate(sizes) if size <= DENSE]
+    large = [i for i, size in enumerate(sizes) if size > DENSE]
+    dense = {i: np.zeros(2 << sizes[i], np.int64) for i in small}
+    held, shards, n_bytes, some = [[] for _ in sizes], {}, 0, False
     for whole in batches:
         for b in pieces(whole, "text", 1 << 20):
-            for parts, new in zip(held, pairs_of([normal(t) for t in b.column("text").to_pylist()])):
-                parts.append(new)
-            if sum(len(p) for parts in held for p, _ in parts) > PAIRS:
-                n_bytes += put(held, shards)
-                held = [[] for _ in sizes]
-                if n_bytes > HELD:
-                    yield from rows(shards)
-                    shards, n_bytes = {}, 0
-    if held[0]:
+            some, texts = True, [normal(t) for t in b.column("text").to_pylist()]
+            if small:
+                data, places, _ = stream(texts)
+                n, node, bit = bits_of(code, behind(data, places))
+                for i, ctx in enumerate(contexts(data, places)):
+                    if i in dense:
+                        s = slots(sizes[i], ctx, n, node).astype(np.int64)
+                        dense[i] += np.bincount(2 * s + bit, minlength=2 << sizes[i])
+            if large:
+                for i, new in zip(large, pairs_of(texts, large)):
+                    held[i].append(new)
+                if sum(len(p) for parts in held for p, _ in parts) > PAIRS:
+                    n_bytes += put(held, shards)
+                    held = [[] for _ in sizes]
+                    if n_bytes > HELD:
+                        yield from rows(shards)
+                        shards, n_bytes = {}, 0
+    if any(held):
         put(held, shards)
     yield from rows(shards)
+    if some:
+        for i, total in dense.items():
+            for k in range(0, len(total), 2 * SHARD):
+                key = np.flatnonzero(total[k:k + 2 * SHARD])
+                if len(key):
+                    yield from rows({int(2 * start[i] + k) // (2 * SHARD): [_zip(key, total[k + key])]})
 
 
 def _zip(key: np.ndarray, times: np.ndarray) -> bytes:
-    """Ascending keys, as steps, and their times."""
-    both = np.concatenate([np.diff(key, prepend=0), times]).astype("<i4")
-    planes = np.ascontiguousarray(both.view(np.uint8).reshape(-1, 4).T)
-    return len(key).to_bytes(4, "little") + pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
+    """Ascending keys, as steps, and their times, whole numbers of any size up to 63 bits."""
+    wide = 8 if len(times) and times.max() >= 1 << 31 else 4
+    both = np.concatenate([np.diff(key, prepend=0), times]).astype(f"<i{wide}")
+    planes = np.ascontiguousarray(both.view(np.uint8).reshape(-1, wide).T)
+    return len(key).to_bytes(4, "little") + bytes([wide]) + pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
 
 
 def _unzip(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int.from_bytes(blob[:4], "little")
-    planes = np.frombuffer(pa.Codec("zstd").decompress(blob[4:], 8 * n, asbytes=True), np.uint8).reshape(4, -1)
-    both = np.ascontiguousarray(planes.T).view("<i4").reshape(2, n).astype(np.int64)
+    n, wide = int.from_bytes(blob[:4], "little"), blob[4]
+    planes = np.frombuffer(pa.Codec("zstd").decompress(blob[5:], 2 * wide * n, asbytes=True), np.uint8).reshape(wide, -1)
+    both = np.ascontiguousarray(planes.T).view(f"<i{wide}").reshape(2, n).astype(np.int64)
     return np.cumsum(both[0]), both[1]
 
 
@@ -322,7 +376,7 @@ def _total(blobs) -> np.ndarray:
     for b in blobs:
         key, times = _unzip(b)
         total[key] += times
-    return np.minimum(total, 2**31 - 1)
+    return total
 
 
 def _added(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -332,7 +386,8 @@ def _added(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def odds_of(counts: np.ndarray) -> np.ndarray:
-    return np.log((counts[1] + DELTA) / (counts[0] + DELTA)).astype("<f2")
+    """Log-odds of slots (zeros in row 0, ones in row 1) in steps; 0 for a slot without counts."""
+    return np.clip(np.rint(np.log((counts[1] + DELTA) / (counts[0] + DELTA)) * STEPS), -127, 127).astype(np.int8)
 
 
 def _odds(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -343,7 +398,7 @@ def _put(path: str, pdf: pd.DataFrame) -> pd.DataFrame:
     """Shards' log-odds go to their places in the file; a task that runs again writes the same."""
     with open(path, "r+b") as f:
         for shard, odds in zip(pdf["shard"], pdf["odds"]):
-            f.seek(2 * SHARD * int(shard))
+            f.seek(SHARD * int(shard))
             f.write(odds)
     return pdf[["shard"]]
 
@@ -351,7 +406,7 @@ def _put(path: str, pdf: pd.DataFrame) -> pd.DataFrame:
 @dataclass
 class Model:
     code: Code
-    odds: np.ndarray | str  # float16, all tables in a row, or the file of these
+    odds: np.ndarray | str  # int8 steps, all tables in a row, or the file of these
     sizes: tuple = SLOTS
 
 
@@ -373,14 +428,14 @@ def train(docs: DataFrame, byte_counts: np.ndarray) -> Model:
     done = grouped.mapInPandas(lambda it: (_odds(pdf.iloc[i:i + 1]) for pdf in it for i in range(len(pdf))), "shard int, odds binary")
     n, path = int(bases(sizes)[-1]), shared_dir(spark).removeprefix("file:")
     if "://" in path:  # no folder that can be mapped: the driver hands the tables out
-        odds = np.zeros(n, "<f2")
+        odds = np.zeros(n, np.int8)
         for r in done.toLocalIterator():
-            odds[r["shard"] * SHARD:(r["shard"] + 1) * SHARD] = np.frombuffer(r["odds"], "<f2")
+            odds[r["shard"] * SHARD:(r["shard"] + 1) * SHARD] = np.frombuffer(r["odds"], np.int8)
         return Model(code, odds, sizes)
     os.makedirs(path)
     path += "/odds"
     with open(path, "wb") as f:
-        f.truncate(2 * n)  # slots that nothing has shown stay zero
+        f.truncate(n)  # slots that nothing has shown stay zero
     done.mapInPandas(lambda it: (_put(path, pdf) for pdf in it), "shard int").agg(F.count("shard")).collect()
     return Model(code, path, sizes)
 
@@ -392,7 +447,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.code, self.sizes = model.code, model.sizes
-        odds, at = np.memmap(model.odds, "<f2", "r") if isinstance(model.odds, str) else model.odds, bases(model.sizes)
+        odds, at = np.memmap(model.odds, np.int8, "r") if isinstance(model.odds, str) else model.odds, bases(model.sizes)
         self.odds = [np.asarray(odds[at[i]:at[i + 1]]) for i in range(N_CTX)]
 
     def bits(self, texts: list[bytes], most: int = 1 << 16) -> np.ndarray:
@@ -413,44 +468,46 @@ class Scorer:
                     cost, state = self._mix(f, sign, state)
                     out[at] += cost
             else:
-                f, sign, n_bits = self._inputs(data, places, ctx)
+                (x, gate), sign, n_bits = self._inputs(data, places, ctx)
                 edge = np.concatenate([[0], np.cumsum(np.add.reduceat(n_bits, np.cumsum(count) - count))]).tolist()
                 for k, (a, b) in enumerate(zip(edge[:-1], edge[1:])):
-                    out[at + k] = self._mix(f[:, a:b], sign[a:b], None)[0]
+                    out[at + k] = self._mix((x[:, a:b], gate[:, a:b]), sign[a:b], None)[0]
             at = to
         return out
 
     def _inputs(self, data, places, ctx):
-        """Inputs of the mixer, a row for each gate and context and a bias for each gate, of
-        which the closed gates' rows are zero; -1 for a one and 1 for a zero bit."""
-        n, node, bit = bits_of(self.code, data[places])
-        f = np.zeros((N_GATE * (N_CTX + 1), len(node)), np.float32)
-        x = [self.odds[i][slots(self.sizes[i], ctx[i], n, node)].astype(np.float32) for i in range(N_CTX)]
-        word = np.abs(x[3])
-        gates = [word > 3, (word <= 3) & (word > 1), word <= 1]
-        for g, open_ in enumerate(gates):
-            k = g * (N_CTX + 1)
-            for i in range(N_CTX):
-                np.multiply(x[i], open_, out=f[k + i])
-            f[k + N_CTX] = open_
-        return f, np.float32(1) - 2 * bit.astype(np.float32), n
-
-    def _mix(self, f, sign, state):
-        """Cost in bits of a run of bits, and the state after it."""
-        w, size, seen = state or (np.array([[*row, 0] for row in START], np.float32).ravel(), BLOCKS[0], 0)
-        at, n, cost = 0, f.shape[1], 0.0
+        """Inputs of the mixer, a row a context and one for the bias, with the places of their
+        weights; -1 for a one and 1 for a zero bit; and the bits of each place."""
+        n, node, bit = bits_of(self.code, behind(data, places))
+        x = np.empty((N_CTX + 1, len(node)), np.float32)
+        for i in range(N_CTX):
+            np.multiply(self.odds[i][slots(self.sizes[i], ctx[i], n, node)], np.float32(1 / STEPS), out=x[i])
+        x[N_CTX] = 1
+        level = lambda v: (v > LEVELS[0]).astype(np.intp) + (v > LEVELS[1])
+        gate = 3 * level(np.abs(x[3])) + level(np.abs(x[2]))
+        return (x, gate + N_GATE * np.arange(N_CTX + 1)[:, None]), np.float32(1) - 2 * bit.astype(np.float32), n
+
+    def _mix(self, inputs, sign, state):
+        """Cost in bits of a run of bits, and the state after it. Weights lie in a row, those of
+        a context next to each other, by gate."""
+        x, gate = inputs
+        w, size, seen = state or (np.array(START, np.float32).T.ravel(), BLOCKS[0], 0)
+        at, n, cost = 0, len(sign), 0.0
         while at < n:
             to = min(n, at + size)
-            fs, s = f[:, at:to], sign[at:to]
-            z = w @ fs
+            g, xs, s = gate[:, at:to], x[:, at:to], sign[at:to]
+            z = np.einsum("ij,ij->j", w.take(g), xs)
             np.clip(z, -12, 12, out=z)
             z *= s
             np.exp(z, out=z)  # odds of the other bit
-            cost += float(np.log1p(z).sum(dtype=np.float64))
-            err = s * z / (1 + z)  # what the prediction has too much, times the sign
+            both = z + 1
+            cost += float(np.log(both).sum(dtype=np.float64))
+            z /= both
+            z *= s  # what the prediction has too much, times the sign
             seen += to - at
-            w = w - np.float32(RATE / (64 + seen) ** 0.5 / (to - at) ** 0.5) * (fs @ err)
-            at, size = to, min(2 * size, BLOCKS[1])
+            slope = np.bincount(g.ravel(), (xs * z).ravel(), len(w))
+            w = w - (RATE / (64 + seen) ** 0.5 / (to - at) ** 0.5 * slope).astype(np.float32)
+            at, size = to, min(4 * size, BLOCKS[1])
         return cost / np.log(2), (w, size, seen)
 
 
@@ -459,6 +516,8 @@ _RARE = pa.list_(pa.struct([("token", pa.binary()), ("tf", pa.int64())]))
 
 
 def _scored(model, common, batches):
+    from collections import Counter
+
     scorer, held = Scorer(model), common
     for whole in batches:
         for b in pieces(whole, "text", 1 << 20):
@@ -466,17 +525,12 @@ def _scored(model, common, batches):
             bits = scorer.bits(raw)
             rows = []
             for r in raw:
-                known, total, rare = 0, 0.0, {}
                 words = r.split(b" ") if r else []
                 words.append(b"")
-                for t in words:
-                    v = held.get(t)
-                    if v is None:
-                        rare[t] = rare.get(t, 0) + 1
-                    else:
-                        known += 1
-                        total += v
-                rows.append((len(words), known, total, [{"token": t, "tf": n} for t, n in rare.items()]))
+                logs = list(map(held.get, words))
+                rare = Counter(t for t, v in zip(words, logs) if v is None)
+                found = [v for v in logs if v is not None]
+                rows.append((len(words), len(found), math.fsum(found), [{"token": t, "tf": n} for t, n in rare.items()]))
             yield pa.RecordBatch.from_arrays([
                 b.column("row"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64()),
                 pa.array(bits, pa.float64()), pa.array([len(r) for r in raw], pa.int64()), pa.array([r[3] for r in rows], _RARE),
@@ -487,22 +541,28 @@ def score(documents: DataFrame, is_training, common: int = COMMON) -> DataFrame:
     """For each row of ``documents``: doc_id, trained (whether ``is_training``, a Column, holds
     for it), n_tokens, n_known, train_tokens, base_score, score, total_bits, bits_per_byte.
 
-    Null texts are empty ones: the end alone is scored. Without training rows every token is
-    unknown and every bit even. Repeated rows get equal scores. Words that only few texts
-    have are counted by a join, the ``common`` most frequent ones from a broadcast table.
+    Null texts are empty ones: the end alone is scored. Texts of any length are taken whole, in
+    parts whose mixer goes on. Without training rows every token is unknown and every bit even.
+    Rows without a doc_id and repeated rows are scored like others, equal texts alike; an empty
+    table gives no rows. Columns other than doc_id and text are not looked at, but by
+    ``is_training``. Words that only few texts have are counted by a join, the most frequent
+    ones, at most ``common`` and all that share a count or none of them, from a broadcast table.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(is_training, F.lit(False)).alias("trained"))
     docs = docs.withColumn("row", F.monotonically_increasing_id())
     learn = docs.where("trained").select("text")
     counts = written(token_counts(learn))
-    is_byte = (F.octet_length("token") == 2) & (F.substring("token", 1, 1) == F.lit(bytes([END])))
-    byte_counts = np.zeros(256, np.int64)
-    for r in counts.where(is_byte).collect():
-        byte_counts[r["token"][1]] = r["c"]
+    is_byte = F.substring("token", 1, 1) == F.lit(bytes([END]))
+    byte_counts = np.zeros(1 << 16, np.int64)
+    for r in counts.where(is_byte).collect():  # 2^16 rows at most
+        byte_counts[r["token"][1] << 8 | r["token"][2]] = r["c"]
     words = counts.where(~is_byte)
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = words.orderBy(F.desc("c"), "token").limit(common).toPandas()
+    # the count from which words are common, by a histogram, so that no more rows than that are sorted or sent
+    by = words.groupBy("c").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("c"))
+    least = by.withColumn("s", F.sum("k").over(Window.orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, Window.currentRow))).where(F.col("s") <= common).agg(F.min("c")).first()[0]
+    top = words.where(F.col("c") >= (least if least is not None else 1 << 62)).toPandas()
     held = spark.sparkContext.broadcast(dict(zip(map(bytes, top["token"]), np.log10(top["c"].to_numpy(np.float64) + 1).tolist())))
     model = spark.sparkContext.broadcast(train(learn, byte_counts))
     made = written(docs.select("row", "text").mapInArrow(lambda it: _scored(model.value, held.value, it), SCORED))
