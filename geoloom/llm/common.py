@@ -33,11 +33,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/geoloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, **options) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: it cuts lineage, survives lost
     executors, and fixes what a sampling or range shuffle has dealt out. ``discard`` deletes it."""
     path = shared_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._folder = path
     return out

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-#: Groups in a block on average; the driver holds a sum a block and the sizes of a few blocks.
+#: Groups in a block, a power of two; the driver holds a sum a block and the sizes of a few blocks.
 BLOCK = 4096
+#: Bytes of a row group in the table of groups: what a look at a block reads beside it, at most.
+ROW_GROUP = 1 << 17
 
 
 def greedy(sizes: np.ndarray, capacity: int, most: int) -> list[int] | None:
@@ -95,9 +97,11 @@ def shard_documents(documents: DataFrame, shards: int = 40, overhead: int = 16,
     """(doc_id, size, text_crc32, group, shard, slot) for each row of ``documents``.
 
     ``size`` is the UTF-8 length plus ``overhead``; null texts are empty ones of length 0 and
-    form one group with empty texts. A null doc_id counts as the smallest. Repeated rows are
-    rows of their own, in one group. ``slot`` runs from 0 in each shard without gaps, by
-    (group, doc_id). An empty table gives no rows; extra columns are not looked at.
+    form one group with empty texts; a text of any length is measured and hashed whole. A null
+    doc_id counts as the smallest. Repeated rows are rows of their own, in one group. Groups of
+    one smallest doc_id stand by their texts' digests. ``slot`` runs from 0 in each shard
+    without gaps, by group and doc_id. An empty table gives no rows; extra columns are not
+    looked at.
     """
     spark = documents.sparkSession
     low = -(1 << 63)
@@ -106,30 +110,26 @@ def shard_documents(documents: DataFrame, shards: int = 40, overhead: int = 16,
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("digest")))
     groups = written(docs.groupBy("digest").agg(F.coalesce(F.min("doc_id"), F.lit(low)).alias("first"), F.sum("size").alias("total")))
-    n = groups.count()
-    if not n:
+    if groups.isEmpty():
         return docs.select("doc_id", "size", "text_crc32", F.lit(0).cast("long").alias("group"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-    # edges of blocks of about ``block`` groups, then exact sums between them
-    k = -(-n // block)
-    edges = sorted(set(groups.agg(F.percentile_approx("first", [i / k for i in range(1, k)] or [0.5], 100 * k).alias("e")).first()["e"])) if k > 1 else []
-    edge = F.array(*[F.lit(int(e)) for e in edges]) if edges else None
-    number = F.size(F.filter(edge, lambda e: e <= F.col("first"))) if edges else F.lit(0)
-    if len(edges) > 64:
-        number = _ranked(spark, groups, edges)
-    groups = written(groups.withColumn("block", number)) if not isinstance(number, DataFrame) else number
-    sums = [(r["block"], r["s"], r["m"]) for r in groups.groupBy("block").agg(F.sum("total").alias("s"), F.max("total").alias("m")).orderBy("block").collect()]
+    # groups in order and numbered where they lie, so that a block is a run of numbers: its sums
+    # come to the driver, and its rows, when a place in it matters, out of the files that hold it
+    order = groups.repartitionByRange("first", "digest").sortWithinPartitions("first", "digest")
+    order = written(order.withColumn("at", F.monotonically_increasing_id()), **{"parquet.block.size": ROW_GROUP})
+    of = F.floor(F.col("at") / block)
+    sums = order.groupBy(of.alias("block")).agg(F.sum("total").alias("s"), F.max("total").alias("m")).orderBy("block").toPandas()
 
     def fetch(b: int):
-        rows = groups.where(F.col("block") == b).select("first", "total").toPandas().sort_values("first")
-        return rows["first"].to_numpy(), rows["total"].to_numpy().astype(np.int64)
+        rows = order.where(F.col("at").between(int(b) * block, int(b) * block + block - 1)).select("at", "total").toPandas().sort_values("at")
+        return rows["at"].to_numpy(), rows["total"].to_numpy().astype(np.int64)
 
-    _, cuts = minimax(Lazy(sums, fetch), shards)
-    shard = sum((F.when(F.col("first") >= int(c), 1).otherwise(0) for c in cuts[1:]), F.lit(0)).cast("int")
-    placed = groups.select("digest", F.col("first").alias("group"), shard.alias("shard"))
+    _, cuts = minimax(Lazy(list(sums.itertuples(index=False, name=None)), fetch), shards)
+    shard = sum((F.when(F.col("at") >= int(c), 1).otherwise(0) for c in cuts[1:]), F.lit(0)).cast("int")
+    placed = order.select("digest", F.col("first").alias("group"), F.col("at").alias("place"), shard.alias("shard"))
     rows = docs.join(written(placed), "digest").drop("digest")
     # ranks within shards: rows are dealt out by range, numbered where they lie, and each
     # (part, shard) starts where the parts before it end
-    dealt = rows.repartitionByRange("shard", "group", "doc_id").sortWithinPartitions("shard", "group", "doc_id").withColumn("at", F.monotonically_increasing_id())
+    dealt = rows.repartitionByRange("place", "doc_id").sortWithinPartitions("place", "doc_id").withColumn("at", F.monotonically_increasing_id())
     dealt = written(dealt.withColumn("part", F.shiftright("at", 33)))
     from pyspark.sql import Window
 
@@ -139,20 +139,6 @@ def shard_documents(documents: DataFrame, shards: int = 40, overhead: int = 16,
     return dealt.join(tally, ["part", "shard"]).select("doc_id", "size", "text_crc32", "group", "shard", (F.col("at") + F.col("shift")).alias("slot"))
 
 
-def _ranked(spark: SparkSession, groups: DataFrame, edges: list[int]) -> DataFrame:
-    """Block numbers by a sorted search in Arrow batches, for many edges."""
-    import pyarrow as pa
-
-    held = spark.sparkContext.broadcast(np.array(edges, np.int64))
-
-    def number(batches):
-        for b in batches:
-            at = np.searchsorted(held.value, b.column("first").to_numpy(zero_copy_only=False), "right")
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int32())], [*b.schema.names, "block"])
-
-    return written(groups.mapInArrow(number, "digest binary, first long, total long, block int"))
-
-
 def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_documents(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
