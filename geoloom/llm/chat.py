@@ -4,8 +4,8 @@ Every assistant turn becomes an example of its own: all preceding turns are its
 only that reply is trainable. Turns after the last reply, or a conversation without one, end
 in an example with nothing trainable, so that no turn is lost.
 
-A turn reads ``[INST role] text</s>`` with ``[/INST]`` before a reply. Control strings inside
-a text or role get a backslash after their first character, and one more where they have
+A user's turn reads ``[INST] text</s>``, a reply ``[/INST] text</s>``, and a turn of another
+role ``[TURN role]text</s>``. Control strings inside a text or role get a backslash after their first character, and one more where they have
 some already, which ``unescape`` takes away again.
 """
 
@@ -120,7 +120,8 @@ def expand(conversations: DataFrame) -> DataFrame:
     partition.
 
     Turns go by turn, ties and repeated rows by role and text; null turns first, null roles
-    and texts as empty ones, a null conv_id as a conversation of its own. Turns are sorted
+    and texts as empty ones, a null conv_id as a conversation of its own. An empty table gives
+    no rows; columns other than the four are not looked at. Turns are sorted
     and streamed, so a long conversation takes memory for its own text only.
     """
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))

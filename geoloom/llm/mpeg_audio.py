@@ -7,7 +7,7 @@ byte count and seek table come first, an ID3v1 tag last.
 
 ``parse`` reads any MPEG 1, 2 and 2.5 stream of Layers I to III: it skips tags, finds the
 first frame header that a chain of further headers confirms, walks frame by frame,
-resynchronises after damage, checks CRCs where a frame has them, reads Xing/Info and VBRI
+resynchronises after damage, checks the CRCs of Layer III frames, reads Xing/Info and VBRI
 tables, and reports exact durations and the byte offset of every frame.
 """
 
@@ -157,21 +157,45 @@ def _vbr(b: bytes, at: int, h: Header) -> dict | None:
     return None
 
 
+def _size_of(b: bytes) -> int:
+    return sum((x & 127) << s for x, s in zip(b, (21, 14, 7, 0)))
+
+
+def _title(body: bytes, version: int, flags: int) -> str | None:
+    """The title among the frames of an ID3v2 tag; sizes are synchsafe from version 4 on, ids
+    and sizes of three bytes in version 2."""
+    if flags & 0x40 and version > 2:  # an extended header
+        n = _size_of(body[:4]) if version > 3 else int.from_bytes(body[:4], "big") + 4
+        body = body[n:]
+    width = 3 if version == 2 else 4
+    at, head = 0, 6 if version == 2 else 10
+    while at + head <= len(body) and body[at]:
+        size = int.from_bytes(body[at + 3:at + 6], "big") if version == 2 else _size_of(body[at + 4:at + 8]) if version > 3 else int.from_bytes(body[at + 4:at + 8], "big")
+        if body[at:at + width] in (b"TT2", b"TIT2"):
+            text = body[at + head:at + head + size]
+            code = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(text[0] if text else 0, "latin-1")
+            return text[1:].decode(code, "replace").rstrip("\0")
+        at += head + size
+    return None
+
+
 def parse(b: bytes | None) -> Parsed:
-    """What a stream holds. Null, empty and foreign bytes give no frames; a last frame that
+    """What a stream holds. Checksums are verified in Layer III, whose protected bits are the
+    header and side information; frames of Layers I and II are found and timed, and count
+    neither as good nor as bad. Null, empty and foreign bytes give no frames; a last frame that
     the data cut short is counted as lost bytes."""
     out, b = Parsed(), b or b""
     at, end = 0, len(b)
     while b[at:at + 3] == b"ID3" and len(b) >= at + 10:
-        size = sum((x & 127) << s for x, s in zip(b[at + 6:at + 10], (21, 14, 7, 0)))
+        size = _size_of(b[at + 6:at + 10])
         out.tags.append("ID3v2")
-        body = b[at + 10:at + 10 + size]
-        if body[:4] == b"TIT2" and out.title is None:
-            n = sum((x & 127) << s for x, s in zip(body[4:8], (21, 14, 7, 0)))
-            out.title = body[11:10 + n].decode("utf-8" if body[10:11] == b"\x03" else "latin-1", "replace")
+        if out.title is None:
+            out.title = _title(b[at + 10:at + 10 + size], b[at + 3], b[at + 5])
         at += 10 + size + 10 * (b[at + 5] >> 4 & 1)
     if end - at >= 128 and b[end - 128:end - 125] == b"TAG":
         out.tags.append("ID3v1")
+        if out.title is None:
+            out.title = b[end - 125:end - 95].split(b"\0")[0].rstrip().decode("latin-1") or None
         end -= 128
     if end - at >= 32 and b[end - 32:end - 24] == b"APETAGEX":
         out.tags.append("APEv2")
@@ -229,8 +253,9 @@ def _store(batches):
 
 def store_texts(documents: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): every text as an MPEG audio stream. A null text is stored as
-    an empty one; the payload is padded with bytes 255 to a positive multiple of 576. Rows
-    are independent, so repeated rows, ties and an empty table need no care."""
+    an empty one; the payload is padded with bytes 255 to a positive multiple of 576. A text of
+    any length is stored whole, in one stream. Rows are independent, so repeated rows, ties
+    and an empty table need no care; columns other than doc_id and text are not looked at."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 
@@ -279,7 +304,7 @@ def probe(media: DataFrame) -> DataFrame:
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = probe(store_texts(table(spark, sf_dir, "documents")))
-    feature = F.concat_ws(";", F.format_string("frames=%d", "n_frames"), F.format_string("us=%d", "duration_us"), F.format_string("hz=%d", "sample_rate"), F.format_string("crc=%d/%d", "crc_ok", "crc_bad"),
+    feature = F.concat_ws(";", F.format_string("frames=%d", "n_frames"), F.format_string("samples=%d", "samples"), F.format_string("hz=%d", "sample_rate"), F.format_string("crc=%d/%d", "crc_ok", "crc_bad"),
                           F.format_string("%s=%d/%d", "vbr_kind", "vbr_frames", "vbr_bytes"), F.concat(F.lit("tags="), F.array_join("tags", ",")), F.format_string("seek=%s", F.hex(F.xxhash64("seek_offsets"))),
                           F.format_string("mean=%.3f", "mean"), F.format_string("rms=%.3f", "rms"))
     return p.select("doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),

@@ -97,13 +97,27 @@ def test_packing(spark, docs):
 @given(st.dictionaries(st.integers(1, 50), st.integers(1, 30), min_size=1, max_size=12), st.integers(0, 99))
 def test_genomes_keep_all_pieces(counts, seed):
     population = packing._first(counts, 50, seed, 3)
-    before = packing.fitness(packing.best_fit(counts, 50), 50)
-    after = packing.evolve(population, 50, seed, 8)
+    before = max(packing.fitness(g, 50) for g in population)
+    after, taken = packing.evolve(population, 50, seed, 8)
+    assert 0 <= taken <= 8
     for g in after:
         assert packing.histogram(g) == counts and all(sum(p) <= 50 for p in g)
     assert packing.fitness(after[0], 50) >= before
 
 
+def test_search_takes_children(spark):
+    """On the lengths of real texts the result has come through crossover and migration."""
+    enc = tokens.Encoder(tokens.public_path("word_bpe_49k.json"))
+    counts = {}
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect():
+        n = len(enc.encode(r.text or "")) // 4 + 1
+        for length in [2048] * (n // 2048) + [n % 2048] * (n % 2048 > 0):
+            counts[length] = counts.get(length, 0) + 1
+    genome, taken = packing.search(spark, counts)
+    assert taken > 0 and packing.histogram(genome) == counts
+    assert sum(genome.values()) <= sum(packing.best_fit(counts, 2048).values())
+
+
 def test_crossover_and_mutation():
     rng = np.random.default_rng(1)
     counts = {30: 7, 20: 9, 11: 14, 6: 5}
@@ -261,10 +275,10 @@ def test_context_mixing(spark):
 
 def test_probabilities_add_up():
     """The bits of all 256 next bytes make a distribution."""
-    counts = np.arange(256) ** 2
-    code = context_mixing.huffman(counts)
-    assert np.isclose((0.5 ** code.len).sum(), 1)
     texts = [b"abc abd abc", b"abc"] * 9
+    data, places, _ = context_mixing.stream(texts)
+    code = context_mixing.huffman(np.bincount(context_mixing.behind(data, places), minlength=1 << 16))
+    assert np.allclose((0.5 ** code.len).reshape(256, 256).sum(axis=1), 1)
     table = np.zeros((2, context_mixing.BASES[-1]), np.int32)
     context_mixing.count_slots(code, texts, table)
     scorer = context_mixing.Scorer(context_mixing.Model(code, context_mixing.odds_of(table)))
@@ -273,28 +287,65 @@ def test_probabilities_add_up():
     for b in range(256):
         stream = np.append(data, np.uint8(b))
         at = np.array([len(data)])
-        f, sign, _ = scorer._inputs(stream, at, context_mixing.contexts(stream, at))
-        total += 2 ** -scorer._mix(f, sign, None)[0]
+        inputs, sign, _ = scorer._inputs(stream, at, context_mixing.contexts(stream, at))
+        total += 2 ** -scorer._mix(inputs, sign, None)[0]
     assert np.isclose(total, 1, atol=1e-4)
 
 
-def test_slots_grow_with_the_contexts(spark, monkeypatch):
+def test_score_by_plain_loops():
+    """The mixer bit by bit in Python: the same bits for a text as the blocks of arrays give."""
+    texts = [b"the cat sat on the mat", b"the cat ran", b"a dog sat on a cat " * 30]
+    data, places, _ = context_mixing.stream(texts)
+    code = context_mixing.huffman(np.bincount(context_mixing.behind(data, places), minlength=1 << 16))
+    table = np.zeros((2, context_mixing.BASES[-1]), np.int64)
+    context_mixing.count_slots(code, texts, table)
+    odds = context_mixing.odds_of(table)
+    got = context_mixing.Scorer(context_mixing.Model(code, odds)).bits(texts)
+    for text, bits in zip(texts, got):
+        data, places, _ = context_mixing.stream([text])
+        ctx = context_mixing.contexts(data, places)
+        w = [list(row) for row in context_mixing.START]
+        size, seen, todo, cost = context_mixing.BLOCKS[0], 0, [], 0.0
+        for k, at in enumerate(places.tolist()):
+            own = int(data[at - 1]) << 8 | int(data[at])
+            for j in range(int(code.at[own]), int(code.at[own] + code.len[own])):
+                x = [odds[context_mixing.BASES[i] + int(context_mixing.slots(context_mixing.SLOTS[i], ctx[i][k:k + 1], np.array([1]), code.node[j:j + 1])[0])] / context_mixing.STEPS for i in range(4)]
+                level = lambda v: int(abs(v) > context_mixing.LEVELS[0]) + int(abs(v) > context_mixing.LEVELS[1])
+                todo.append((3 * level(x[3]) + level(x[2]), [*x, 1.0], int(code.bit[j])))
+        while todo:
+            block, todo = todo[:size], todo[size:]
+            slope = [[0.0] * 5 for _ in w]
+            for g, x, bit in block:
+                z = min(max(sum(a * b for a, b in zip(w[g], x)), -12), 12)
+                p = 1 / (1 + np.exp(-z))
+                cost -= np.log2(p if bit else 1 - p)
+                for i in range(5):
+                    slope[g][i] += (bit - p) * x[i]
+            seen += len(block)
+            rate = context_mixing.RATE / (64 + seen) ** 0.5 / len(block) ** 0.5
+            w = [[a + rate * b for a, b in zip(*rows)] for rows in zip(w, slope)]
+            size = min(4 * size, context_mixing.BLOCKS[1])
+        assert abs(cost - bits) < 1e-3 * max(cost, 1)
+
+
+@pytest.mark.parametrize("dense", [0, 17, 30])
+def test_slots_grow_with_the_contexts(spark, monkeypatch, dense):
     """Few slots to begin with: more are taken, and the counts in them are those of all texts."""
     monkeypatch.setattr(context_mixing, "SLOTS", (16, 16, 16, 16))
     monkeypatch.setattr(context_mixing, "SAMPLE", 4)
+    monkeypatch.setattr(context_mixing, "DENSE", dense)
     monkeypatch.setattr(context_mixing, "PAIRS", 500)
     rows = [(" ".join(hashlib.md5(f"{i} {j}".encode()).hexdigest()[:9] for j in range(60)),) for i in range(60)] + [(None,), ("",)]
     raw = [context_mixing.normal(t) for t, in rows]
-    counts = np.bincount(np.frombuffer(b"".join(raw), np.uint8), minlength=256)
-    counts[context_mixing.END] = len(raw)
-    model = context_mixing.train(spark.createDataFrame(rows, "text string").repartition(40), counts)
     data, places, _ = context_mixing.stream(raw)
+    counts = np.bincount(context_mixing.behind(data, places), minlength=1 << 16)
+    model = context_mixing.train(spark.createDataFrame(rows, "text string").repartition(40), counts)
     for ctx, size in zip(context_mixing.contexts(data, places), model.sizes):
-        pair = np.unique(ctx.astype(np.int64) << 8 | data[places])
-        n, node, _ = context_mixing.bits_of(model.code, pair & 255)
-        keys = len(np.unique(np.repeat(pair >> 8, n) << 8 | node))
+        pair = np.unique(ctx.astype(np.int64) << 16 | context_mixing.behind(data, places))
+        n, node, _ = context_mixing.bits_of(model.code, pair & 0xFFFF)
+        keys = len(np.unique(np.repeat(pair >> 16, n) << 8 | node))
         assert 2 ** size >= 0.8 * keys
     assert max(model.sizes) > 16
     table = np.zeros((2, context_mixing.bases(model.sizes)[-1]), np.int32)
     context_mixing.count_slots(model.code, raw, table, model.sizes)
-    assert np.array_equal(np.memmap(model.odds, "<f2", "r"), context_mixing.odds_of(table))
+    assert np.array_equal(np.memmap(model.odds, np.int8, "r"), context_mixing.odds_of(table))
