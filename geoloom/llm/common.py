@@ -52,8 +52,8 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
 
 
-#: Rows of a few bytes that ``lookup`` sends to every executor at most: some 100 MB there.
-LOOKUP = 2_000_000
+#: Rows of a few bytes that ``lookup`` sends to every executor at most: some 35 MB there.
+LOOKUP = 500_000
 
 
 def lookup(large: DataFrame, small: DataFrame, on: list[str], how: str) -> DataFrame:

@@ -70,7 +70,7 @@ class Encoder:
         self.code = {1: "B", 2: "H", 4: "I"}[np.dtype(dtype).itemsize]
         self.letters = _byte_letters()
         self.lower = self._drops_space()
-        self.first = _Pieces(self, "", most if self.lower else most // 4)
+        self.first = _Pieces(self, "", most // 3 if self.lower else most // 4)
         self.mid = self.first if self.lower else _Pieces(self, " ", most)
 
     def _drops_space(self) -> bool:

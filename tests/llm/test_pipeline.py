@@ -47,11 +47,10 @@ def _links(texts):
         w = (t or "").lower().split()
         sets[i] = {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
     comp = {i: i for i in sets}
-    for _ in sets:
-        for a, b in combinations(sets, 2):
-            both = len(sets[a] & sets[b])
-            if both and 100 * both >= 75 * len(sets[a] | sets[b]):
-                comp[a] = comp[b] = min(comp[a], comp[b])
+    edges = [(a, b) for a, b in combinations(sets, 2) if (both := len(sets[a] & sets[b])) and 100 * both >= 75 * len(sets[a] | sets[b])]
+    while any(comp[a] != comp[b] for a, b in edges):
+        for a, b in edges:
+            comp[a] = comp[b] = min(comp[a], comp[b])
     return comp
 
 
