@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from geoloom.plans import catalogue, scalars  # noqa: F401
+from geoloom.plans import catalogue, formats, geometry, scalars, texts  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
@@ -24,7 +24,7 @@ def test_query_equals_sql(spark, duck, name):
     got, want = catalogue.QUERIES[name](spark, SF).toPandas(), duck.sql(catalogue.ORACLE_SQL[name]).df()
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
-    rows = lambda df: sorted(map(tuple, df[cols].astype(object).values.tolist()))
+    rows = lambda df: sorted(tuple(str(v) for v in r) for r in df[cols].itertuples(index=False))
     assert rows(got) == rows(want)
 
 
