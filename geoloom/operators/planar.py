@@ -109,7 +109,8 @@ def buffer_line(df: DataFrame, key: str, metres: float, segments: int = 16) -> D
 
 def simplified(p: np.ndarray, tolerance: float) -> np.ndarray:
     """Places of the positions that a Douglas-Peucker pass keeps: both ends, and where a run
-    strays from its chord by more than ``tolerance``, the farthest (the first of equals)."""
+    strays from its chord by more than ``tolerance``, the farthest. Squared distances count to
+    12 digits, so that of positions equally far the first is taken, whatever was rounded."""
     keep = np.zeros(len(p), bool)
     if len(p):
         keep[[0, -1]] = True
@@ -121,7 +122,7 @@ def simplified(p: np.ndarray, tolerance: float) -> np.ndarray:
         e = p[b] - p[a]
         n = float(e @ e)
         t = np.clip(((p[a + 1:b] - p[a]) @ e) / n, 0, 1) if n > 0 else np.zeros(b - a - 1)
-        d = ((p[a + 1:b] - p[a] - t[:, None] * e) ** 2).sum(axis=1)
+        d = np.round(((p[a + 1:b] - p[a] - t[:, None] * e) ** 2).sum(axis=1), 12)
         k = int(np.argmax(d))
         if d[k] > tolerance ** 2:
             k += a + 1

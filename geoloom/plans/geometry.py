@@ -38,7 +38,7 @@ _add("buffer_line", _buffers, f"SELECT grp, round(min(x-{_DX}),6) AS x0, round(m
 _add("simplify", lambda s, d: planar.simplify(_lines(s, d).select("grp", "seq", "x", "y"), "grp", "seq", 0.2).select("grp", "seq"), f"""WITH RECURSIVE p AS (SELECT * FROM {_L} l),
 run AS (SELECT grp, min(seq) AS a, max(seq) AS b FROM p GROUP BY grp
  UNION ALL SELECT grp, unnest([a, m]) AS a, unnest([m, b]) AS b FROM (SELECT r.grp, r.a, r.b, arg_max(p.seq, (d2, -p.seq)) AS m, max(d2) AS d FROM (SELECT r.grp, r.a, r.b, p.seq,
-  CASE WHEN n > 0 THEN power(p.x-(a.x+t*dx),2)+power(p.y-(a.y+t*dy),2) ELSE power(p.x-a.x,2)+power(p.y-a.y,2) END AS d2 FROM run r JOIN (SELECT grp, seq, x, y FROM p) a ON a.grp = r.grp AND a.seq = r.a JOIN (SELECT grp, seq, x, y FROM p) b ON b.grp = r.grp AND b.seq = r.b,
+  round(CASE WHEN n > 0 THEN power(p.x-(a.x+t*dx),2)+power(p.y-(a.y+t*dy),2) ELSE power(p.x-a.x,2)+power(p.y-a.y,2) END, 12) AS d2 FROM run r JOIN (SELECT grp, seq, x, y FROM p) a ON a.grp = r.grp AND a.seq = r.a JOIN (SELECT grp, seq, x, y FROM p) b ON b.grp = r.grp AND b.seq = r.b,
   LATERAL (SELECT b.x-a.x AS dx, b.y-a.y AS dy, power(b.x-a.x,2)+power(b.y-a.y,2) AS n) e JOIN p ON p.grp = r.grp AND p.seq > r.a AND p.seq < r.b, LATERAL (SELECT CASE WHEN n > 0 THEN least(greatest(((p.x-a.x)*dx+(p.y-a.y)*dy)/n,0e0),1e0) ELSE 0 END AS t) f) q
   JOIN run r USING (grp, a, b) JOIN p ON p.grp = r.grp AND p.seq = q.seq GROUP BY r.grp, r.a, r.b) z WHERE d > 0.04e0)
 SELECT DISTINCT grp, unnest([a, b]) AS seq FROM run""")
