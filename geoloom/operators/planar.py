@@ -110,19 +110,24 @@ def buffer_line(df: DataFrame, key: str, metres: float, segments: int = 16) -> D
 def simplified(p: np.ndarray, tolerance: float) -> np.ndarray:
     """Places of the positions that a Douglas-Peucker pass keeps: both ends, and where a run
     strays from its chord by more than ``tolerance``, the farthest. Squared distances count to
-    12 digits, so that of positions equally far the first is taken, whatever was rounded."""
+    12 digits, halves up, so that of positions equally far the first is taken, whatever was
+    rounded. Sums go term by term: a dot product may fuse its steps and round otherwise."""
     keep = np.zeros(len(p), bool)
     if len(p):
         keep[[0, -1]] = True
-    todo = [(0, len(p) - 1)]
+    todo, xs, ys = [(0, len(p) - 1)], p[:, 0], p[:, 1]
     while todo:
         a, b = todo.pop()
         if b - a < 2:
             continue
-        e = p[b] - p[a]
-        n = float(e @ e)
-        t = np.clip(((p[a + 1:b] - p[a]) @ e) / n, 0, 1) if n > 0 else np.zeros(b - a - 1)
-        d = np.round(((p[a + 1:b] - p[a] - t[:, None] * e) ** 2).sum(axis=1), 12)
+        ax, ay, x, y = xs[a], ys[a], xs[a + 1:b], ys[a + 1:b]
+        dx, dy = xs[b] - ax, ys[b] - ay
+        n = dx * dx + dy * dy
+        t = np.clip(((x - ax) * dx + (y - ay) * dy) / n, 0, 1) if n > 0 else np.zeros(b - a - 1)
+        ox, oy = x - (ax + t * dx), y - (ay + t * dy)
+        d = (ox * ox + oy * oy) * 1e12
+        low = np.floor(d)
+        d = (low + (d - low >= 0.5)) / 1e12
         k = int(np.argmax(d))
         if d[k] > tolerance ** 2:
             k += a + 1

@@ -294,3 +294,18 @@ def test_normals_of_a_plane(spark):
     got = planar.normals(spark.createDataFrame(rows, "idx long, x double, y double, z double"), 8).collect()
     n = np.array([2.0, -0.5, -1.0]) / np.linalg.norm([2.0, -0.5, -1.0])
     assert len(got) == 144 and all(abs(r.nx - n[0]) < 1e-6 and abs(r.ny - n[1]) < 1e-6 and abs(r.nz - n[2]) < 1e-6 for r in got)
+
+
+_STEP_Y = 454
+_TIED_LINES = [
+    ([8, 607, 566, 838, 844, 529, 279, 563, 328, 680, 336, 294, 129, 528, 550, 941], [0, 1, 2, 3, 4, 5, 10, 11, 12, 13, 15]),
+    ([175, 566, 674, 641, 4, 902, 170, 473, 941, 94, 374, 785, 241, 39, 539, 870], [0, 2, 4, 5, 6, 7, 8, 9, 10, 11, 13, 15]),
+    ([641, 95, 988, 911, 36, 391, 368, 973, 245, 940, 530, 710, 808, 435, 964, 956], [0, 1, 2, 4, 5, 6, 9, 10, 12, 13, 14, 15]),
+]
+
+
+def test_simplified_takes_the_first_of_equally_far_positions():
+    """Lines on which rounding decided between positions at the same distance; what SQL keeps."""
+    for ids, want in _TIED_LINES:
+        p = np.array([(116.0 + x / 997.0, 39.0 + (x * _STEP_Y) % 997 / 997.0) for x in ids])
+        assert planar.simplified(p, 0.2).tolist() == want
