@@ -387,27 +387,37 @@ def _on(a: Column, b: Column, x: Column, y: Column) -> Column:
 
 # ---------------------------------------------------------------- segments
 
+def _extent_level(dx: Column, dy: Column, cell: float) -> Column:
+    """The level (cell size doubled so many times) whose cells are as long as an envelope of
+    these sides, with a hair's breadth for rounding."""
+    side = F.greatest(F.abs(dx), F.abs(dy), F.lit(float(cell))) * (1 + 1e-9)
+    return F.greatest(F.ceil(F.log2(side / float(cell)) - 1e-8), F.lit(0)).cast("int")
+
+
 def segments_in_boxes(segments: DataFrame, boxes: DataFrame, cell: float, within: bool = True) -> DataFrame:
     """(box, id) of the segments (id, x1, y1, x2, y2) whose envelope lies within a closed box,
-    or meets it, by cells: envelopes and boxes go to the cells that they meet, on the boxes' levels."""
+    or meets it, by cells. A segment goes to the one cell that holds its lower corner, so a pair
+    comes up once; a box goes to the cells that it meets, and for ``within=False`` to those from
+    which a segment can reach it. Cells are on the level of the box or of the segment, whichever
+    is larger, so either may have any size."""
     from .durable import durable
     from .points import _covered
 
-    spread = durable(_covered(boxes, cell).drop("w"))
+    kinds = [0]  # levels of segments: one for each doubling of their size
+    e = segments.select("id", F.least("x1", "x2").alias("ex0"), F.greatest("x1", "x2").alias("ex1"), F.least("y1", "y2").alias("ey0"), F.greatest("y1", "y2").alias("ey1"), (F.lit(0) if within else _extent_level(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), cell)).alias("kind"))
+    if not within:
+        kinds = [r["kind"] for r in e.select("kind").distinct().collect() if r["kind"] is not None]
+    spread = durable(_covered(boxes, cell, kinds=None if within else kinds).drop("w"))
     levels = [r["level"] for r in spread.select("level").distinct().collect()]  # one for each doubling of the box size
-    e = segments.select("id", F.least("x1", "x2").alias("ex0"), F.greatest("x1", "x2").alias("ex1"), F.least("y1", "y2").alias("ey0"), F.greatest("y1", "y2").alias("ey1"))
-    e = e.withColumn("level", F.explode(F.array(*[F.lit(i) for i in levels or [0]]))).withColumn("w", F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("level")))
-    if within:  # the lower corner's cell is enough
-        e = e.withColumns({"cx": F.floor(F.col("ex0") / F.col("w")), "cy": F.floor(F.col("ey0") / F.col("w"))})
-    else:
-        for c, lo, hi in (("cx", "ex0", "ex1"), ("cy", "ey0", "ey1")):
-            e = e.withColumn(c, F.explode(F.sequence(F.floor(F.col(lo) / F.col("w")), F.floor(F.col(hi) / F.col("w")))))
-    hit = e.join(spread, ["level", "cx", "cy"])
+    e = e.withColumn("level", F.explode(F.array(*[F.lit(i) for i in levels or [0]])))
+    w = F.lit(float(cell)) * F.pow(F.lit(2.0), F.greatest("level", "kind"))
+    e = e.withColumns({"cx": F.floor(F.col("ex0") / w), "cy": F.floor(F.col("ey0") / w)})
+    hit = e.join(spread, ["level", *([] if within else ["kind"]), "cx", "cy"])
     if within:
         hit = hit.where((F.col("ex0") >= F.col("x0")) & (F.col("ex1") <= F.col("x1")) & (F.col("ey0") >= F.col("y0")) & (F.col("ey1") <= F.col("y1")))
     else:
         hit = hit.where((F.col("ex1") >= F.col("x0")) & (F.col("ex0") <= F.col("x1")) & (F.col("ey1") >= F.col("y0")) & (F.col("ey0") <= F.col("y1")))
-    return hit.select("box", "id").distinct()
+    return hit.select("box", "id")
 
 
 def nearest_segment(segments: DataFrame, queries: DataFrame, cell: float) -> DataFrame:

@@ -227,15 +227,20 @@ def flip_normals(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- searches
 
-def _covered(boxes: DataFrame, cell: float, most: int = 4) -> DataFrame:
+def _covered(boxes: DataFrame, cell: float, most: int = 4, kinds: list[int] | None = None) -> DataFrame:
     """Boxes with the cells they meet, of the level (cell size doubled ``level`` times) at which
-    a side is ``most`` cells at most, so a box of any size meets at most (most + 1)^2."""
+    a side is ``most`` cells at most, so a box of any size meets at most (most + 1)^2. With
+    ``kinds``, a row set for each of these levels of things that lie in the cell of their lower
+    corner and are as long as a cell of their own level (``kind``): the cells, on the higher
+    level of both, from which they reach the box."""
     side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(cell))
     level = F.greatest(F.ceil(F.log2(side / (cell * most))), F.lit(0)).cast("int")
-    out = boxes.withColumn("level", level).withColumn("w", F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("level")))
+    out = boxes.withColumn("level", level).withColumn("kind", F.lit(0) if kinds is None else F.explode(F.array(*[F.lit(i) for i in kinds or [0]])))
+    out = out.withColumn("w", F.lit(float(cell)) * F.pow(F.lit(2.0), F.greatest("level", "kind")))
+    reach = F.lit(0.0) if kinds is None else F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("kind"))
     for axis, lo, hi in (("cx", "x0", "x1"), ("cy", "y0", "y1")):
-        out = out.where(F.col(lo) <= F.col(hi)).withColumn(axis, F.explode(F.sequence(F.floor(F.col(lo) / F.col("w")), F.floor(F.col(hi) / F.col("w")))))
-    return out
+        out = out.where(F.col(lo) <= F.col(hi)).withColumn(axis, F.explode(F.sequence(F.floor((F.col(lo) - reach) / F.col("w")), F.floor(F.col(hi) / F.col("w")))))
+    return out.drop("kind") if kinds is None else out
 
 
 def _cells(points: DataFrame, levels: list[int], cell: float) -> DataFrame:

@@ -309,3 +309,26 @@ def test_simplified_takes_the_first_of_equally_far_positions():
     for ids, want in _TIED_LINES:
         p = np.array([(116.0 + x / 997.0, 39.0 + (x * _STEP_Y) % 997 / 997.0) for x in ids])
         assert planar.simplified(p, 0.2).tolist() == want
+
+
+def _some_segments():
+    """Segments from a point to one across the whole plane, and boxes of all sizes."""
+    r = np.random.default_rng(5)
+    a = r.uniform(-40, 40, (300, 2))
+    e = a + r.uniform(-1, 1, (300, 2)) * 10.0 ** r.uniform(-2, 1.5, (300, 1))
+    lines = [(i, *map(float, (*p, *q))) for i, (p, q) in enumerate(zip(a, e))] + [(300, -1e7, -1e7, 1e7, 1e7), (301, 3.0, 3.0, 3.0, 3.0), (302, 8.0, 0.0, 0.0, 8.0)]
+    lo = r.uniform(-45, 45, (40, 2))
+    boxes = [(i, *map(float, (*p, *q))) for i, (p, q) in enumerate(zip(lo, lo + 10.0 ** r.uniform(-2, 2, (40, 2))))] + [(40, 3.0, 3.0, 3.0, 3.0), (41, 5.0, 5.0, 4.0, 6.0), (42, 8.0, 8.0, 9.0, 9.0)]
+    return lines, boxes
+
+
+def test_segments_of_any_size_in_boxes(spark):
+    lines, boxes = _some_segments()
+    s, b = spark.createDataFrame(lines, "id long, x1 double, y1 double, x2 double, y2 double"), spark.createDataFrame(boxes, "box long, x0 double, y0 double, x1 double, y1 double")
+    env = [(i, min(p, r), min(q, t), max(p, r), max(q, t)) for i, p, q, r, t in lines]
+    meets = sorted((k, i) for i, u0, v0, u1, v1 in env for k, x0, y0, x1, y1 in boxes if x0 <= x1 and y0 <= y1 and u1 >= x0 and u0 <= x1 and v1 >= y0 and v0 <= y1)
+    inside = sorted((k, i) for i, u0, v0, u1, v1 in env for k, x0, y0, x1, y1 in boxes if u0 >= x0 and u1 <= x1 and v0 >= y0 and v1 <= y1)
+    for within, want in ((False, meets), (True, inside)):
+        found = planar.segments_in_boxes(s, b, 1.0, within)
+        assert sorted((r.box, r.id) for r in found.collect()) == want and "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert planar.segments_in_boxes(s.limit(0), b, 1.0, False).count() == 0 and planar.segments_in_boxes(s, b.limit(0), 1.0, False).count() == 0
