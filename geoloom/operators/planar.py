@@ -421,11 +421,15 @@ def segments_in_boxes(segments: DataFrame, boxes: DataFrame, cell: float, within
 
 
 def nearest_segment(segments: DataFrame, queries: DataFrame, cell: float) -> DataFrame:
-    """(qid, id, d2): the nearest segment (ties by id) of each query (qid, qx, qy). Cells double
-    from level to level; a query looks at the nine around its own and is done when its hit is
-    nearer than their rim, at the latest where they cover everything."""
+    """(qid, id, d2): the nearest segment (ties by id) of each query (qid, qx, qy). A segment is
+    in the one cell that holds its lower corner; a query looks, for each level of segment sizes
+    (``kind``), at the cells from which such a segment comes within its reach. The reach doubles
+    from round to round; a query is done when its hit is no farther, at the latest where the
+    reach covers everything. Least distances are found first, as plain sums of a hash table
+    that sorts no pairs, then the least id at that distance."""
     from ..functions.geodesy import segment_distance_sq
     from .durable import durable
+    from .points import _covered
 
     b = segments.agg(F.min(F.least("x1", "x2")).alias("x0"), F.max(F.greatest("x1", "x2")).alias("x1"), F.min(F.least("y1", "y2")).alias("y0"), F.max(F.greatest("y1", "y2")).alias("y1")).first()
     q = queries.agg(F.min("qx").alias("x0"), F.max("qx").alias("x1"), F.min("qy").alias("y0"), F.max("qy").alias("y1")).first()
@@ -433,23 +437,34 @@ def nearest_segment(segments: DataFrame, queries: DataFrame, cell: float) -> Dat
     if b["x0"] is None or q["x0"] is None:
         return todo.limit(0).select("qid", F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("d2"))
     last = max(0, math.ceil(math.log2(max(max(b["x1"], q["x1"]) - min(b["x0"], q["x0"]), max(b["y1"], q["y1"]) - min(b["y0"], q["y0"]), cell) / cell)) + 1)
+    own = segments.select("id", "x1", "y1", "x2", "y2", _extent_level(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), cell).alias("kind"))
+    kinds = [r["kind"] for r in own.select("kind").distinct().collect() if r["kind"] is not None]  # one for each doubling of segment sizes
+    d2 = segment_distance_sq(F.col("qx"), F.col("qy"), *map(F.col, ("x1", "y1", "x2", "y2")))
     while True:
-        w = cell * 2.0 ** level
-        cells = todo
+        reach = cell * 2.0 ** level
+        long = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("kind"))
+        w = F.greatest(long, F.lit(reach))
+        cells = todo.withColumn("kind", F.explode(F.array(*[F.lit(i) for i in kinds])))
         for c, at in (("cx", "qx"), ("cy", "qy")):
-            cells = cells.withColumn(c, F.explode(F.sequence(F.floor(F.col(at) / w) - 1, F.floor(F.col(at) / w) + 1)))
-        e = segments
-        for c, lo, hi in (("cx", "x1", "x2"), ("cy", "y1", "y2")):
-            e = e.withColumn(c, F.explode(F.sequence(F.floor(F.least(lo, hi) / w), F.floor(F.greatest(lo, hi) / w))))
-        d2 = segment_distance_sq(F.col("qx"), F.col("qy"), *map(F.col, ("x1", "y1", "x2", "y2")))
-        hit = cells.join(e, ["cx", "cy"]).groupBy("qid", "qx", "qy").agg(F.min(F.struct(d2.alias("d2"), "id")).alias("h"))
-        rim = F.least(*(F.least(i, F.lit(w) - i) for i in (F.col(c) - F.floor(F.col(c) / w) * w for c in ("qx", "qy")))) + w
-        done = durable(hit.where((F.sqrt("h.d2") < rim) | F.lit(level >= last)).select("qid", F.col("h.id").alias("id"), F.col("h.d2").alias("d2")))
+            cells = cells.withColumn(c, F.explode(F.sequence(F.floor((F.col(at) - reach - long) / w), F.floor((F.col(at) + reach) / w))))
+        e = own.withColumns({"cx": F.floor(F.least("x1", "x2") / w), "cy": F.floor(F.least("y1", "y2") / w)})
+        hit = cells.join(e, ["kind", "cx", "cy"]).groupBy("qid", "qx", "qy").agg(F.min(d2).alias("least"))
+        done = durable(hit.where((F.sqrt("least") <= reach) | F.lit(level >= last)))
         found = done if found is None else found.unionAll(done)
-        todo = durable(todo.join(done, "qid", "left_anti"))
-        if todo.isEmpty():
-            return found
+        todo = durable(todo.join(done.select("qid"), "qid", "left_anti"))
+        if level >= last or todo.isEmpty():
+            break
         level += 1
+    pad = 1e-10 * max(abs(v) for r in (b, q) for v in r)  # distances are rounded
+    r = F.sqrt("least") * (1 + 1e-9) + pad
+    around = found.select("qid", "qx", "qy", "least", *((F.col(c) + k * r).alias(n) for c, k, n in (("qx", -1, "x0"), ("qx", 1, "x1"), ("qy", -1, "y0"), ("qy", 1, "y1"))))
+    spread = durable(_covered(around, cell, kinds=kinds).drop("w", "x0", "x1", "y0", "y1"))
+    levels = [x["level"] for x in spread.select("level").distinct().collect()]  # one for each doubling of the distance
+    e = own.withColumn("level", F.explode(F.array(*[F.lit(i) for i in levels or [0]])))
+    w = F.lit(float(cell)) * F.pow(F.lit(2.0), F.greatest("level", "kind"))
+    e = e.withColumns({"cx": F.floor(F.least("x1", "x2") / w), "cy": F.floor(F.least("y1", "y2") / w)})
+    ids = spread.join(e, ["level", "kind", "cx", "cy"]).where(d2 <= F.col("least")).groupBy("qid", "least").agg(F.min("id").alias("id"))
+    return ids.select("qid", "id", F.col("least").alias("d2"))
 
 
 # ---------------------------------------------------------------- normals

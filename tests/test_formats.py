@@ -332,3 +332,20 @@ def test_segments_of_any_size_in_boxes(spark):
         found = planar.segments_in_boxes(s, b, 1.0, within)
         assert sorted((r.box, r.id) for r in found.collect()) == want and "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert planar.segments_in_boxes(s.limit(0), b, 1.0, False).count() == 0 and planar.segments_in_boxes(s, b.limit(0), 1.0, False).count() == 0
+
+
+def test_nearest_of_segments_of_any_size(spark):
+    lines, boxes = _some_segments()
+    s = spark.createDataFrame(lines, "id long, x1 double, y1 double, x2 double, y2 double")
+    own = [(i, x0, y0) for i, x0, y0, _, _ in boxes] + [(50, 3000.0, -3000.0), (51, -60.0, 77.0)]
+
+    def d2(x, y, x1, y1, x2, y2):
+        n = (x2 - x1) ** 2 + (y2 - y1) ** 2
+        t = min(max(((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / n, 0.0), 1.0) if n else 0.0
+        return (x - x1 - t * (x2 - x1)) ** 2 + (y - y1 - t * (y2 - y1)) ** 2
+
+    got = {r.qid: r for r in planar.nearest_segment(s, spark.createDataFrame(own, "qid long, qx double, qy double"), 0.5).collect()}
+    assert len(got) == len(own)
+    for k, x, y in own:
+        near = {i: d2(x, y, *v) for i, *v in lines}
+        assert abs(got[k].d2 - min(near.values())) < 1e-6 and near[got[k].id] - min(near.values()) < 1e-6
