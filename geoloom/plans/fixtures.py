@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.durable import durable
+from ..operators.durable import stored
 
 _KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 _IDX = f"ROW_NUMBER() OVER (ORDER BY {','.join(_KEY)})-1"
@@ -37,7 +37,7 @@ def _lines(session: SparkSession, sf_dir: str) -> DataFrame:
     key = (session.sparkContext.applicationId, sf_dir)
     if key not in _LINES:
         rows = session.read.parquet(f"{sf_dir}/lineitem.parquet").select(*_KEY, "l_quantity", "l_discount")
-        rows = durable(rows.repartitionByRange(*_KEY).sortWithinPartitions(*_KEY).withColumn("at", F.monotonically_increasing_id()))
+        rows = stored(rows.repartitionByRange(*_KEY).sortWithinPartitions(*_KEY).withColumn("at", F.monotonically_increasing_id()))
         part = F.shiftright("at", 33).cast("int")
         starts, n = {}, 0
         for r in rows.groupBy(part.alias("part")).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).orderBy("part").collect():  # a row a partition

@@ -65,7 +65,7 @@ _mesh("pcd_ascii_round_trip", lambda p: mesh_out.pcd(p[["x", "y", "z"]].assign(r
 
 def _obj(s, d):
     c = fixtures.spark(s, d, "cloud").select(F.col("cls").alias("file"), "idx", *(F.col(a).cast("float").alias(a) for a in "xyz"), F.lit(0.0).alias("nx"), F.lit(0.6).alias("ny"), (F.lit(0.8) * F.when(F.col("idx") % 2 == 0, 1).otherwise(-1)).alias("nz"))
-    o = meshes.read_obj(mesh_out.obj(c, "file", "idx", True), "file", "text")
+    o = meshes.read_obj(mesh_out.obj(c, "file", "idx", True), "file", "text", "part")
     return o.select("file", "idx", *(F.round(F.col(a).cast("double"), 4).alias(a) for a in ("x", "y", "z", "nz")))
 
 

@@ -40,12 +40,35 @@ def write(df: DataFrame, key: str, order: str, encode) -> DataFrame:
     return df.groupBy(key).applyInPandas(lambda pdf: pd.DataFrame({key: [pdf[key].iloc[0]], "content": [encode(pdf.sort_values(order))]}), f"{key} {kind}, content binary")
 
 
+def parted(df: DataFrame, key: str, order: str, columns: list[Column], encode, content: str) -> DataFrame:
+    """(key, part, <content>): the rows of each key, by ``order``, a part a batch at most, through
+    ``encode`` of an Arrow batch of ``columns``. Rows are dealt out by range, so a file of any
+    size is written by many tasks; its parts, in order, are the file."""
+    kind = next(f.dataType.simpleString() for f in df.schema.fields if f.name == key)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            keys = batch.column(0)
+            own = keys.to_pylist()
+            starts = [i for i, k in enumerate(own) if not i or k != own[i - 1]]
+            out = [encode(batch.slice(i, j - i)) for i, j in zip(starts, [*starts[1:], len(own)])]
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(starts, pa.int64())), pa.array(range(part, part + len(out)), pa.int64()), pa.array(out, pa.string() if content == "text" else pa.binary())], [key, "part", content])
+            part += len(out)
+
+    dealt = df.repartitionByRange(key, order).sortWithinPartitions(key, order).select(key, *columns)
+    return dealt.mapInArrow(run, f"{key} {kind}, part long, {content} {'string' if content == 'text' else 'binary'}")
+
+
 def obj(df: DataFrame, key: str, order: str, normals: bool = False) -> DataFrame:
-    """(key, text): ``v`` lines, and ``vn`` lines of nx, ny, nz, in generated code."""
+    """(key, part, text): ``v`` lines, and ``vn`` lines of nx, ny, nz after those of the same
+    part. A file's parts follow each other, with a line's end between two."""
     line = lambda head, *cols: F.concat_ws(" ", F.lit(head), *(F.col(c).cast("string") for c in cols))
-    v = F.struct(F.lit(0).alias("k"), F.col(order).alias("o"), line("v", "x", "y", "z").alias("t"))
-    own = F.array(v, F.struct(F.lit(1).alias("k"), F.col(order).alias("o"), line("vn", "nx", "ny", "nz").alias("t"))) if normals else F.array(v)
-    return df.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.flatten(F.collect_list(own))), lambda e: e["t"]), "\n").alias("text"))
+    own = [line("v", "x", "y", "z").alias("v"), *([line("vn", "nx", "ny", "nz").alias("vn")] if normals else [])]
+    return parted(df, key, order, own, lambda b: "\n".join(t for c in b.columns[1:] for t in c.to_pylist()), "text")
 
 
 def vertex_buffer(colour: list[Column] | None = None, normal: list[Column] | None = None) -> Column:

@@ -6,7 +6,7 @@ import struct
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import BadFile, NoCodec, chunks, decoded
@@ -100,19 +100,31 @@ def ply_faces(df: DataFrame, key: str, content: str) -> DataFrame:
 
 # ---------------------------------------------------------------- OBJ: lines, in generated code
 
-def read_obj(df: DataFrame, key: str, text: str) -> DataFrame:
+def read_obj(df: DataFrame, key: str, text: str, part: str | None = None) -> DataFrame:
     """(key, idx, x, y, z, nx, ny, nz): ``v`` lines by their order, with the ``vn`` lines of the
-    same order where a text has as many of both. Malformed lines are passed over; faces too."""
-    lines = df.select(key, F.posexplode(F.split(text, r"\r?\n")).alias("at", "line"))
-    words = lines.select(key, "at", F.split(F.trim("line"), r"\s+").alias("w"))
-    num = [F.expr(f"try_cast(get(w, {i}) as float)") for i in (1, 2, 3)]
-    rows = words.where(F.col("w")[0].isin("v", "vn")).select(key, "at", F.col("w")[0].alias("kind"), *(c.alias(a) for c, a in zip(num, "xyz"))).where("x is not null and y is not null and z is not null")
-    listed = rows.groupBy(key, "kind").agg(F.array_sort(F.collect_list(F.struct("at", "x", "y", "z"))).alias("p"))
-    v = listed.where("kind = 'v'").select(key, F.col("p").alias("v"))
-    n = listed.where("kind = 'vn'").select(key, F.col("p").alias("n"))
-    both = v.join(n, key, "left").withColumn("n", F.when(F.size("n") == F.size("v"), F.col("n")))
-    out = both.select(key, "n", F.posexplode("v").alias("i", "v"))
-    return out.select(key, F.col("i").cast("long").alias("idx"), *(F.col(f"v.{a}").alias(a) for a in "xyz"), *(F.get(F.col("n"), F.col("i"))[a].alias(f"n{a}") for a in "xyz"))
+    same order where a text has as many of both. Malformed lines are passed over; faces too.
+    With ``part`` a text is the rows of a key in that order: each is parsed where it lies, and
+    the sizes of those before it say where its lines count from. Parts with as many of both
+    lines, before them too, pair them on the spot; lines of other parts are joined."""
+    from ..operators.durable import stored
+
+    words = F.transform(F.split(text, r"\r?\n"), lambda t: F.split(F.trim(t), r"\s+"))
+    num = lambda w: F.struct(*(F.get(w, F.lit(i)).try_cast("float").alias(a) for i, a in ((1, "x"), (2, "y"), (3, "z"))))
+    own = lambda kind: F.filter(F.transform(F.filter("w", lambda w: w[0] == kind), num), lambda p: p["x"].isNotNull() & p["y"].isNotNull() & p["z"].isNotNull())
+    rows = df.where(F.col(text).isNotNull()).select(key, (F.col(part) if part else F.lit(0)).cast("long").alias("part"), words.alias("w"))
+    lists = rows.select(key, "part", F.posexplode(F.arrays_zip(own("v").alias("v"), own("vn").alias("n"))).alias("i", "p"))  # flat, as lists are read by the thousand
+    rows = stored(lists.select(key, "part", "i", *(F.col(f"p.v.{a}").alias(a) for a in "xyz"), *(F.col(f"p.n.{a}").alias(f"n{a}") for a in "xyz")))
+    sizes = rows.groupBy(key, "part").agg(F.count("x").alias("nv"), F.count("nx").alias("nn"))  # a row a part
+    file = Window.partitionBy(key)
+    before = file.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    placed = sizes.select(key, "part", "nv", "nn", first("nv").alias("v0"), first("nn").alias("n0"), (F.sum("nv").over(file) == F.sum("nn").over(file)).alias("both"))
+    placed = placed.select(key, "part", "v0", "n0", "both", (F.col("both") & (F.col("v0") == F.col("n0")) & (F.col("nv") == F.col("nn"))).alias("here"))
+    rows = rows.join(F.broadcast(placed), [key, "part"])
+    v, n = [F.col(a) for a in "xyz"], [F.col(f"n{a}") for a in "xyz"]
+    at = lambda c: (F.col(c) + F.col("i")).alias("idx")
+    far = rows.where("both and not here and nx is not null").select(key, at("n0"), *n)
+    return rows.where("here").select(key, at("v0"), *v, *n).unionAll(rows.where("not here and x is not null").select(key, at("v0"), *v).join(far, [key, "idx"], "left").select(key, "idx", *v, *n))
 
 
 # ---------------------------------------------------------------- PCD

@@ -349,3 +349,16 @@ def test_nearest_of_segments_of_any_size(spark):
     for k, x, y in own:
         near = {i: d2(x, y, *v) for i, *v in lines}
         assert abs(got[k].d2 - min(near.values())) < 1e-6 and near[got[k].id] - min(near.values()) < 1e-6
+
+
+def test_obj_in_parts(spark):
+    """Normals in parts of their own are joined, a file without as many has none, a file of
+    many points has many parts, and all lines come back by their order."""
+    texts = spark.createDataFrame([(1, 2, "vn 0 0 1\nv 3 0 0"), (1, 0, "v 1 0 0\nv 2 0 0"), (1, 5, "vn 0 1 0\nvn 1 0 0"), (2, 0, "v 1 0 0\nvn 0 0 1"), (2, 1, "v 2 0 0")], "k int, p long, t string")
+    got = sorted((r.k, r.idx, r.x, r.nx, r.ny, r.nz) for r in meshes.read_obj(texts, "k", "t", "p").collect())
+    assert got == [(1, 0, 1.0, 0.0, 0.0, 1.0), (1, 1, 2.0, 0.0, 1.0, 0.0), (1, 2, 3.0, 1.0, 0.0, 0.0), (2, 0, 1.0, None, None, None), (2, 1, 2.0, None, None, None)]
+    cloud = spark.range(60_000).selectExpr("if(id < 100, 'a', 'b') AS k", "id AS o", "double(id) AS x", "0e0 AS y", "1e0 AS z", "0e0 AS nx", "0e0 AS ny", "double(id % 7) AS nz")
+    files = mesh_out.obj(cloud, "k", "o", True)
+    assert files.where("k = 'b'").count() > 4
+    back = meshes.read_obj(files, "k", "text", "part")
+    assert back.count() == 60_000 and back.where("x <> idx + if(k = 'a', 0, 100) OR nz <> cast(x AS long) % 7").count() == 0
