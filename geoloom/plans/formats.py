@@ -60,7 +60,14 @@ def _mesh(name, encode, read):
 
 _mesh("ply_round_trip", mesh_out.ply, meshes.read_ply)
 _mesh("pcd_round_trip", mesh_out.pcd, meshes.read_pcd)
-_mesh("pcd_ascii_round_trip", lambda p: mesh_out.pcd(p[["x", "y", "z"]].assign(r=p["r"], g=p["g"], b=p["b"]), False), meshes.read_pcd)
+
+
+def _pcd_ascii(s, d):
+    files = mesh_out.pcd_parts(fixtures.spark(s, d, "cloud").withColumn("file", F.col("cls")), "file", "idx", False)
+    return meshes.read_pcd(files, "file", "content", "part").select("file", "idx", *(F.round(F.col(a).cast("double"), 4).alias(a) for a in "xyz"), "r", "g", "b")
+
+
+_add("pcd_ascii_round_trip", _pcd_ascii, f"SELECT cls AS file, i AS idx, {', '.join(_F32.format(a=a) for a in 'xyz')}, r, g, b FROM {_FILE} f")
 
 
 def _obj(s, d):

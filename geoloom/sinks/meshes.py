@@ -19,7 +19,12 @@ def ply(pdf: pd.DataFrame) -> bytes:
     return head.encode() + rec.tobytes()
 
 
-def pcd(pdf: pd.DataFrame, binary: bool = True) -> bytes:
+def _pcd_head(colour: bool, n, binary: bool) -> str:
+    names = ["x", "y", "z", *(["rgb"] if colour else [])]
+    return f"# .PCD v0.7\nVERSION 0.7\nFIELDS {' '.join(names)}\nSIZE{' 4' * len(names)}\nTYPE{' F' * len(names)}\nCOUNT{' 1' * len(names)}\nWIDTH {n}\nHEIGHT 1\nVIEWPOINT 0 0 0 1 0 0 0\nPOINTS {n}\nDATA {'binary' if binary else 'ascii'}\n"
+
+
+def _pcd_body(pdf: pd.DataFrame, binary: bool) -> bytes:
     colour = "r" in pdf
     kind = np.dtype([(a, "<f4") for a in "xyz"] + ([("rgb", "<f4")] if colour else []))
     rec = np.zeros(len(pdf), kind)
@@ -28,10 +33,22 @@ def pcd(pdf: pd.DataFrame, binary: bool = True) -> bytes:
     if colour:
         c = pdf[["r", "g", "b"]].to_numpy().astype(np.uint32)
         rec["rgb"] = ((c[:, 0] << 16) | (c[:, 1] << 8) | c[:, 2]).astype("<u4").view("<f4")
-    n = len(kind.names)
-    head = f"# .PCD v0.7\nVERSION 0.7\nFIELDS {' '.join(kind.names)}\nSIZE{' 4' * n}\nTYPE{' F' * n}\nCOUNT{' 1' * n}\nWIDTH {len(pdf)}\nHEIGHT 1\nVIEWPOINT 0 0 0 1 0 0 0\nPOINTS {len(pdf)}\nDATA {'binary' if binary else 'ascii'}\n"
-    body = rec.tobytes() if binary else "".join(" ".join(repr(float(v)) for v in row) + "\n" for row in rec.tolist()).encode()
-    return head.encode() + body
+    return rec.tobytes() if binary else "".join([" ".join(map(repr, row)) + "\n" for row in rec.tolist()]).encode()
+
+
+def pcd(pdf: pd.DataFrame, binary: bool = True) -> bytes:
+    return _pcd_head("r" in pdf, len(pdf), binary).encode() + _pcd_body(pdf, binary)
+
+
+def pcd_parts(df: DataFrame, key: str, order: str, binary: bool = True) -> DataFrame:
+    """(key, part, content): ``pcd`` of each key's rows, by ``order``, in parts that one after the
+    other are the file: first the header, then a batch of points each."""
+    colour = "r" in df.columns
+    count = F.count(F.lit(1)).cast("string")
+    words = _pcd_head(colour, "\0", binary).split("\0")
+    head = F.concat(F.lit(words[0]), count, F.lit(words[1]), count, F.lit(words[2])).cast("binary")
+    own = [F.col(c) for c in ("x", "y", "z", *("rgb" if colour else ""))]
+    return df.groupBy(key).agg(head.alias("content")).select(key, F.lit(-1).cast("long").alias("part"), "content").unionByName(parted(df, key, order, own, lambda b: _pcd_body(b.to_pandas(), binary), "content"))
 
 
 def write(df: DataFrame, key: str, order: str, encode) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import BadFile, NoCodec, chunks, decoded
+from ..functions import limits
 
 POINTS = "idx long, x float, y float, z float, r int, g int, b int, nx float, ny float, nz float"
 _TYPES = {"char": "i1", "uchar": "u1", "short": "i2", "ushort": "u2", "int": "i4", "uint": "u4", "float": "f4", "double": "f8", "int8": "i1", "uint8": "u1", "int16": "i2", "uint16": "u2", "int32": "i4", "uint32": "u4", "float32": "f4", "float64": "f8"}
@@ -178,8 +179,43 @@ def pcd(b: bytes):
     yield from chunks(_points(cols, n))
 
 
-def read_pcd(df: DataFrame, key: str, content: str) -> DataFrame:
-    return decoded(df, key, content, pcd, POINTS)
+def read_pcd(df: DataFrame, key: str, content: str, part: str | None = None) -> DataFrame:
+    """With ``part`` a file is the rows of a key in that order, the first with the whole header
+    and each ending with a whole point: every part is parsed behind that header where it lies,
+    and the sizes of those before it say where its points count from."""
+    if part is None:
+        return decoded(df, key, content, pcd, POINTS)
+    from ..operators.durable import stored
+
+    most, names = limits.get_input_size_limit(), [n.split()[0] for n in POINTS.split(", ")]
+    key_type = next(f.dataType.simpleString() for f in df.schema.fields if f.name == key)
+
+    @F.pandas_udf("head binary, most long")
+    def head(s: pd.Series) -> pd.DataFrame:
+        own = [(bytes(b), pcd_header(bytes(b))) for b in s]
+        return pd.DataFrame({"head": [b[:h["at"]] for b, h in own], "most": pd.array([None if h["data"] == "ascii" and not h["points"] else h["points"] for _, h in own], "Int64")})
+
+    def parse(frames):
+        limits.set_input_size_limit(most)
+        for pdf in frames:
+            for k, p, c in zip(pdf[key], pdf["part"], pdf["content"]):
+                limits.check_input_size(len(c), str(k))
+                at = 0
+                for out in pcd(bytes(c)):
+                    out.insert(0, key, k)
+                    out.insert(1, "part", p)
+                    out["idx"] = range(at, at + len(out))
+                    at += len(out)
+                    yield out
+
+    files = df.where(F.col(content).isNotNull()).select(key, F.col(part).alias("part"), F.col(content).alias("content"))
+    heads = files.groupBy(key).agg(F.min("part").alias("first"), F.min_by("content", "part").alias("c")).select(key, "first", head("c").alias("h")).select(key, "first", "h.*")  # a row a file
+    own = files.join(F.broadcast(heads.drop("most")), key).select(key, "part", F.when(F.col("part") == F.col("first"), F.col("content")).otherwise(F.concat("head", "content")).alias("content"))
+    rows = stored(own.mapInPandas(parse, f"{key} {key_type}, part long, {POINTS}"))
+    before = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(key, "part").agg(F.count(F.lit(1)).alias("n")).select(key, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))  # a row a part
+    out = rows.join(F.broadcast(starts), [key, "part"]).join(F.broadcast(heads.select(key, "most")), key).withColumn("idx", F.col("idx") + F.col("start"))
+    return out.where("most is null or idx < most").select(key, *names)
 
 
 # ---------------------------------------------------------------- E57

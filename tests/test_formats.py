@@ -12,6 +12,7 @@ from geoloom.operators import meshing, planar
 from geoloom.sinks import geotiff as tiff_out
 from geoloom.sinks import las as las_out
 from geoloom.sinks import meshes as mesh_out
+from geoloom.functions import limits
 from geoloom.sinks import mvt as mvt_out
 from geoloom.sinks import tiles as tile_out
 from geoloom.sources import BadFile, NoCodec, geojson, geotiff, las, meshes, mvt, tiles, tracks, wkt
@@ -362,3 +363,21 @@ def test_obj_in_parts(spark):
     assert files.where("k = 'b'").count() > 4
     back = meshes.read_obj(files, "k", "text", "part")
     assert back.count() == 60_000 and back.where("x <> idx + if(k = 'a', 0, 100) OR nz <> cast(x AS long) % 7").count() == 0
+
+
+@pytest.mark.parametrize("binary", [False, True])
+def test_pcd_in_parts(spark, binary):
+    """A file that as a whole is beyond the input limit: no part of it is."""
+    cloud = spark.range(40_000).selectExpr("if(id < 100, 'a', 'b') AS k", "id AS o", "double(id) AS x", "0.25e0 AS y", "double(-id) AS z", "int(id % 256) AS r", "int(1) AS g", "int(2) AS b")
+    files = mesh_out.pcd_parts(cloud, "k", "o", binary).cache()
+    whole = b"".join(bytes(r.content) for r in files.where("k = 'a'").orderBy("part").collect())
+    want = pd.DataFrame({"x": np.arange(100.0), "y": 0.25, "z": 0.0 - np.arange(100.0), "r": np.arange(100), "g": 1, "b": 2})
+    assert whole == mesh_out.pcd(want, binary)
+    limits.set_input_size_limit(500_000)
+    try:
+        back = meshes.read_pcd(files, "k", "content", "part")
+        assert back.count() == 40_000 and back.where("x <> idx + if(k = 'a', 0, 100) OR z <> -x OR r <> cast(x AS long) % 256 OR g <> 1").count() == 0
+        with pytest.raises(Exception, match="InputTooLarge"):
+            meshes.read_pcd(spark.createDataFrame([("b", bytearray(mesh_out.pcd(pd.concat([want] * 400), False)))], "k string, content binary"), "k", "content").count()
+    finally:
+        limits.set_input_size_limit(limits.DEFAULT_INPUT_LIMIT)
