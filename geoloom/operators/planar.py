@@ -11,6 +11,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -213,17 +215,18 @@ def tin_interpolate(triangles: DataFrame, points: DataFrame, queries: DataFrame,
 
 # ---------------------------------------------------------------- predicates and overlay of rings
 
-def _side(a, b, c) -> float:
-    return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+def _plain(ring) -> list:
+    """Positions as pairs of plain floats: on a few of them arrays take ten times as long."""
+    return ring if isinstance(ring, list) else np.asarray(ring, float).reshape(-1, 2).tolist()
 
 
-def locate(ring: np.ndarray, p) -> int:
+def locate(ring, p) -> int:
     """1 inside, 0 on the rim, -1 outside."""
-    inside = False
-    for a, b in zip(ring, np.roll(ring, -1, axis=0)):
-        if _side(a, b, p) == 0 and min(a[0], b[0]) <= p[0] <= max(a[0], b[0]) and min(a[1], b[1]) <= p[1] <= max(a[1], b[1]):
+    inside, ring, (x, y) = False, _plain(ring), p
+    for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+        if (bx - ax) * (y - ay) - (by - ay) * (x - ax) == 0 and min(ax, bx) <= x <= max(ax, bx) and min(ay, by) <= y <= max(ay, by):
             return 0
-        if (a[1] > p[1]) != (b[1] > p[1]) and p[0] < (b[0] - a[0]) * (p[1] - a[1]) / (b[1] - a[1]) + a[0]:
+        if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax:
             inside = not inside
     return 1 if inside else -1
 
@@ -235,40 +238,45 @@ def _open(ring) -> np.ndarray:
     return r[np.append(True, (r[1:] != r[:-1]).any(axis=1))] if len(r) else r
 
 
-def _cuts(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+def _cuts(a, b) -> list[list[float]]:
     """For each edge of a, the places (0..1) at which edges of b meet it."""
-    out = []
-    for p, q in zip(a, np.roll(a, -1, axis=0)):
-        d, ts = q - p, [0.0, 1.0]
-        for r, s in zip(b, np.roll(b, -1, axis=0)):
-            e = s - r
-            den = d[0] * e[1] - d[1] * e[0]
+    out, a, b = [], _plain(a), _plain(b)
+    other = list(zip(b, b[1:] + b[:1]))
+    for (px, py), (qx, qy) in zip(a, a[1:] + a[:1]):
+        dx, dy, ts = qx - px, qy - py, {0.0, 1.0}
+        for (rx, ry), (sx, sy) in other:
+            ex, ey = sx - rx, sy - ry
+            den = dx * ey - dy * ex
             if den:
-                t, u = ((r[0] - p[0]) * e[1] - (r[1] - p[1]) * e[0]) / den, ((r[0] - p[0]) * d[1] - (r[1] - p[1]) * d[0]) / den
+                t, u = ((rx - px) * ey - (ry - py) * ex) / den, ((rx - px) * dy - (ry - py) * dx) / den
                 if -1e-12 <= t <= 1 + 1e-12 and -1e-12 <= u <= 1 + 1e-12:
-                    ts.append(min(max(t, 0.0), 1.0))
-            elif _side(p, q, r) == 0:
-                n = float(d @ d)
-                ts += [t for t in (float((r - p) @ d) / n, float((s - p) @ d) / n) if 0 <= t <= 1]
-        out.append(np.unique(np.round(ts, 12)))
+                    ts.add(round(min(max(t, 0.0), 1.0), 12))
+            elif dx * (ry - py) - dy * (rx - px) == 0:
+                n = dx * dx + dy * dy
+                ts.update(round(t, 12) for t in (((rx - px) * dx + (ry - py) * dy) / n, ((sx - px) * dx + (sy - py) * dy) / n) if 0 <= t <= 1)
+        out.append(sorted(ts))
     return out
 
 
-def _pieces(a: np.ndarray, b: np.ndarray):
+def _pieces(a, b):
     """The edges of a, cut where b meets them, with the side of b that their middle lies on."""
-    for (p, q), ts in zip(zip(a, np.roll(a, -1, axis=0)), _cuts(a, b)):
+    a, b = _plain(a), _plain(b)
+    for ((px, py), (qx, qy)), ts in zip(zip(a, a[1:] + a[:1]), _cuts(a, b)):
+        dx, dy = qx - px, qy - py
         for t, u in zip(ts[:-1], ts[1:]):
-            yield p + t * (q - p), p + u * (q - p), locate_near(b, p + (t + u) / 2 * (q - p))
+            m = (t + u) / 2
+            yield (px + t * dx, py + t * dy), (px + u * dx, py + u * dy), locate_near(b, (px + m * dx, py + m * dy))
 
 
-def locate_near(ring: np.ndarray, p, tol: float = 1e-11) -> int:
+def locate_near(ring, p, tol: float = 1e-11) -> int:
     """``locate``, with a rim of relative width ``tol``."""
-    scale = max(float(np.abs(ring).max()), 1e-300)
-    for a, b in zip(ring, np.roll(ring, -1, axis=0)):
-        e = b - a
-        n = float(e @ e)
-        t = min(max(float((p - a) @ e) / n, 0.0), 1.0) if n else 0.0
-        if math.hypot(*(p - a - t * e)) <= tol * scale:
+    ring, (x, y) = _plain(ring), p
+    rim = tol * max(max(abs(u), abs(v)) for u, v in ring) or tol * 1e-300
+    for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+        ex, ey = bx - ax, by - ay
+        n = ex * ex + ey * ey
+        t = min(max(((x - ax) * ex + (y - ay) * ey) / n, 0.0), 1.0) if n else 0.0
+        if math.hypot(x - ax - t * ex, y - ay - t * ey) <= rim:
             return 0
     return locate(ring, p)
 
@@ -322,7 +330,7 @@ def overlay(a, b, union: bool) -> list[np.ndarray]:
         while here in start:
             options = start[here]
             if len(ring) and len(options) > 1:  # at a touching corner the sharpest left turn closes the smaller ring
-                back = ring[-1] - options[0][0]
+                back = ring[-1][0] - options[0][0][0], ring[-1][1] - options[0][0][1]
                 turn = lambda e: (math.atan2(e[1][1] - e[0][1], e[1][0] - e[0][0]) - math.atan2(back[1], back[0])) % (2 * math.pi)  # noqa: E731, B023
                 options.sort(key=turn, reverse=not union)
             p, q = options.pop(0)
@@ -348,27 +356,51 @@ def _straight(r: np.ndarray) -> np.ndarray:
     return r[keep] if keep.sum() >= 3 else r
 
 
-def _ring(v) -> np.ndarray:
-    return np.array([(p["x"], p["y"]) for p in v], float).reshape(-1, 2)
+def _once(work, kind):
+    """``work`` of the pairs of rings in two Arrow arrays, each different pair once a batch, as
+    an array of ``kind``."""
+    def rings(array):
+        flat, at = array.flatten(), np.concatenate([[0], np.cumsum(array.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(int)
+        p = np.stack([pc.struct_field(flat, n).to_numpy(zero_copy_only=False).astype(float) for n in ("x", "y")], -1) if len(flat) else np.zeros((0, 2))
+        return [p[i:j] for i, j in zip(at[:-1], at[1:])]
+
+    def run(s, t):
+        seen, out, place = {}, [], []
+        for u, v in zip(rings(s), rings(t)):
+            key = u.tobytes(), v.tobytes()
+            if key not in seen:
+                seen[key] = len(out)
+                out.append(work(u, v))
+            place.append(seen[key])
+        return pa.array(out, kind).take(pa.array(place, pa.int64()))
+
+    return run
 
 
 def relate(a: Column, b: Column) -> Column:
     """struct<intersects, touches, disjoint> of two rings (arrays of x, y)."""
-    @F.pandas_udf("intersects boolean, touches boolean, disjoint boolean")
-    def run(s: pd.Series, t: pd.Series) -> pd.DataFrame:
-        rows = [relation(_ring(u), _ring(v)) for u, v in zip(s, t)]
-        return pd.DataFrame([(m, m and not i, not m) for m, i in rows], columns=["intersects", "touches", "disjoint"])
+    def one(u, v):
+        meet, inside = relation(u, v)
+        return {"intersects": meet, "touches": meet and not inside, "disjoint": not meet}
+
+    run = _once(one, pa.struct([(n, pa.bool_()) for n in ("intersects", "touches", "disjoint")]))
 
-    return run(a, b)
+    @F.arrow_udf("intersects boolean, touches boolean, disjoint boolean")
+    def related(s: pa.Array, t: pa.Array) -> pa.Array:
+        return run(s, t)
+
+    return related(a, b)
 
 
 def overlaid(a: Column, b: Column, union: bool) -> Column:
     """The rings of the intersection or union, as an array of rings; none for no overlap."""
-    @F.pandas_udf("array<array<struct<x:double,y:double>>>")
-    def run(s: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series([[[{"x": x, "y": y} for x, y in r] for r in overlay(_ring(u), _ring(v), union)] for u, v in zip(s, t)])
+    run = _once(lambda u, v: [[{"x": x, "y": y} for x, y in r.tolist()] for r in overlay(u, v, union)], pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
+
+    @F.arrow_udf("array<array<struct<x:double,y:double>>>")
+    def laid(s: pa.Array, t: pa.Array) -> pa.Array:
+        return run(s, t)
 
-    return run(a, b)
+    return laid(a, b)
 
 
 def holds(ring: Column, x: Column, y: Column) -> Column:

@@ -381,3 +381,20 @@ def test_pcd_in_parts(spark, binary):
             meshes.read_pcd(spark.createDataFrame([("b", bytearray(mesh_out.pcd(pd.concat([want] * 400), False)))], "k string, content binary"), "k", "content").count()
     finally:
         limits.set_input_size_limit(limits.DEFAULT_INPUT_LIMIT)
+
+
+def test_equal_pairs_are_overlaid_once(spark, monkeypatch):
+    """Pairs of a batch that are equal are worked out once; an empty ring and a null are no shape."""
+    import pyarrow as pa
+
+    seen = []
+    ring = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
+    one, two = ring((0, 0), (4, 0), (4, 4), (0, 4), (0, 0)), ring((2, 2), (6, 2), (6, 6), (2, 6))
+    kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+    got = planar._once(lambda u, v: seen.append(1) or len(u) * 10 + len(v), pa.int64())(pa.array([None, one, two, one, one, []], kind).slice(1), pa.array([one, two, one, two, one, None], kind).slice(1))
+    assert got.to_pylist() == [54, 45, 54, 55, 0] and len(seen) == 4
+    rows = spark.createDataFrame([(1, one, two), (2, one, two), (3, one, []), (4, None, two)], "i int, a array<struct<x:double,y:double>>, b array<struct<x:double,y:double>>")
+    for union, want in ((True, [28.0, 28.0, 16.0, 16.0]), (False, [4.0, 4.0, 0.0, 0.0])):
+        found = rows.select("i", planar.overlaid(F.col("a"), F.col("b"), union).alias("r")).orderBy("i").collect()
+        assert [abs(_area([np.array([(p.x, p.y) for p in q]) for q in r.r])) for r in found] == want
+    assert [tuple(r.r) for r in rows.select("i", planar.relate(F.col("a"), F.col("b")).alias("r")).orderBy("i").collect()] == [(True, False, False)] * 2 + [(False, False, True)] * 2
