@@ -3,11 +3,14 @@ features are clipped, put on its grid and encoded in the task of the tile."""
 
 from __future__ import annotations
 
+import functools
+import itertools
 import json
 import math
 import struct
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +20,12 @@ KINDS = {"Point": 1, "MultiPoint": 1, "LineString": 2, "Polygon": 3}
 
 # ---------------------------------------------------------------- protocol buffers
 
+_SMALL = [bytes([i]) for i in range(128)]
+
+
 def varint(n: int) -> bytes:
+    if 0 <= n < 128:
+        return _SMALL[n]
     out = bytearray()
     while n > 127:
         out.append(n & 127 | 128)
@@ -72,10 +80,10 @@ def commands(kind: int, parts: list[list[tuple[int, int]]]) -> list[int]:
 
 
 def encode(layers: dict[str, list[tuple]], extent: int = EXTENT) -> bytes:
-    """Layers of (id, kind, parts, properties); tags are kept once a layer."""
-    tile = b""
+    """Layers of (id, kind, parts, properties), which may be a generator; tags are kept once a layer."""
+    tile = []
     for name, features in layers.items():
-        keys, values, body = {}, {}, b""
+        keys, values, body = {}, {}, []  # pieces, joined once
         for fid, kind, parts, props in features:
             tags = b""
             for k, v in (props or {}).items():
@@ -83,11 +91,11 @@ def encode(layers: dict[str, list[tuple]], extent: int = EXTENT) -> bytes:
                     tags += varint(keys.setdefault(k, len(keys))) + varint(values.setdefault(_value(v), len(values)))
             f = b"" if fid is None else varint(1 << 3) + varint(fid)
             f += _field(2, tags) if tags else b""
-            body += _field(2, f + varint(3 << 3) + varint(kind) + _field(4, b"".join(map(varint, commands(kind, parts)))))
-        body = varint(15 << 3) + varint(2) + _field(1, name.encode()) + body
-        body += b"".join(_field(3, k.encode()) for k in keys) + b"".join(_field(4, v) for v in values) + varint(5 << 3) + varint(extent)
-        tile += _field(3, body)
-    return tile
+            body.append(_field(2, f + varint(3 << 3) + varint(kind) + _field(4, b"".join(map(varint, commands(kind, parts))))))
+        head = varint(15 << 3) + varint(2) + _field(1, name.encode())
+        body = b"".join([head, *body, *(_field(3, k.encode()) for k in keys), *(_field(4, v) for v in values), varint(5 << 3) + varint(extent)])
+        tile += [varint(3 << 3 | 2) + varint(len(body)), body]
+    return b"".join(tile)
 
 
 # ---------------------------------------------------------------- clipping
@@ -158,22 +166,33 @@ def tiles(features: DataFrame, zoom: int, layer: str = "layer", tolerance: float
     edge = lambda a, fn, d: F.least(F.greatest(F.floor(fn(F.transform("w", lambda p: p[a])) + d), F.lit(0)), F.lit(n - 1))
     f = f.withColumn("tx", F.explode(F.sequence(edge("x", F.array_min, -rim), edge("x", F.array_max, rim)))).withColumn("ty", F.explode(F.sequence(edge("y", F.array_min, -rim), edge("y", F.array_max, rim))))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        tx, ty, own = int(pdf["tx"].iloc[0]), int(pdf["ty"].iloc[0]), []
-        grid = lambda part: [p for i, p in enumerate(q) if not i or p != q[i - 1]] if (q := [(round(x), round(y)) for x, y in part]) else []
-        for r in pdf.sort_values("feature").itertuples():
-            p = [((v["x"] - tx) * extent, (v["y"] - ty) * extent) for v in r.w]
-            kind = KINDS.get(r.type)
-            if kind == 1:
-                parts = [[(round(x), round(y)) for x, y in p if -buffer <= x <= extent + buffer and -buffer <= y <= extent + buffer]]
-            elif kind == 2:
-                parts = [g for c in clip_line(thinned(p, tolerance), -buffer, extent + buffer) if len(g := grid(c)) > 1]
-            elif kind == 3:
-                parts = [g for c in [clip_ring(thinned(p, tolerance), -buffer, extent + buffer)] if len(g := grid(c)) > 3]
-            else:
-                parts = []
-            if any(parts):
-                own.append((int(r.feature), kind, parts, json.loads(r.properties) if r.properties else {}))
-        return pd.DataFrame({"x": [tx], "y": [ty], "content": [encode({layer: own}, extent)]} if own else {"x": [], "y": [], "content": []})
-
-    return f.groupBy("tx", "ty").applyInPandas(run, "x long, y long, content binary")
+    grid = lambda part: [p for i, p in enumerate(q) if not i or p != q[i - 1]] if (q := [(round(x), round(y)) for x, y in part]) else []
+
+    def shapes(table, tx, ty):
+        """The features of a tile by their number; as objects there are a few thousand at a time."""
+        read = functools.lru_cache(4096)(json.loads)
+        order = pc.sort_indices(table, sort_keys=[("feature", "ascending")])
+        for at in range(0, len(order), 4096):
+            rows = table.take(order.slice(at, 4096))
+            for feature, kind, w, text in zip(*(rows[c].to_pylist() for c in ("feature", "type", "w", "properties"))):
+                p = [((v["x"] - tx) * extent, (v["y"] - ty) * extent) for v in w]
+                kind = KINDS.get(kind)
+                if kind == 1:
+                    parts = [[(round(x), round(y)) for x, y in p if -buffer <= x <= extent + buffer and -buffer <= y <= extent + buffer]]
+                elif kind == 2:
+                    parts = [g for c in clip_line(thinned(p, tolerance), -buffer, extent + buffer) if len(g := grid(c)) > 1]
+                elif kind == 3:
+                    parts = [g for c in [clip_ring(thinned(p, tolerance), -buffer, extent + buffer)] if len(g := grid(c)) > 3]
+                else:
+                    parts = []
+                if any(parts):
+                    yield int(feature), kind, parts, read(text) if text else {}
+
+    def run(table):
+        tx, ty = (table[c][0].as_py() for c in ("tx", "ty"))
+        own = shapes(table, tx, ty)
+        first = next(own, None)
+        content = [] if first is None else [encode({layer: itertools.chain([first], own)}, extent)]
+        return pa.table({"x": pa.array([tx] * len(content), pa.int64()), "y": pa.array([ty] * len(content), pa.int64()), "content": pa.array(content, pa.binary())})
+
+    return f.groupBy("tx", "ty").applyInArrow(run, "x long, y long, content binary")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import struct
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from . import BadFile, decoded
+from ..functions import limits
+from . import BadFile
 
 SCHEMA = "layer string, extent int, version int, id long, type string, parts array<array<struct<x:double,y:double>>>, properties string"
 KINDS = {1: "Point", 2: "LineString", 3: "Polygon"}
@@ -97,6 +100,12 @@ def parts_of(kind: int, words: list[int]) -> list[list[tuple[int, int]]]:
 
 def layers(b: bytes):
     """(name, extent, version, features) of every layer; a feature is (id, kind, parts, properties)."""
+    for name, extent, version, features in _layers(b):
+        yield name, extent, version, list(features)
+
+
+def _layers(b: bytes):
+    """``layers``, with each one's features as they are asked for."""
     for number, wire, body in _fields(b):
         if number != 3 or wire != 2:
             continue
@@ -114,32 +123,62 @@ def layers(b: bytes):
                 extent = v
             elif n == 15:
                 version = v
-        features = []
-        for r in raw:
-            fid, kind, tags, geometry = None, 0, [], []
-            for n, wire, v in _fields(r):
-                if n == 1:
-                    fid = v
-                elif n == 2:
-                    tags = _packed(v)
-                elif n == 3:
-                    kind = v
-                elif n == 4:
-                    geometry = _packed(v)
+        yield name, extent, version, _features(raw, keys, values)
+
+
+def _features(raw: list[bytes], keys: list, values: list):
+    """Features of a layer; properties that equal tags give are shared."""
+    held: dict = {}
+    for r in raw:
+        fid, kind, tagged, geometry = None, 0, b"", []
+        for n, _, v in _fields(r):
+            if n == 1:
+                fid = v
+            elif n == 2:
+                tagged = v
+            elif n == 3:
+                kind = v
+            elif n == 4:
+                geometry = _packed(v)
+        if tagged not in held:
+            tags = _packed(tagged)
             if any(k >= len(keys) for k in tags[::2]) or any(v >= len(values) for v in tags[1::2]):
                 raise BadFile("a tag that is not there")
-            features.append((fid, kind, parts_of(kind, geometry), {keys[k]: values[v] for k, v in zip(tags[::2], tags[1::2])}))
-        yield name, extent, version, features
+            held[tagged] = {keys[k]: values[v] for k, v in zip(tags[::2], tags[1::2])}
+        yield fid, kind, parts_of(kind, geometry), held[tagged]
 
 
 def read(df: DataFrame, key: str, content: str) -> DataFrame:
     """A row a feature of every layer of each tile, on the tile's grid."""
-    def parse(b):
-        rows = [(name, extent, version, fid, KINDS.get(kind, "Unknown"), [[{"x": float(x), "y": float(y)} for x, y in p] for p in parts], json.dumps(props, ensure_ascii=False))
-                for name, extent, version, features in layers(b) for fid, kind, parts, props in features]
-        yield pd.DataFrame(rows, columns=["layer", "extent", "version", "id", "type", "parts", "properties"]).astype({"id": "Int64"})
-
-    return decoded(df, key, content, parse, SCHEMA)
+    import pyarrow as pa
+
+    key_type = next(f.dataType.simpleString() for f in df.schema.fields if f.name == key)
+    most, schema = limits.get_input_size_limit(), to_arrow_schema(StructType.fromDDL(SCHEMA))
+
+    def rows(b):
+        texts = {}
+        for name, extent, version, features in _layers(b):
+            for fid, kind, parts, props in features:
+                if (text := texts.get(same := tuple((k, type(v), v) for k, v in props.items()))) is None:
+                    if len(texts) >= 4096:
+                        texts.clear()
+                    text = texts[same] = json.dumps(props, ensure_ascii=False)
+                yield name, extent, version, fid, KINDS.get(kind, "Unknown"), [[{"x": float(x), "y": float(y)} for x, y in p] for p in parts], text
+
+    def run(batches):
+        limits.set_input_size_limit(most)
+        for batch in batches:
+            for i in range(len(batch)):
+                one = batch.slice(i, 1)
+                if (c := one.column(1)[0].as_py()) is None:
+                    continue
+                limits.check_input_size(len(c), str(one.column(0)[0].as_py()))
+                found = rows(c)
+                while some := list(itertools.islice(found, 4096)):
+                    columns = [pa.array(v, f.type) for v, f in zip(zip(*some), schema)]
+                    yield pa.RecordBatch.from_arrays([one.column(0).take(pa.array([0] * len(some), pa.int64())), *columns], [key, *schema.names])
+
+    return df.select(key, content).mapInArrow(run, f"{key} {key_type}, {SCHEMA}")
 
 
 def info(features: DataFrame, key: str) -> DataFrame:

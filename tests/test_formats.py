@@ -398,3 +398,19 @@ def test_equal_pairs_are_overlaid_once(spark, monkeypatch):
         found = rows.select("i", planar.overlaid(F.col("a"), F.col("b"), union).alias("r")).orderBy("i").collect()
         assert [abs(_area([np.array([(p.x, p.y) for p in q]) for q in r.r])) for r in found] == want
     assert [tuple(r.r) for r in rows.select("i", planar.relate(F.col("a"), F.col("b")).alias("r")).orderBy("i").collect()] == [(True, False, False)] * 2 + [(False, False, True)] * 2
+
+
+def test_mvt_of_many_features_is_encoded_in_proportion():
+    """Ten times the features take about ten times as long, not a hundred times."""
+    import time
+
+    def seconds(n):
+        features = [(i, 1, [[(i % 4096, i * 7 % 4096)]], {"k": i % 5, "name": f"n{i % 3}"}) for i in range(n)]
+        began = time.process_time()
+        tile = mvt_out.encode({"points": iter(features)})
+        took = time.process_time() - began
+        (name, _, _, back), = mvt.layers(tile)
+        assert name == "points" and back == features
+        return took
+
+    assert seconds(150_000) < 30 * max(seconds(15_000), 0.01)
