@@ -316,22 +316,82 @@ def nearest_spacing(points: DataFrame, cell: float | None = None) -> DataFrame:
 
 # ---------------------------------------------------------------- density clusters
 
-def _neighbours(points: DataFrame, metres: float) -> DataFrame:
-    """(idx, j) of all pairs within ``metres`` of each other, each both ways, by cells of that
-    height whose width in degrees is that of their band's far edge."""
-    d_lat = math.degrees(metres / R) * 1.000001
-    band = lambda y: F.floor(F.col(y) / d_lat)
-    # the band's largest |latitude|, and its neighbours' too: wide enough on all three
-    far = lambda b: F.least((F.greatest(F.abs(b - 1), F.abs(b + 2))) * d_lat, F.lit(89.9))
-    width = lambda b: F.lit(d_lat) / F.cos(F.radians(far(b)))
-    rows = points.select("idx", "lng", "lat", band("lat").alias("cy")).withColumn("cx", F.floor(F.col("lng") / width(F.col("cy"))))
-    other = points.select(F.col("idx").alias("j"), F.col("lng").alias("x"), F.col("lat").alias("y")).withColumn("by", band("y"))
-    other = other.withColumn("cy", F.explode(F.array(*(F.col("by") + i for i in (-1, 0, 1)))))
-    other = other.withColumn("cx", F.explode(F.array(*(F.floor(F.col("x") / width(F.col("cy"))) + i for i in (-1, 0, 1)))))
-    # the cells on both sides of the date line are neighbours as well
-    turned = lambda df: df.unionAll(df.withColumn("x2", F.when(F.col("x") < 0, F.col("x") + 360).otherwise(F.col("x") - 360)).withColumn("cx", F.explode(F.array(*(F.floor(F.col("x2") / width(F.col("cy"))) + i for i in (-1, 0, 1))))).drop("x2").where((F.abs("x") > 180 - 2 * width(F.col("cy")))))
-    pairs = rows.join(turned(other), ["cx", "cy"]).where((F.col("idx") != F.col("j")) & (haversine(F.col("lng"), F.col("lat"), F.col("x"), F.col("y")) <= metres))
-    return pairs.select("idx", "j").distinct()
+def _local_clusters(pdf, box: tuple, side: float, c: float, metres: float, min_points: int):
+    """(idx, kind, label) of one block of ``dbscan``: its cores (0), cores of other blocks in reach
+    (1, one a cell and block), and border points with each cluster in their reach (2). A label is
+    the least idx of the cores that hang together here. Points of one cell, whose diagonal is
+    the reach, are neighbours without a look at their distance."""
+    import itertools
+
+    import numpy as np
+    import pandas as pd
+
+    idx, place = pdf["idx"].to_numpy(), pdf[["px", "py", "pz"]].to_numpy()
+    lng, lat = (np.radians(pdf[n].to_numpy()) for n in ("lng", "lat"))
+    block = np.floor(place / side).astype(np.int64)
+    low = np.array(box) * side
+    own, inner = (block == np.array(box)).all(axis=1), ((place >= low - c * 1.000001) & (place <= low + side + c * 1.000001)).all(axis=1)
+    cells = np.floor(place / (c / math.sqrt(3) * (1 - min(0.5, 1e-6 + 1e-14 / c)))).astype(np.int64)
+    names, cell = np.unique(cells, axis=0, return_inverse=True)
+    order = np.argsort(cell.ravel(), kind="stable")
+    members = np.split(order, np.cumsum(np.bincount(cell.ravel()))[:-1])
+    number = {n: i for i, n in enumerate(map(tuple, names.tolist()))}
+    steps = list(itertools.product((-2, -1, 0, 1, 2), repeat=3))
+    around = [[k for dx, dy, dz in steps if (k := number.get((x + dx, y + dy, z + dz))) is not None] for x, y, z in names.tolist()]
+    band = 1e-9 + 1e-15 / c
+
+    def near(i, j):
+        """Which of the points i are in reach of which of j; near the limit by the haversine."""
+        d = sum((place[i, k][:, None] - place[j, k][None]) ** 2 for k in range(3))
+        out = d <= c * c
+        for u, v in zip(*np.nonzero(np.abs(d - c * c) <= 2 * band * c * c)):
+            p, q = i[u], j[v]
+            h = math.sin((lat[q] - lat[p]) / 2) ** 2 + math.cos(lat[p]) * math.cos(lat[q]) * math.sin((lng[q] - lng[p]) / 2) ** 2
+            out[u, v] = 2 * R * math.atan2(math.sqrt(h), math.sqrt(max(1 - h, 0.0))) <= metres
+        return out
+
+    def slices(i, j):
+        step = max(1, 2_000_000 // max(len(j), 1))
+        return (i[k:k + step] for k in range(0, len(i), step))
+
+    core = np.zeros(len(idx), bool)
+    for k, m in enumerate(members):
+        if len(m) > min_points:
+            core[m] = True
+        elif len(m := m[inner[m]]):
+            other = np.concatenate([members[o] for o in around[k]])
+            for i in slices(m, other):
+                core[i] = near(i, other).sum(axis=1) - 1 >= min_points
+    core &= inner
+    cores, up = [m[core[m]] for m in members], list(range(len(members)))
+
+    def root(k):
+        while up[k] != k:
+            up[k] = k = up[up[k]]
+        return k
+
+    for k, m in enumerate(cores):
+        for o in around[k] if len(m) else ():
+            if o > k and len(cores[o]) and root(k) != root(o) and any(near(i, cores[o]).any() for i in slices(m, cores[o])):
+                up[root(o)] = root(k)
+    roots = np.array([root(k) for k in range(len(members))])
+    least = np.full(len(members), np.iinfo(np.int64).max)
+    for k, m in enumerate(cores):
+        if len(m):
+            least[roots[k]] = min(least[roots[k]], idx[m].min())
+    label, out = least[roots], []
+    for k, m in enumerate(cores):
+        out += [(int(i), 0, int(label[k])) for i in idx[m[own[m]]]]
+        there = m[~own[m]]
+        if len(there):
+            first = pd.DataFrame({"i": idx[there], **{n: block[there, a] for a, n in enumerate("xyz")}}).groupby(["x", "y", "z"])["i"].min()
+            out += [(int(i), 1, int(label[k])) for i in first]
+        if len(rest := members[k][own[members[k]] & ~core[members[k]]]):
+            for o in around[k]:
+                if len(cores[o]):
+                    for i in slices(rest, cores[o]):
+                        out += [(int(p), 2, int(label[o])) for p in idx[i[near(i, cores[o]).any(axis=1)]]]
+    return pd.DataFrame(out, columns=["idx", "kind", "label"]).drop_duplicates()
 
 
 def dbscan(points: DataFrame, metres: float, min_points: int) -> DataFrame:
@@ -339,17 +399,32 @@ def dbscan(points: DataFrame, metres: float, min_points: int) -> DataFrame:
 
     A point with ``min_points`` others within ``metres`` is a core; cores in reach of each
     other are one cluster, numbered by the smallest idx of its cores, from 0. A border point
-    goes to the first of the clusters in its reach. Clusters grow by neighbourhood minima and
-    jumps, a durable round at a time; nothing is collected.
+    goes to the first of the clusters in its reach. Clusters are found in blocks of space (cubes
+    about the sphere, each with the points twice the reach around it); those of different blocks
+    that share a core are joined by minima of labels and jumps, a durable round at a time, over
+    pairs of labels and not of points; nothing is collected.
     """
     if metres <= 0:
         return points.select("idx", F.lit(-1).cast("long").alias("cluster"))
-    near = durable(_neighbours(points, metres))
-    core = durable(near.groupBy("idx").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_points).select("idx"))
-    if min_points <= 0:
-        core = durable(points.select("idx"))
-    edges = durable(near.join(core, "idx", "left_semi").join(core.select(F.col("idx").alias("j")), "j", "left_semi").select("idx", "j"))
-    label = durable(core.withColumn("c", F.col("idx")))
+    c = 2 * math.sin(metres / R / 2) if metres < math.pi * R else 2.1
+    x, y = F.radians("lng"), F.radians("lat")
+    at = points.where(finite(F.col("lng")) & finite(F.col("lat"))).select("idx", "lng", "lat", (F.cos(y) * F.cos(x)).alias("px"), (F.cos(y) * F.sin(x)).alias("py"), F.sin(y).alias("pz"))
+    b = at.agg(F.count(F.lit(1)).alias("n"), *((F.max(a) - F.min(a)).alias(a) for a in ("px", "py", "pz"))).first()
+    if not b["n"]:
+        return points.select("idx", F.lit(-1).cast("long").alias("cluster"))
+    spans, h = sorted(b[a] for a in ("px", "py", "pz")), 2 * c * 1.000001
+    side = max(8 * h, math.sqrt(spans[1] * spans[2] * 5000 / b["n"]))  # a few thousand points at least, where they are even
+    for n, a in (("bx", "px"), ("by", "py"), ("bz", "pz")):
+        at = at.withColumn(n, F.explode(F.sequence(F.floor((F.col(a) - h) / side), F.floor((F.col(a) + h) / side))))
+
+    def run(key, pdf):
+        return _local_clusters(pdf, key, side, c, metres, min_points)
+
+    found = durable(at.groupBy("bx", "by", "bz").applyInPandas(run, "idx long, kind int, label long"))
+    own = found.where("kind = 0").select("idx", F.col("label").alias("c"))
+    pairs = found.where("kind = 1").join(own, "idx").where("label <> c").select(F.col("label").alias("idx"), F.col("c").alias("j"))
+    edges = durable(pairs.unionAll(pairs.select("j", "idx")).distinct())
+    label = durable(found.where("kind < 2").select(F.col("label").alias("idx")).distinct().withColumn("c", F.col("idx")))
     while True:
         least = edges.join(label.select(F.col("idx").alias("j"), "c"), "j").groupBy("idx").agg(F.min("c").alias("m"))
         step = durable(label.join(least, "idx", "left").select("idx", F.col("c").alias("old"), F.least("c", F.coalesce("m", "c")).alias("c")))
@@ -358,9 +433,8 @@ def dbscan(points: DataFrame, metres: float, min_points: int) -> DataFrame:
         label = new.select("idx", "c")
         if new.where("old <> c").isEmpty():
             break
-    border = near.join(label.select(F.col("idx").alias("j"), "c"), "j").join(core, "idx", "left_anti").groupBy("idx").agg(F.min("c").alias("c"))
-    named = durable(label.unionAll(border.select("idx", "c")))
-    numbers = ranked(named.select("c").distinct(), "c").select("c", F.col("rank").alias("cluster"))
+    named = durable(found.where("kind <> 1").join(label.select(F.col("idx").alias("label"), "c"), "label").groupBy("idx").agg(F.min("c").alias("c")))
+    numbers = ranked(label.select("c").distinct(), "c").select("c", F.col("rank").alias("cluster"))
     return points.select("idx").join(named.join(numbers, "c").select("idx", "cluster"), "idx", "left").select("idx", F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster"))
 
 

@@ -119,6 +119,40 @@ def test_dbscan_by_hand(spark):
     assert {r.cluster for r in points.dbscan(df, 0.0, 2).collect()} == {-1}
 
 
+@pytest.mark.parametrize("metres, least", [(60_000.0, 4), (250_000.0, 9), (30_000_000.0, 3)])
+def test_dbscan_by_all_pairs(spark, metres, least):
+    """Over the date line and a pole, with copies, against all pairs; pairs are never rows."""
+    import random
+
+    from geoloom.operators import points
+
+    r = random.Random(4)
+    rows = [(r.gauss(179.5, 2), r.gauss(10, 2)) for _ in range(220)] + [(r.uniform(-180, 180), r.uniform(88, 90)) for _ in range(60)] + [(5.0, 5.0)] * 12 + [(5.5, 5.0)]
+    rows = [((x + 180) % 360 - 180, y) for x, y in rows]
+
+    def far(p, q):
+        (x, y), (u, v) = (map(math.radians, rows[k]) for k in (p, q))
+        h = math.sin((v - y) / 2) ** 2 + math.cos(y) * math.cos(v) * math.sin((u - x) / 2) ** 2
+        return 2 * 6371000 * math.atan2(math.sqrt(h), math.sqrt(max(1 - h, 0)))
+
+    near = {p: [q for q in range(len(rows)) if q != p and far(p, q) <= metres] for p in range(len(rows))}
+    core, want, n = {p for p in near if len(near[p]) >= least}, dict.fromkeys(near, -1), 0
+    for p in sorted(core):
+        if want[p] < 0:
+            todo, want[p] = [p], n
+            while todo:
+                for q in near[todo.pop()]:
+                    if q in core and want[q] < 0:
+                        want[q] = n
+                        todo.append(q)
+            n += 1
+    for p in near:
+        if p not in core:
+            want[p] = min((want[q] for q in near[p] if q in core), default=-1)
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(rows)] + [(1000, float("nan"), 0.0)], "idx long, lng double, lat double")
+    assert {r.idx: r.cluster for r in points.dbscan(df, metres, least).collect()} == want | {1000: -1}
+
+
 def test_vincenty_known(spark):
     from pyspark.sql import functions as F
 
