@@ -501,26 +501,92 @@ def nearest_segment(segments: DataFrame, queries: DataFrame, cell: float) -> Dat
 
 # ---------------------------------------------------------------- normals
 
+def _eigen(m: np.ndarray) -> np.ndarray:
+    """Of each covariance the direction of least spread, its largest part positive."""
+    v = np.linalg.eigh(m)[1][:, :, 0] if len(m) else np.zeros((0, 3))
+    top = np.abs(v).argmax(axis=1)
+    return v * np.where(v[np.arange(len(v)), top] < 0, -1.0, 1.0)[:, None]
+
+
+def _block_normals(idx: np.ndarray, p: np.ndarray, block: tuple, side: int, cell: float, k: int) -> pd.DataFrame:
+    """Normals of the points in a block of ``side`` cells a way, from these and the ones a cell
+    around it. A point whose k nearest others may lie beyond the cells next to its own isn't
+    ``done`` and has its place instead."""
+    order = np.argsort(idx, kind="stable")  # so that a stable sort by distance leaves ties by idx
+    idx, p = idx[order], p[order]
+    at = np.floor(p / cell).astype(np.int64) - np.array(block) * side + 1
+    wide, d3 = side + 2, [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]
+    code = (at[:, 0] * wide + at[:, 1]) * wide + at[:, 2]
+    by = np.argsort(code, kind="stable")
+    names, starts = np.unique(code[by], return_index=True)
+    members = dict(zip(names.tolist(), np.split(by, starts[1:])))
+    own = ((at >= 1) & (at <= side)).all(axis=1)
+    rim = np.minimum(p - np.floor(p / cell) * cell, (np.floor(p / cell) + 1) * cell - p).min(axis=1) + cell
+    m = np.full((len(p), 3, 3), np.nan)
+    for c in names[own[by[starts]]].tolist():
+        here = members[c]
+        around = np.sort(np.concatenate([members[o] for x, y, z in d3 if (o := c + (x * wide + y) * wide + z) in members]))
+        if len(around) <= k:
+            continue
+        q, step = p[around], max(1, 1_000_000 // len(around))
+        for i in (here[j:j + step] for j in range(0, len(here), step)):
+            d = sum((p[i, a][:, None] - q[None, :, a]) ** 2 for a in range(3))
+            d[np.arange(len(i)), np.searchsorted(around, i)] = np.inf
+            near = np.argpartition(d, k - 1, axis=1)[:, :k]
+            worst = np.take_along_axis(d, near, 1).max(axis=1)
+            tied = np.flatnonzero((d <= worst[:, None]).sum(axis=1) > k)
+            if len(tied):
+                near[tied] = np.argsort(d[tied], axis=1, kind="stable")[:, :k]
+            n = q[near]
+            n = n - n.mean(axis=1, keepdims=True)
+            m[i] = np.where((np.sqrt(worst) < rim[i])[:, None, None], np.matmul(n.transpose(0, 2, 1), n) / k, np.nan)
+    done = np.isfinite(m[:, 0, 0])
+    v = p.copy()
+    v[done] = _eigen(m[done])
+    return pd.DataFrame({"idx": idx[own], "done": done[own], **{f"n{a}": v[own, i] for i, a in enumerate("xyz")}})
+
+
 def normals(points: DataFrame, k: int = 8, cell: float | None = None) -> DataFrame:
     """(idx, nx, ny, nz) of a cloud (idx, x, y, z): the direction in which each point's k
-    nearest others spread least, as the eigenvector of their covariance; its sign is that of
-    its largest part being positive. Neighbours come by cells, a level at a time, covariances
-    are sums; only six numbers a point go to Python."""
-    from .points import knn
-
-    n = points.count()
+    nearest others (ties by idx) spread least, as the eigenvector of their covariance; its sign
+    is that of its largest part being positive. Points go to blocks of many cells, with those a
+    cell around; the few whose neighbours are farther than that are searched for by ``knn``.
+    Rows that aren't finite are left out."""
+    from pyspark.sql import Window
+
+    from .durable import stored
+    from .points import finite, knn
+
+    points = points.select("idx", *"xyz").where(finite(F.col("x")) & finite(F.col("y")) & finite(F.col("z")))
+    b = points.agg(F.count(F.lit(1)).alias("n"), *((F.max(a) - F.min(a)).alias(a) for a in "xyz")).first()
+    n, side = b["n"], 32
     k = max(3, min(k, n - 1))
-    q = points.select(F.col("idx").alias("qid"), *(F.col(a).alias(f"q{a}") for a in "xyz"))
-    near = knn(points, q, k + 1, cell, ("x", "y", "z"), ("qx", "qy", "qz")).where("qid <> idx and rank <= %d" % (k + 1))
-    rows = near.join(points.select("idx", *"xyz"), "idx")
-    sums = rows.groupBy("qid").agg(*(F.covar_pop(a, b).alias(f"{a}{b}") for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")))
+    if cell is None and n:
+        sides = [max(b[a], 1e-9) for a in "xyz"]
+        cell = max((math.prod(sides) * (k + 1) / n) ** (1 / 3), max(sides) * 1e-6)
+    cell = float(cell or 1.0)
+    at, w = points, cell * side
+    for a in "xyz":  # a hair wider than a cell: what else comes is sorted out by its cell
+        at = at.withColumn(f"b{a}", F.explode(F.sequence(F.floor((F.col(a) - cell * 1.001) / w), F.floor((F.col(a) + cell * 1.001) / w))))
+
+    def run(key, pdf):
+        p = pdf[["x", "y", "z"]].to_numpy()
+        c = np.floor(p / cell) - np.array(key) * side
+        inside = ((c >= -1) & (c <= side)).all(axis=1)
+        return _block_normals(pdf["idx"].to_numpy()[inside], p[inside], key, side, cell, k)
+
+    found = stored(at.groupBy("bx", "by", "bz").applyInPandas(run, "idx long, done boolean, nx double, ny double, nz double"))
+    q = found.where("not done").select(F.col("idx").alias("qid"), *(F.col(f"n{a}").alias(f"q{a}") for a in "xyz"))
+    few = F.broadcast if q.count() <= 20_000 else lambda df: df
+    near = knn(points, q, k + 1, cell, ("x", "y", "z"), ("qx", "qy", "qz")).where("qid <> idx")
+    near = near.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("d2", "idx"))).where(F.col("place") <= k)
+    pairs = ("xx", "xy", "xz", "yy", "yz", "zz")
+    sums = few(near).join(points, "idx").groupBy("qid").agg(*(F.covar_pop(a, b).alias(f"{a}{b}") for a, b in pairs))
 
     @F.pandas_udf("nx double, ny double, nz double")
     def eigen(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.DataFrame:
         m = np.stack([np.stack([xx, xy, xz], -1), np.stack([xy, yy, yz], -1), np.stack([xz, yz, zz], -1)], -2)
-        v = np.linalg.eigh(m)[1][:, :, 0] if len(m) else np.zeros((0, 3))
-        top = np.abs(v).argmax(axis=1)
-        v = v * np.where(v[np.arange(len(v)), top] < 0, -1.0, 1.0)[:, None]
-        return pd.DataFrame(v, columns=["nx", "ny", "nz"])
+        return pd.DataFrame(_eigen(m), columns=["nx", "ny", "nz"])
 
-    return sums.select(F.col("qid").alias("idx"), eigen(*map(F.col, ("xx", "xy", "xz", "yy", "yz", "zz"))).alias("n")).select("idx", "n.*")
+    rest = sums.select(F.col("qid").alias("idx"), eigen(*map(F.col, pairs)).alias("n")).select("idx", "n.*")
+    return found.where("done").select("idx", "nx", "ny", "nz").unionAll(rest)

@@ -291,6 +291,8 @@ def knn(points: DataFrame, queries: DataFrame, k: int, cell: float | None = None
         cells = todo
         for key, c in zip(keys, at):
             cells = cells.withColumn(key, F.explode(F.sequence(F.floor(F.col(c) / w) - 1, F.floor(F.col(c) / w) + 1)))
+        if q["n"] * 3 ** len(axes) <= 500_000:  # few queries go to the points
+            cells = F.broadcast(cells)
         own = points.select("idx", *axes, *(F.floor(F.col(c) / w).alias(key) for key, c in zip(keys, axes)))
         d2 = sum((F.col(a) - F.col(b)) ** 2 for a, b in zip(axes, at))
         inside = [F.col(c) - F.floor(F.col(c) / w) * w for c in at]

@@ -414,3 +414,18 @@ def test_mvt_of_many_features_is_encoded_in_proportion():
         return took
 
     assert seconds(150_000) < 30 * max(seconds(15_000), 0.01)
+
+
+def test_normals_by_all_pairs(spark):
+    """Across blocks, with strays far off and copies: the k nearest others, ties by idx; a point
+    whose copies come first by idx has k others too."""
+    rng = np.random.default_rng(8)
+    p = np.concatenate([rng.uniform(-40, 40, (900, 3)), [(500.0, -300.0, 20.0)], np.repeat([[1.0, 2.0, 3.0]], 6, axis=0), rng.integers(0, 4, (120, 3)) * 0.5])
+    got = {r.idx: (r.nx, r.ny, r.nz) for r in planar.normals(spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(p)] + [(5000, float("nan"), 0.0, 0.0)], "idx long, x double, y double, z double"), 5, 0.9).collect()}
+    assert sorted(got) == list(range(len(p)))
+    for i, v in enumerate(p):
+        d = ((p - v) ** 2).sum(axis=1)
+        near = [j for j in np.lexsort((np.arange(len(p)), d)) if j != i][:5]
+        m = np.cov(p[near].T, bias=True)
+        least = np.linalg.eigvalsh(m)[0]
+        assert abs(np.array(got[i]) @ m @ np.array(got[i]) - least) < 1e-9 * max(1.0, np.trace(m))
