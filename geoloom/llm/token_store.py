@@ -130,7 +130,7 @@ def write_sequences(documents: DataFrame, tokenizer: str, folder: str, end_id: i
         for b in (b for whole in batches for b in pieces(whole, "text", 1 << 20)):
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 if out is None:
-                    enc = encoder(tokenizer, _width(tokenizer))
+                    enc = encoder(tokenizer, None)
                     end = np.array([end_id], enc_dtype(enc)).tobytes()
                     sink = _open(f"{name}.arrow", "w")
                     out = SequenceWriter(sink, enc_dtype(enc), length)
@@ -165,18 +165,6 @@ def enc_dtype(enc) -> np.dtype:
     return np.dtype({"B": np.uint8, "H": np.uint16, "I": np.uint32}[enc.code])
 
 
-_WIDTH: dict = {}
-
-
-def _width(tokenizer: str):
-    if tokenizer not in _WIDTH:
-        from tokenizers import Tokenizer
-
-        n = Tokenizer.from_file(tokenizer).get_vocab_size()
-        _WIDTH[tokenizer] = np.uint16 if n <= 1 << 16 else np.uint32
-    return _WIDTH[tokenizer]
-
-
 def read_documents(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, read from the files; ``start``
     counts the ids of all documents before it, over all files in the manifest's order."""

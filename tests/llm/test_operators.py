@@ -140,6 +140,18 @@ def test_token_store(spark, docs, tmp_path):
         assert seq.length == 16 and sum(int(seq.mask(i).sum()) for i in range(seq.file.num_record_batches)) == f.n_tokens
 
 
+def test_encoder_keeps_few_pieces():
+    """Words with signs behind them are kept from the second time on; ids stay those of the library."""
+    enc = tokens.Encoder(tokens.public_path("byte_bpe_50k.json"), None, most=2000)
+    assert enc.code == "H"
+    words = [hashlib.md5(str(i).encode()).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop"))[:9] for i in range(1500)]
+    text = "x " + ", ".join(words) + ". Éa ÀB× Zz!"
+    ends = lambda: sum(k.endswith(b",") for k in [*enc.mid, *enc.mid.older])
+    assert enc.encode(text) == enc.plain(text) and ends() < 30
+    assert enc.encode(text) == enc.plain(text) == enc.encode(text)
+    assert ends() >= 400 and len(enc.mid) <= 2000 and len(enc.mid.older) <= 2000
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from(list("aB éü ñß'.,!\n\t \r 　x1②$İΣ中文<|") + ["don't ", "it's,", "We'LL", "  "]), max_size=40).map("".join))
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
