@@ -51,6 +51,8 @@ SHARD = 1 << 16
 #: (Context, byte) pairs that a task holds before it turns them into shards, and the bytes of
 #: shards before it hands them on.
 PAIRS = 1 << 20
+#: Pairs that are taken apart into bits at a time.
+RUN = 1 << 17
 HELD = 32 << 20
 FAN = 32
 #: Tokens whose counts go to every worker; the others are looked up by a join.
@@ -194,11 +196,13 @@ def bits_of(code: Code, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def slots(size: int, ctx: np.ndarray, n: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """The slot of each bit in a table of 2 ** size slots."""
+    """The slot of each bit in a table of 2 ** size slots. Sixteen nodes of a context lie next
+    to each other, in an order of the context's own, so that a path touches few cache lines."""
     h = np.repeat(ctx, n)
-    h += node
+    h += node >> np.uint32(4)
     h *= np.uint32(0xC2B2AE35)
     h >>= np.uint32(32 - size)
+    h ^= node & np.uint32(15)
     return h
 
 
@@ -225,7 +229,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
                     words.update(r.split(b" ") if r else ())
                 data, places, _ = stream(raw)
                 bytes_ += np.bincount(behind(data, places), minlength=1 << 16)
-                if len(words) > 100_000:
+                if len(words) > 200_000:
                     yield flush()
                     words.clear()
         if words:
@@ -256,14 +260,33 @@ def sizes_of(docs: DataFrame, code) -> tuple:
     return tuple(max(least, min(32, (SAMPLE * found.get(i, 0) - 1).bit_length())) for i, least in enumerate(SLOTS))
 
 
-def summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The keys in order, each once, and their times added up."""
-    order = np.argsort(keys, kind="stable")
-    keys, times = keys[order], times[order]
+def packed(keys: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Keys below 2^33 with times below 2^31 in the low bits."""
+    both = keys.astype(np.uint64)
+    both <<= np.uint64(31)
+    both |= times.astype(np.uint64)
+    return both
+
+
+def unpacked(both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys in order, each once, and their times added up; ``both`` is used up."""
+    both.sort()
+    times = (both & np.uint64((1 << 31) - 1)).view(np.int64)
+    both >>= np.uint64(31)
+    return _runs(both.view(np.int64), times)
+
+
+def _runs(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     return keys[first], np.add.reduceat(times, first) if len(keys) else times
 
 
+def summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys in order, each once, and their times, which may be of any size, added up."""
+    order = np.argsort(keys, kind="stable")
+    return _runs(keys[order], times[order])
+
+
 def pairs_of(texts: list[bytes], only=None) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each context its (context, byte before, byte) triples in the texts, each once, and
     their times."""
@@ -283,7 +306,9 @@ def in_slots(code: Code, size: int, pair: np.ndarray, times: np.ndarray) -> tupl
     """Pairs taken apart into bits: twice the slot, and one more for a one; times."""
     n, node, bit = bits_of(code, (pair & np.uint64(0xFFFF)).astype(np.int64))
     s = slots(size, (pair >> np.uint64(16)).astype(np.uint32), n, node).astype(np.int64)
-    return 2 * s + bit, np.repeat(times, n)
+    s *= 2
+    s += bit
+    return s, np.repeat(times, n)
 
 
 def count_slots(code: Code, texts: list[bytes], table: np.ndarray, sizes=SLOTS) -> None:
@@ -305,14 +330,16 @@ def _counted(code, sizes, batches):
         for size, base, parts in zip(sizes, start, held):
             if not parts:
                 continue
-            key, times = summed(*in_slots(code, size, *summed(*map(np.concatenate, zip(*parts)))))
-            key += 2 * base
-            shard = key // (2 * SHARD)
-            edge = np.flatnonzero(np.diff(shard, prepend=-1, append=-1)).tolist() if len(key) else []
-            for a, b in zip(edge[:-1], edge[1:]):
-                blob = _zip(key[a:b] % (2 * SHARD), times[a:b])
-                shards.setdefault(int(shard[a]), []).append(blob)
-                size_ += len(blob)
+            pair, times = map(np.concatenate, zip(*parts))
+            parts.clear()
+            key, times = unpacked(np.concatenate([packed(*in_slots(code, size, pair[k:k + RUN], times[k:k + RUN])) for k in range(0, len(pair), RUN)]))
+            first = int(2 * base) // (2 * SHARD)
+            edge = np.searchsorted(key, np.arange(0, (2 << size) + 1, 2 * SHARD)).tolist()
+            for k, (a, b) in enumerate(zip(edge[:-1], edge[1:])):
+                if a < b:
+                    blob = _zip(key[a:b] - 2 * SHARD * k, times[a:b])
+                    shards.setdefault(first + k, []).append(blob)
+                    size_ += len(blob)
         return size_
 
     def rows(shards):
@@ -326,21 +353,23 @@ def _counted(code, sizes, batches):
     dense = {i: np.zeros(2 << sizes[i], np.int64) for i in small}
     held, shards, n_bytes, some = [[] for _ in sizes], {}, 0, False
     for whole in batches:
-        for b in pieces(whole, "text", 1 << 20):
+        for b in pieces(whole, "text", 1 << 19):
             some, texts = True, [normal(t) for t in b.column("text").to_pylist()]
             if small:
                 data, places, _ = stream(texts)
-                n, node, bit = bits_of(code, behind(data, places))
-                for i, ctx in enumerate(contexts(data, places)):
-                    if i in dense:
-                        s = slots(sizes[i], ctx, n, node).astype(np.int64)
-                        dense[i] += np.bincount(2 * s + bit, minlength=2 << sizes[i])
+                symbol, ctx = behind(data, places), contexts(data, places)
+                for k in range(0, len(symbol), RUN):
+                    n, node, bit = bits_of(code, symbol[k:k + RUN])
+                    for i in small:
+                        s = slots(sizes[i], ctx[i][k:k + RUN], n, node).astype(np.int64)
+                        s *= 2
+                        s += bit
+                        np.add.at(dense[i], s, 1)
             if large:
                 for i, new in zip(large, pairs_of(texts, large)):
                     held[i].append(new)
                 if sum(len(p) for parts in held for p, _ in parts) > PAIRS:
                     n_bytes += put(held, shards)
-                    held = [[] for _ in sizes]
                     if n_bytes > HELD:
                         yield from rows(shards)
                         shards, n_bytes = {}, 0
@@ -390,17 +419,15 @@ def odds_of(counts: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(np.log((counts[1] + DELTA) / (counts[0] + DELTA)) * STEPS), -127, 127).astype(np.int8)
 
 
-def _odds(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"shard": pdf["shard"], "odds": [odds_of(_total([b]).reshape(SHARD, 2).T).tobytes() for b in pdf["counts"]]})
-
-
-def _put(path: str, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Shards' log-odds go to their places in the file; a task that runs again writes the same."""
-    with open(path, "r+b") as f:
-        for shard, odds in zip(pdf["shard"], pdf["odds"]):
-            f.seek(SHARD * int(shard))
+def _odds(path: str | None, pdf: pd.DataFrame) -> pd.DataFrame:
+    """A shard's log-odds, from all of its counts. They go to their place in the file, where
+    there is one (a task that runs again writes the same), else into the row."""
+    shard, odds = int(pdf["shard"].iloc[0]), odds_of(_total(pdf["counts"]).reshape(SHARD, 2).T).tobytes()
+    if path:
+        with open(path, "r+b") as f:
+            f.seek(SHARD * shard)
             f.write(odds)
-    return pdf[["shard"]]
+    return pd.DataFrame({"shard": [shard], "odds": [None if path else odds]})
 
 
 @dataclass
@@ -419,29 +446,34 @@ def train(docs: DataFrame, byte_counts: np.ndarray) -> Model:
     sizes = sizes_of(docs, held)
     shards = written(docs.mapInArrow(lambda it: _counted(held.value, sizes, it), "shard int, part int, counts binary"))
     parts = (shards.agg(F.max("part")).first()[0] or 0) + 1
-    while True:
-        grouped = shards.withColumn("g", F.floor(F.col("part") / FAN).cast("int")).groupBy("shard", "g").applyInPandas(_added, "shard int, part int, counts binary")
-        parts = -(-parts // FAN)
-        if parts == 1:
-            break
-        shards = written(grouped)
-    done = grouped.mapInPandas(lambda it: (_odds(pdf.iloc[i:i + 1]) for pdf in it for i in range(len(pdf))), "shard int, odds binary")
+    while parts > FAN:
+        grouped = shards.withColumn("g", F.floor(F.col("part") / FAN).cast("int")).groupBy("shard", "g")
+        shards, parts = written(grouped.applyInPandas(_added, "shard int, part int, counts binary")), -(-parts // FAN)
+    # one step from the counts to the file: with three, each task had as many Python workers
+    done = lambda file: shards.groupBy("shard").applyInPandas(lambda pdf: _odds(file, pdf), "shard int, odds binary")
     n, path = int(bases(sizes)[-1]), shared_dir(spark).removeprefix("file:")
     if "://" in path:  # no folder that can be mapped: the driver hands the tables out
         odds = np.zeros(n, np.int8)
-        for r in done.toLocalIterator():
+        for r in done(None).toLocalIterator():
             odds[r["shard"] * SHARD:(r["shard"] + 1) * SHARD] = np.frombuffer(r["odds"], np.int8)
         return Model(code, odds, sizes)
     os.makedirs(path)
     path += "/odds"
     with open(path, "wb") as f:
         f.truncate(n)  # slots that nothing has shown stay zero
-    done.mapInPandas(lambda it: (_put(path, pdf) for pdf in it), "shard int").agg(F.count("shard")).collect()
+    done(path).agg(F.count("shard")).collect()
     return Model(code, path, sizes)
 
 
 # ---------------------------------------------------------------- scoring
 
+#: Log-odds of a byte of steps (read as unsigned), and what it adds to the gate by context.
+ODDS = (np.arange(256, dtype=np.uint8).view(np.int8) * np.float32(1 / STEPS)).astype(np.float32)
+GATES = {i: times * ((abs(ODDS) > LEVELS[0]).astype(np.uint8) + (abs(ODDS) > LEVELS[1])).astype(np.uint8) for i, times in ((3, np.uint8(3)), (2, np.uint8(1)))}
+#: By the bit.
+SIGNS = np.array([1, -1], np.float32)
+
+
 class Scorer:
     """Bits of texts under a model."""
 
@@ -450,7 +482,7 @@ class Scorer:
         odds, at = np.memmap(model.odds, np.int8, "r") if isinstance(model.odds, str) else model.odds, bases(model.sizes)
         self.odds = [np.asarray(odds[at[i]:at[i + 1]]) for i in range(N_CTX)]
 
-    def bits(self, texts: list[bytes], most: int = 1 << 16) -> np.ndarray:
+    def bits(self, texts: list[bytes], most: int = 1 << 15) -> np.ndarray:
         """Total bits of each text; texts go together up to ``most`` bytes of stream, a longer
         one in parts."""
         out, at = np.zeros(len(texts)), 0
@@ -471,32 +503,34 @@ class Scorer:
                 (x, gate), sign, n_bits = self._inputs(data, places, ctx)
                 edge = np.concatenate([[0], np.cumsum(np.add.reduceat(n_bits, np.cumsum(count) - count))]).tolist()
                 for k, (a, b) in enumerate(zip(edge[:-1], edge[1:])):
-                    out[at + k] = self._mix((x[:, a:b], gate[:, a:b]), sign[a:b], None)[0]
+                    out[at + k] = self._mix((x[:, a:b], gate[a:b]), sign[a:b], None)[0]
             at = to
         return out
 
     def _inputs(self, data, places, ctx):
-        """Inputs of the mixer, a row a context and one for the bias, with the places of their
-        weights; -1 for a one and 1 for a zero bit; and the bits of each place."""
+        """Inputs of the mixer, a row a context and one for the bias, with the gate of each bit;
+        -1 for a one and 1 for a zero bit; and the bits of each place."""
         n, node, bit = bits_of(self.code, behind(data, places))
         x = np.empty((N_CTX + 1, len(node)), np.float32)
+        gate = np.zeros(len(node), np.intp)
         for i in range(N_CTX):
-            np.multiply(self.odds[i][slots(self.sizes[i], ctx[i], n, node)], np.float32(1 / STEPS), out=x[i])
+            own = self.odds[i].take(slots(self.sizes[i], ctx[i], n, node)).view(np.uint8)
+            ODDS.take(own, out=x[i], mode="clip")
+            if i in GATES:
+                gate += GATES[i].take(own)
         x[N_CTX] = 1
-        level = lambda v: (v > LEVELS[0]).astype(np.intp) + (v > LEVELS[1])
-        gate = 3 * level(np.abs(x[3])) + level(np.abs(x[2]))
-        return (x, gate + N_GATE * np.arange(N_CTX + 1)[:, None]), np.float32(1) - 2 * bit.astype(np.float32), n
+        return (x, gate), SIGNS.take(bit), n
 
     def _mix(self, inputs, sign, state):
-        """Cost in bits of a run of bits, and the state after it. Weights lie in a row, those of
-        a context next to each other, by gate."""
+        """Cost in bits of a run of bits, and the state after it. Weights: a row a context, a
+        column a gate."""
         x, gate = inputs
-        w, size, seen = state or (np.array(START, np.float32).T.ravel(), BLOCKS[0], 0)
+        w, size, seen = state or (np.array(START, np.float32).T, BLOCKS[0], 0)
         at, n, cost = 0, len(sign), 0.0
         while at < n:
             to = min(n, at + size)
-            g, xs, s = gate[:, at:to], x[:, at:to], sign[at:to]
-            z = np.einsum("ij,ij->j", w.take(g), xs)
+            g, xs, s = gate[at:to], x[:, at:to], sign[at:to]
+            z = np.einsum("ij,ij->j", w.take(g, axis=1), xs)
             np.clip(z, -12, 12, out=z)
             z *= s
             np.exp(z, out=z)  # odds of the other bit
@@ -505,7 +539,7 @@ class Scorer:
             z /= both
             z *= s  # what the prediction has too much, times the sign
             seen += to - at
-            slope = np.bincount(g.ravel(), (xs * z).ravel(), len(w))
+            slope = np.array([np.bincount(g, row, N_GATE) for row in xs * z])
             w = w - (RATE / (64 + seen) ** 0.5 / (to - at) ** 0.5 * slope).astype(np.float32)
             at, size = to, min(4 * size, BLOCKS[1])
         return cost / np.log(2), (w, size, seen)

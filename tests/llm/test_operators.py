@@ -6,6 +6,7 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -340,6 +341,47 @@ def test_score_by_plain_loops():
         assert abs(cost - bits) < 1e-3 * max(cost, 1)
 
 
+def test_counting_in_bounded_memory(monkeypatch):
+    """Pairs that all differ are the worst case of a task that counts; the counts stay whole."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    monkeypatch.setattr("pyspark.TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 123, 1 << 18).astype(np.uint8)).decode() for _ in range(8)]
+    code, sizes, bits = context_mixing.huffman(np.ones(1 << 16)), (18, 20, 25, 25), 0
+    context_mixing._powers32(1 << 20)
+    tracemalloc.start()
+    for b in context_mixing._counted(code, sizes, [pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]):
+        bits += int(context_mixing._unzip(b.column("counts")[0].as_py())[1].sum())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    data, places, _ = context_mixing.stream([t.encode() for t in texts])
+    assert bits == 4 * int(code.len[context_mixing.behind(data, places)].sum())
+    assert peak < 600e6
+
+
+def test_nodes_of_a_context_lie_together():
+    """Sixteen slots hold sixteen nodes of a context, each its own."""
+    for ctx in (1, 77, 2 ** 32 - 5):
+        at = context_mixing.slots(22, np.array([ctx], np.uint32), np.array([256]), np.arange(256, dtype=np.uint32)).reshape(16, 16)
+        assert (at >> 4 == at[:, :1] >> 4).all() and all(len(set(row)) == 16 for row in at.tolist()) and at.max() < 1 << 22
+
+
+def test_last_counts_go_straight_to_the_file(tmp_path):
+    """One step adds a shard's counts up and writes its log-odds, so that a task has one Python worker."""
+    path, n = tmp_path / "odds", context_mixing.SHARD
+    path.write_bytes(bytes(3 * n))
+    blobs = [context_mixing._zip(np.array([0, 3]), np.array([5, 7])), context_mixing._zip(np.array([1]), np.array([2 ** 40]))]
+    pdf = pd.DataFrame({"shard": [1, 1], "part": [0, 1], "counts": blobs})
+    assert context_mixing._odds(str(path), pdf)["odds"].tolist() == [None]
+    got = np.fromfile(path, np.int8)
+    table = np.zeros((2, n), np.int64)
+    table[:, :2] = [[5, 0], [2 ** 40, 7]]
+    assert np.array_equal(got[n:2 * n], context_mixing.odds_of(table)) and not got[:n].any() and not got[2 * n:].any()
+    assert context_mixing._odds(None, pdf)["odds"][0] == got[n:2 * n].tobytes()
+
+
 @pytest.mark.parametrize("dense", [0, 17, 30])
 def test_slots_grow_with_the_contexts(spark, monkeypatch, dense):
     """Few slots to begin with: more are taken, and the counts in them are those of all texts."""
