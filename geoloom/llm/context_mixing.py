@@ -245,16 +245,28 @@ def sizes_of(docs: DataFrame, code) -> tuple:
     the 32 bits of a context's hash at most. ``code``: a broadcast Code."""
 
     def sample(batches):
+        held, n_held = [[] for _ in SLOTS], 0
+
+        def flush():
+            for i, parts in enumerate(held):
+                pair = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]))
+                parts.clear()
+                n, node, _ = bits_of(code.value, (pair & np.uint64(0xFFFF)).astype(np.int64))
+                key = np.unique(np.repeat(pair >> np.uint64(16), n) << np.uint64(8) | node)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), i, np.int32)), pa.array(key.astype(np.int64))], ["context", "key"])
+
         for whole in batches:
-            for b in pieces(whole, "text", 1 << 20):
+            for b in pieces(whole, "text", 1 << 18):
                 data, places, _ = stream([normal(t) for t in b.column("text").to_pylist()])
                 symbol = behind(data, places).astype(np.uint64)
-                for i, ctx in enumerate(contexts(data, places)):
+                for parts, ctx in zip(held, contexts(data, places)):
                     few = np.flatnonzero(ctx % np.uint32(SAMPLE) == 0)
-                    pair = np.unique(ctx[few].astype(np.uint64) << np.uint64(16) | symbol[few])
-                    n, node, _ = bits_of(code.value, (pair & np.uint64(0xFFFF)).astype(np.int64))
-                    key = np.unique(np.repeat(pair >> np.uint64(16), n) << np.uint64(8) | node)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), i, np.int32)), pa.array(key.astype(np.int64))], ["context", "key"])
+                    parts.append(np.unique(ctx[few].astype(np.uint64) << np.uint64(16) | symbol[few]))
+                    n_held += len(parts[-1])
+                if n_held > PAIRS // 4:
+                    yield from flush()
+                    n_held = 0
+        yield from flush()
 
     found = dict(docs.mapInArrow(sample, "context int, key long").distinct().groupBy("context").count().collect())
     return tuple(max(least, min(32, (SAMPLE * found.get(i, 0) - 1).bit_length())) for i, least in enumerate(SLOTS))
@@ -287,14 +299,12 @@ def summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return _runs(keys[order], times[order])
 
 
-def pairs_of(texts: list[bytes], only=None) -> list[tuple[np.ndarray, np.ndarray]]:
+def pairs_of(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each context its (context, byte before, byte) triples in the texts, each once, and
     their times."""
     data, places, _ = stream(texts)
     symbol, out = behind(data, places).astype(np.uint64), []
-    for i, ctx in enumerate(contexts(data, places)):
-        if only is not None and i not in only:
-            continue
+    for ctx in contexts(data, places):
         pair = ctx.astype(np.uint64) << np.uint64(16) | symbol
         pair.sort()
         first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
@@ -348,31 +358,22 @@ def _counted(code, sizes, batches):
                 blobs = [_zip(*summed(*map(np.concatenate, zip(*map(_unzip, blobs)))))]
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([task], pa.int32()), pa.array(blobs, pa.binary())], ["shard", "part", "counts"])
 
-    small = [i for i, size in enumerate(sizes) if size <= DENSE]
-    large = [i for i, size in enumerate(sizes) if size > DENSE]
-    dense = {i: np.zeros(2 << sizes[i], np.int64) for i in small}
+    dense = {i: np.zeros(2 << size, np.int64) for i, size in enumerate(sizes) if size <= DENSE}
     held, shards, n_bytes, some = [[] for _ in sizes], {}, 0, False
     for whole in batches:
         for b in pieces(whole, "text", 1 << 19):
             some, texts = True, [normal(t) for t in b.column("text").to_pylist()]
-            if small:
-                data, places, _ = stream(texts)
-                symbol, ctx = behind(data, places), contexts(data, places)
-                for k in range(0, len(symbol), RUN):
-                    n, node, bit = bits_of(code, symbol[k:k + RUN])
-                    for i in small:
-                        s = slots(sizes[i], ctx[i][k:k + RUN], n, node).astype(np.int64)
-                        s *= 2
-                        s += bit
-                        np.add.at(dense[i], s, 1)
-            if large:
-                for i, new in zip(large, pairs_of(texts, large)):
-                    held[i].append(new)
-                if sum(len(p) for parts in held for p, _ in parts) > PAIRS:
-                    n_bytes += put(held, shards)
-                    if n_bytes > HELD:
-                        yield from rows(shards)
-                        shards, n_bytes = {}, 0
+            for i, (pair, times) in enumerate(pairs_of(texts)):
+                if i in dense:
+                    for k in range(0, len(pair), RUN):
+                        np.add.at(dense[i], *in_slots(code, sizes[i], pair[k:k + RUN], times[k:k + RUN]))
+                else:
+                    held[i].append((pair, times))
+            if sum(len(p) for parts in held for p, _ in parts) > PAIRS:
+                n_bytes += put(held, shards)
+                if n_bytes > HELD:
+                    yield from rows(shards)
+                    shards, n_bytes = {}, 0
     if any(held):
         put(held, shards)
     yield from rows(shards)
@@ -467,9 +468,9 @@ def train(docs: DataFrame, byte_counts: np.ndarray) -> Model:
 
 # ---------------------------------------------------------------- scoring
 
-#: Log-odds of a byte of steps (read as unsigned), and what it adds to the gate by context.
-ODDS = (np.arange(256, dtype=np.uint8).view(np.int8) * np.float32(1 / STEPS)).astype(np.float32)
-GATES = {i: times * ((abs(ODDS) > LEVELS[0]).astype(np.uint8) + (abs(ODDS) > LEVELS[1])).astype(np.uint8) for i, times in ((3, np.uint8(3)), (2, np.uint8(1)))}
+#: What a byte of steps (read as unsigned) adds to the gate, by context.
+_known = abs(np.arange(256, dtype=np.uint8).view(np.int8) * np.float32(1 / STEPS))
+GATES = {i: times * ((_known > LEVELS[0]).astype(np.uint8) + (_known > LEVELS[1])).astype(np.uint8) for i, times in ((3, np.uint8(3)), (2, np.uint8(1)))}
 #: By the bit.
 SIGNS = np.array([1, -1], np.float32)
 
@@ -514,10 +515,10 @@ class Scorer:
         x = np.empty((N_CTX + 1, len(node)), np.float32)
         gate = np.zeros(len(node), np.intp)
         for i in range(N_CTX):
-            own = self.odds[i].take(slots(self.sizes[i], ctx[i], n, node)).view(np.uint8)
-            ODDS.take(own, out=x[i], mode="clip")
+            own = self.odds[i].take(slots(self.sizes[i], ctx[i], n, node))
+            np.multiply(own, np.float32(1 / STEPS), out=x[i])
             if i in GATES:
-                gate += GATES[i].take(own)
+                gate += GATES[i].take(own.view(np.uint8))
         x[N_CTX] = 1
         return (x, gate), SIGNS.take(bit), n
 
@@ -546,7 +547,6 @@ class Scorer:
 
 
 SCORED = "row long, n_tokens long, known long, log_sum double, bits double, n_bytes long, rare array<struct<token:binary,tf:long>>"
-_RARE = pa.list_(pa.struct([("token", pa.binary()), ("tf", pa.int64())]))
 
 
 def _scored(model, common, batches):
@@ -557,17 +557,22 @@ def _scored(model, common, batches):
         for b in pieces(whole, "text", 1 << 20):
             raw = [normal(t) for t in b.column("text").to_pylist()]
             bits = scorer.bits(raw)
-            rows = []
+            rows, tokens, times, edge = [], [], [], [0]
             for r in raw:
                 words = r.split(b" ") if r else []
                 words.append(b"")
                 logs = list(map(held.get, words))
-                rare = Counter(t for t, v in zip(words, logs) if v is None)
                 found = [v for v in logs if v is not None]
-                rows.append((len(words), len(found), math.fsum(found), [{"token": t, "tf": n} for t, n in rare.items()]))
+                if len(found) < len(words):
+                    rare = Counter([t for t, v in zip(words, logs) if v is None])
+                    tokens += rare
+                    times += rare.values()
+                edge.append(len(tokens))
+                rows.append((len(words), len(found), math.fsum(found)))
+            pairs = pa.StructArray.from_arrays([pa.array(tokens, pa.binary()), pa.array(times, pa.int64())], ["token", "tf"])
             yield pa.RecordBatch.from_arrays([
                 b.column("row"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64()),
-                pa.array(bits, pa.float64()), pa.array([len(r) for r in raw], pa.int64()), pa.array([r[3] for r in rows], _RARE),
+                pa.array(bits, pa.float64()), pa.array([len(r) for r in raw], pa.int64()), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pairs),
             ], ["row", "n_tokens", "known", "log_sum", "bits", "n_bytes", "rare"])
 
 
